@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from keytally.plans import exact, linear
+from keytally.plans import exact, frequent, linear
 
-AREAS = (exact, linear)
+AREAS = (exact, linear, frequent)
 
 
 def all_queries() -> dict:
