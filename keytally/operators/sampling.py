@@ -26,6 +26,27 @@ def bernoulli_sample(df: DataFrame, p: float, row_id: str, seed: int = 1) -> Dat
     return df.where(row_hash(row_id, draw_seeds(5, seed)) < F.lit(round(p * HASH_RANGE)))
 
 
+def bernoulli_samples(
+    df: DataFrame, p: float, row_id: str, runs: int, seed: int = 1, name: str = "run"
+) -> DataFrame:
+    """``runs`` independent samples in one scan, told apart by column ``name``; sample r is the
+    one ``bernoulli_sample`` draws with seed + r."""
+    numbers = F.array(
+        *[
+            F.struct(
+                F.lit(r).alias("run"),
+                *[F.lit(v).cast("long").alias(f"s{i}") for i, v in enumerate(draw_seeds(5, seed + r))],
+            )
+            for r in range(runs)
+        ]
+    )
+    each = df.select("*", F.explode(numbers).alias("_s"))
+    hashed = row_hash(row_id, tuple(F.col(f"_s.s{i}") for i in range(5)))
+    return each.where(hashed < F.lit(round(p * HASH_RANGE))).select(
+        *df.columns, F.col("_s.run").alias(name)
+    )
+
+
 def row_index(df: DataFrame, row_id: str, seed: int = 1, name: str = "index") -> DataFrame:
     """A dense index 0..N-1 in the order of (hash of the id, id).
 

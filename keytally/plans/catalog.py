@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from keytally.plans import exact, frequent, linear
+from keytally.plans import exact, frequent, linear, quality, sampling, streams, synthetic
 
-AREAS = (exact, linear, frequent)
+AREAS = (exact, linear, frequent, sampling, synthetic, quality, streams)
 
 
 def all_queries() -> dict:

@@ -447,3 +447,18 @@ reg.add(
     f"({_fast_count_sql(*_RC, _cm_dots, JOIN_BUCKETS, _R, 'run')})) USING (run) "
     f"JOIN (SELECT run, MIN(dot) AS count_min FROM {_cm_dots} GROUP BY run) USING (run)",
 )
+
+BY_FLAG = q.stream("lineitem", "l_suppkey", extra="l_returnflag")
+for _name, _signed in (("count_min_by_group", False), ("fast_agms_by_group", True)):
+    reg.add(
+        _name,
+        lambda s, d, signed=_signed: linear.linear_sketch(
+            key_stream(s, d, "lineitem", "l_suppkey", extra=("l_returnflag",)),
+            SEEDS,
+            BUCKETS,
+            signed,
+            by=("l_returnflag",),
+        ),
+        f'SELECT l_returnflag, "row", bucket, v FROM '
+        f"{q.sketch(BY_FLAG, SEEDS, BUCKETS, signed=_signed, by='l_returnflag')}",
+    )

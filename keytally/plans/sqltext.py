@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keytally.functions.seeds import SeedTable
+from keytally.functions.seeds import SeedTable, draw_seeds
 
 M31 = 2147483647
 M32 = 4294967295
@@ -83,3 +83,18 @@ def count_min_est(cells: str, probes: str, seeds: SeedTable, buckets: int) -> st
         f'{cells_of(probes, seeds, buckets)} p LEFT JOIN {cells} c USING ("row", bucket) '
         "GROUP BY key)"
     )
+
+
+def row_hash(row_id: str, seed: int) -> str:
+    a, b, c, d, e = draw_seeds(5, seed)
+    low = four(a, b, c, d, f"(({row_id})::BIGINT & {M31})")
+    return h31(e, low, f"((({row_id})::BIGINT >> 31) & {M31})")
+
+
+def uniform(row_id: str, seed: int) -> str:
+    return f"(({row_hash(row_id, seed)} + 0.5::DOUBLE) / 2147483648::DOUBLE)"
+
+
+def row_index(row_id: str, seed: int) -> str:
+    """A dense index in the order of the hash, to be used as a window expression."""
+    return f"(row_number() OVER (ORDER BY {row_hash(row_id, seed)}, {row_id}) - 1)"
