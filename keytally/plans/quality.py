@@ -132,10 +132,10 @@ reg.add(
     + q.TOKENS
     + "), z AS (SELECT SUM(1 / pow(p_partkey + 1, 1.25::DOUBLE)) AS z FROM part) SELECT r::INTEGER AS rank, 4000 / n AS "
     "relative_bound, round(4000 / (z * pow(r, 1.25::DOUBLE)), 6) AS absolute_bound FROM (SELECT row_number() OVER (ORDER BY "
-    f"cnt DESC, key) AS r FROM {HIST}), n, z",
+    f"cnt DESC, key) AS r FROM (SELECT * FROM {HIST} WHERE cnt >= {PHI}::DOUBLE * {N})), n, z",
 )
 def _bounds(s, d):
-    order = exact.exact_histogram(supp(s, d))
+    order = exact.exact_frequent_elements(supp(s, d), PHI)
     rank = F.row_number().over(Window.orderBy(F.desc("cnt"), "key"))
     domain = table(s, d, "part").select(F.col("p_partkey").alias("id"))
     rows = ql.error_bounds(

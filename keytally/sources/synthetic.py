@@ -148,16 +148,16 @@ def grid_frequencies(domain: DataFrame, sizes: DataFrame, skews: tuple[float, ..
     """(skew, n, key, cnt): a Zipf table per skew and per row of ``sizes`` (column ``n``).
 
     All tables come from one pass: per skew one weight per key, per size one multiple of it.
-    ``sizes`` is a parameter list, read into the plan; it does not grow with the data.
+    ``sizes`` is a short list of parameters, taken in as one array.
     """
-    wanted = [int(r.n) for r in sizes.select("n").distinct().limit(100).collect()]
+    wanted = sizes.agg(F.collect_set("n").alias("n")).scalar()
     literal = F.array(*[F.lit(float(z)) for z in skews])
     weights = domain.select("id", F.explode(literal).alias("skew")).withColumn(
         "w", 1 / F.pow(F.col("id") + 1, F.col("skew"))
     )
     norms = weights.groupBy("skew").agg(F.sum("w").alias("h"))
     both = weights.join(norms, "skew").select(
-        "*", F.explode(F.array(*[F.lit(n).cast("long") for n in sorted(wanted)])).alias("n")
+        "*", F.explode(wanted).alias("n")
     )
     cnt = F.rint(F.col("n") / (F.pow(F.col("id") + 1, F.col("skew")) * F.col("h")))
     return both.select("skew", "n", F.col("id").alias("key"), cnt.cast("long").alias("cnt"))

@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from keytally.operators import frequent
 from keytally.operators.kernels import DeltaSender, SpaceSaving, key_array
 from keytally.operators.summaries import COUNTER_COLUMNS, cut_to, pending_deltas
-from keytally.streaming.runner import batch_writer, batches, newest, run
+from keytally.streaming.runner import batch_writer, batches, newest, one_batch, run
 
 
 def summary_schema(key_type) -> StructType:
@@ -130,26 +130,33 @@ def run_space_saving(
     phi: float | None = None,
     every: int = 1,
 ) -> None:
-    """Keeps the summary under ``folder``; with ``phi``, also answers the frequent-elements
-    question after every ``every``-th micro-batch."""
+    """Keeps a whole snapshot per micro-batch under ``folder``: the owners that changed, and the
+    others as they were. With ``phi``, also answers the frequent-elements question after every
+    ``every``-th micro-batch."""
     schema = summary_schema(stream.schema["key"].dataType)
-    write = batch_writer(f"{folder}/snapshots")
+    changes, snapshots = f"{folder}/changes", f"{folder}/snapshots"
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        write(batch, batch_id)
+        spark = batch.sparkSession
+        batch_writer(changes)(batch, batch_id)
+        now = one_batch(spark, changes, schema, batch_id)
+        before = one_batch(spark, snapshots, schema, batch_id - 1) if batch_id > 0 else warm
+        if before is not None:
+            kept = before.join(now.select("shard").distinct(), "shard", "left_anti")
+            now = now.unionByName(kept.select(now.columns))
+        batch_writer(snapshots)(now, batch_id)
         if phi is not None and (batch_id + 1) % every == 0:
-            now = snapshot(batch.sparkSession, folder, schema, until=batch_id)
-            answer = frequent.frequent_elements_global(now, phi)
+            answer = frequent.frequent_elements_global(
+                one_batch(spark, snapshots, schema, batch_id), phi
+            )
             batch_writer(f"{folder}/answers")(answer, batch_id)
 
     run(stream_space_saving(stream, m, owner, warm), each, f"{folder}/checkpoint", "update")
 
 
-def snapshot(
-    spark: SparkSession, folder: str, schema: StructType, until: int | None = None
-) -> DataFrame:
-    """The newest snapshot of every owner: counters and weights seen belong together."""
-    return newest(batches(spark, f"{folder}/snapshots", schema), "shard", until)
+def snapshot(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The newest snapshot: the counters of all owners and the weights they had seen by then."""
+    return newest(batches(spark, f"{folder}/snapshots", schema))
 
 
 def answers(spark: SparkSession, folder: str, key_type) -> DataFrame:
@@ -162,14 +169,10 @@ def answers(spark: SparkSession, folder: str, key_type) -> DataFrame:
 
 
 def visible_weight(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """(batch, visible): the weight all snapshots up to a batch have seen. What was read later
-    is at most the micro-batches since: their size is the flush policy."""
+    """(batch, visible): the weight each snapshot has seen. What is missing from it is at most
+    the micro-batches since: their size is the flush policy."""
     heads = batches(spark, f"{folder}/snapshots", schema).where(F.col("key").isNull())
-    ids = heads.select(F.col("batch").alias("at")).distinct()
-    seen = ids.join(heads, F.col("batch") <= F.col("at")).groupBy("at", "shard").agg(
-        F.max_by("n", "batch").alias("n")
-    )
-    return seen.groupBy(F.col("at").alias("batch")).agg(F.sum("n").alias("visible"))
+    return heads.groupBy("batch").agg(F.sum("n").alias("visible"))
 
 
 class DeltaProcessor(StatefulProcessor):
@@ -208,16 +211,22 @@ class DeltaProcessor(StatefulProcessor):
         pass
 
 
-def stream_deltas(stream: DataFrame, m: int, beta: float, shard: Column) -> DataFrame:
-    """(shard, key, delta, n) rows as they are sent on; head rows carry the weight seen so far."""
-    key_type = stream.schema["key"].dataType
-    schema = StructType(
+SEEN = "shard long, n long"
+
+
+def _delta_schema(key_type) -> StructType:
+    return StructType(
         [StructField("shard", LongType()), StructField("key", key_type)]
         + [StructField(c, LongType()) for c in ("delta", "n")]
     )
+
+
+def stream_deltas(stream: DataFrame, m: int, beta: float, shard: Column) -> DataFrame:
+    """(shard, key, delta, n) rows as they are sent on; head rows carry the weight seen so far."""
+    key_type = stream.schema["key"].dataType
     return pending_deltas(stream, shard).groupBy("owner").transformWithStateInPandas(
         statefulProcessor=DeltaProcessor(m, beta, key_type),
-        outputStructType=schema,
+        outputStructType=_delta_schema(key_type),
         outputMode="Update",
         timeMode="None",
     )
@@ -230,15 +239,18 @@ def run_deltas(stream: DataFrame, m: int, beta: float, shard: Column, folder: st
     merged_schema = StructType([StructField("key", key_type), StructField("cnt", LongType())])
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         batch_writer(f"{folder}/deltas")(batch, batch_id)
-        sent = batch.sparkSession.read.parquet(f"{folder}/deltas/batch={batch_id}")
+        sent = one_batch(spark, f"{folder}/deltas", _delta_schema(key_type), batch_id)
         sums = sent.where("key IS NOT NULL").groupBy("key").agg(F.sum("delta").alias("cnt"))
+        seen = sent.where("key IS NULL").groupBy("shard").agg(F.max("n").alias("n"))
         if batch_id > 0:
-            before = batch.sparkSession.read.schema(merged_schema).parquet(
-                f"{folder}/merged/batch={batch_id - 1}"
-            )
+            before = one_batch(spark, f"{folder}/merged", merged_schema, batch_id - 1)
             sums = sums.unionByName(before).groupBy("key").agg(F.sum("cnt").alias("cnt"))
+            old = one_batch(spark, f"{folder}/seen", SEEN, batch_id - 1)
+            seen = seen.unionByName(old).groupBy("shard").agg(F.max("n").alias("n"))
         batch_writer(f"{folder}/merged")(cut_to(sums, m), batch_id)
+        batch_writer(f"{folder}/seen")(seen, batch_id)
 
     run(stream_deltas(stream, m, beta, shard), each, f"{folder}/checkpoint", "update")
 
@@ -246,14 +258,6 @@ def run_deltas(stream: DataFrame, m: int, beta: float, shard: Column, folder: st
 def merged_deltas(spark: SparkSession, folder: str, key_type) -> DataFrame:
     """(key, est, n): the newest second-level summary and the weight the shards had seen."""
     schema = StructType([StructField("key", key_type), StructField("cnt", LongType())])
-    rows = batches(spark, f"{folder}/merged", schema)
-    last = rows.agg(F.max("batch").alias("batch")).scalar()
-    sent = StructType(
-        [StructField("shard", LongType()), StructField("key", key_type)]
-        + [StructField(c, LongType()) for c in ("delta", "n")]
-    )
-    heads = batches(spark, f"{folder}/deltas", sent).where(F.col("key").isNull())
-    seen = newest(heads, "shard").agg(F.sum("n").alias("n")).scalar()
-    return rows.where(F.col("batch") == last).select(
-        "key", F.col("cnt").alias("est"), seen.alias("n")
-    )
+    rows = newest(batches(spark, f"{folder}/merged", schema))
+    seen = newest(batches(spark, f"{folder}/seen", SEEN)).agg(F.sum("n").alias("n")).scalar()
+    return rows.select("key", F.col("cnt").alias("est"), seen.alias("n"))

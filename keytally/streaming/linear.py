@@ -9,7 +9,7 @@ from pyspark.sql.types import DataType, LongType, StructField, StructType
 from keytally.functions.seeds import SeedTable
 from keytally.operators.linear import linear_sketch
 from keytally.operators.majority import majority_build, majority_merge
-from keytally.streaming.runner import batch_writer, batches, run
+from keytally.streaming.runner import batch_writer, batches, newest, one_batch, run
 
 CELLS = "row int, bucket long, v long"
 
@@ -22,16 +22,15 @@ def run_linear_sketch(
     signed: bool = False,
     code: Column | None = None,
 ) -> None:
-    """Count-Min or, signed, Fast-AGMS: a streaming grouped sum whose state is the cells. Every
-    micro-batch writes the cells that changed."""
+    """Count-Min or, signed, Fast-AGMS: a streaming grouped sum whose state is the cells. There
+    are at most rows x buckets of them, so every micro-batch writes them all."""
     cells = linear_sketch(stream, seeds, buckets, signed, code=code)
-    run(cells, batch_writer(f"{folder}/cells"), f"{folder}/checkpoint", "update")
+    run(cells, batch_writer(f"{folder}/cells"), f"{folder}/checkpoint", "complete")
 
 
 def stream_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """The sketch as of now: each cell's newest value."""
-    rows = batches(spark, f"{folder}/cells", CELLS)
-    return rows.groupBy("row", "bucket").agg(F.max_by("v", "batch").alias("v"))
+    """The sketch as of now."""
+    return newest(batches(spark, f"{folder}/cells", CELLS))
 
 
 def run_majority_sketch(
@@ -43,9 +42,7 @@ def run_majority_sketch(
     def each(batch: DataFrame, batch_id: int) -> None:
         now = majority_build(batch, seeds, buckets, code=code).select("row", "bucket", "cand", "cnt")
         if batch_id > 0:
-            before = batch.sparkSession.read.schema(schema).parquet(
-                f"{folder}/votes/batch={batch_id - 1}"
-            )
+            before = one_batch(batch.sparkSession, f"{folder}/votes", schema, batch_id - 1)
             now = majority_merge(now.unionByName(before)).select("row", "bucket", "cand", "cnt")
         batch_writer(f"{folder}/votes")(now, batch_id)
 
@@ -60,9 +57,7 @@ def _votes_schema(key_type: DataType) -> StructType:
 
 def stream_votes(spark: SparkSession, folder: str, key_type: DataType) -> DataFrame:
     """The newest majority sketch."""
-    rows = batches(spark, f"{folder}/votes", _votes_schema(key_type))
-    last = rows.agg(F.max("batch").alias("batch")).scalar()
-    return rows.where(F.col("batch") == last).drop("batch")
+    return newest(batches(spark, f"{folder}/votes", _votes_schema(key_type)))
 
 
 def run_histogram(stream: DataFrame, folder: str) -> None:

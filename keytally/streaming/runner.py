@@ -1,7 +1,8 @@
 """Running a streaming plan and keeping its snapshots.
 
 Every micro-batch writes its own ``batch=<id>`` folder, overwritten if the batch is run again
-after a failure, so results are exactly-once. A snapshot is read back from the newest folders.
+after a failure, so results are exactly-once. Where the folder holds a whole snapshot, only the
+newest one is read back and older ones may be deleted.
 """
 
 from __future__ import annotations
@@ -82,9 +83,12 @@ def _with_batch(schema: StructType | str) -> StructType:
     return StructType(schema.fields).add("batch", "long")
 
 
-def newest(rows: DataFrame, by: str, until: int | None = None) -> DataFrame:
-    """Per value of ``by``, the rows of its newest batch (no later than ``until``)."""
-    if until is not None:
-        rows = rows.where(F.col("batch") <= until)
-    last = rows.groupBy(by).agg(F.max("batch").alias("batch"))
-    return rows.join(last, [by, "batch"]).drop("batch")
+def one_batch(spark: SparkSession, path: str, schema: StructType | str, batch_id: int) -> DataFrame:
+    """What one micro-batch wrote."""
+    return spark.read.schema(schema).parquet(f"{path}/batch={batch_id}")
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """The rows of the newest batch; the other folders are not read."""
+    last = rows.agg(F.max("batch").alias("batch")).scalar()
+    return rows.where(F.col("batch") == last).drop("batch")
