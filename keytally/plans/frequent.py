@@ -86,6 +86,11 @@ def local(s, d):
     return stored(f.space_saving(token_stream(s, d), COUNTERS), "local")
 
 
+def flagship(s, d):
+    """(shard, key, est, lower, upper) of the words that may make up PHI of all words."""
+    return f.frequent_elements_global(sharded(s, d), PHI)
+
+
 # --- Space-Saving ----------------------------------------------------------------------
 
 reg.add(

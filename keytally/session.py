@@ -25,21 +25,25 @@ def build_session(master: str, shuffle_partitions: int = 8, memory: str = "8g")
     )
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without it; a temporary folder is then set.
+    Only a local session may go without it, as in tests; it gets a temporary folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    path = tempfile.mkdtemp(prefix="keytally-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="keytally-")
+    return _own_dirs[context.applicationId]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
