@@ -228,6 +228,20 @@ def approx_top_k(stream: DataFrame, k: int, max_tracked: int = 10_000) -> DataFr
     )
 
 
+def approx_top_k_states(stream: DataFrame, by: tuple[str, ...], max_tracked: int = 10_000) -> DataFrame:
+    """One storable state of Spark's own sketch per group."""
+    return stream.groupBy(*by).agg(
+        F.expr(f"approx_top_k_accumulate(key, {int(max_tracked)})").alias("state")
+    )
+
+
+def approx_top_k_combined(states: DataFrame, k: int, max_tracked: int = 10_000) -> DataFrame:
+    """The k heaviest keys over all states."""
+    merged = states.agg(F.expr(f"approx_top_k_combine(state, {int(max_tracked)})").alias("state"))
+    rows = merged.select(F.explode(F.expr(f"approx_top_k_estimate(state, {int(k)})")).alias("t"))
+    return rows.select(F.col("t.item").alias("key"), F.col("t.count").alias("est"))
+
+
 # --- per group ---------------------------------------------------------------------------
 
 

@@ -193,6 +193,31 @@ class DeltaSender(WeightedFrequent):
         return keys, amounts
 
 
+class VoteRow:
+    """One row of a majority sketch: a candidate and its score per bucket, 0 where empty."""
+
+    def __init__(self, buckets: int) -> None:
+        self.cand: np.ndarray | None = None
+        self.score = np.zeros(buckets, dtype=np.int64)
+
+    def add(self, keys: np.ndarray, buckets: np.ndarray, weights: np.ndarray) -> None:
+        """A run of distinct keys: each bucket's leading key, with what it has over all others,
+        backs the standing candidate or is set against it."""
+        if self.cand is None:
+            self.cand = np.zeros(len(self.score), dtype=keys.dtype)
+        order = np.lexsort((weights, buckets))
+        first = np.flatnonzero(np.r_[True, np.diff(buckets[order]) != 0])
+        lead = order[np.r_[first[1:], len(order)] - 1]
+        gain = 2 * weights[lead] - np.add.reduceat(weights[order], first)
+        lead, gain = lead[gain > 0], gain[gain > 0]
+        cells = buckets[lead]
+        backed = np.asarray(self.cand[cells] == keys[lead], dtype=bool) & (self.score[cells] > 0)
+        balance = np.where(backed, self.score[cells] + gain, self.score[cells] - gain)
+        lost = balance < 0
+        self.cand[cells[lost]] = keys[lead[lost]]
+        self.score[cells] = np.abs(balance)
+
+
 def key_array(keys: pd.Series) -> np.ndarray:
     """Integer keys as they are, all others as objects."""
     values = keys.to_numpy()

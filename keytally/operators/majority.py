@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from keytally.functions.hashing import cw4b, fold31
 from keytally.functions.seeds import SeedTable
 from keytally.operators.exact import exact_histogram
 from keytally.operators.linear import hash_rows
+from keytally.operators.summaries import summed_in_task, vote_runner
 
 
 def _elect(votes: DataFrame, ids: tuple[str, ...], key: str, votes_column: str) -> DataFrame:
@@ -45,6 +49,28 @@ def majority_build(
     return _elect(votes, (*by, "row", "bucket"), "key", "cnt")
 
 
+def majority_local(
+    stream: DataFrame, seeds: SeedTable, buckets: int, code: Column | None = None
+) -> DataFrame:
+    """(part, row, bucket, cand, cnt) of one sketch per input partition, without any shuffle.
+
+    Each cell holds one candidate while its rows pass by. A key with a strict majority of a cell's
+    votes within the partition ends up as its candidate, with no less than its lead as score;
+    scores never exceed the true count.
+    """
+    code = F.col("key") if code is None else code
+    rows = [
+        cw4b(*(numbers[i] for i in range(4, 8)), F.col("_x"), buckets).alias(f"_b{row}")
+        for _, row, _, *numbers in seeds.rows
+    ]
+    # Summed up first, a key is hashed once per run of rows; equal keys have equal buckets.
+    sums = summed_in_task(stream).select("key", "weight", fold31(code).alias("_x"))
+    coded = sums.select("key", "weight", *rows)
+    schema = StructType.fromDDL("part long, row int, bucket long")
+    schema = schema.add("cand", stream.schema["key"].dataType).add("cnt", "long")
+    return coded.mapInArrow(vote_runner(seeds.depth, buckets, to_arrow_schema(schema)), schema)
+
+
 def majority_merge(sketches: DataFrame) -> DataFrame:
     """Local sketches, told apart by any further column, as one: scores of equal candidates
     add up, then the cell is elected anew."""

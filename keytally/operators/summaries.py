@@ -21,33 +21,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from keytally.operators.kernels import KINDS, Counters, DeltaSender, key_array
+from keytally.operators.kernels import KINDS, Counters, DeltaSender, VoteRow, key_array
 
-BATCH_ROWS = 1 << 17
+BATCH_ROWS = 1 << 18
+MAX_DISTINCT = 1 << 19
 MAX_COUNTERS_IN_TASK = 2_000_000
 
 
 def compacted(batches: Iterator[pa.RecordBatch], ids: list[str]) -> Iterator[pd.DataFrame]:
-    """Sums the weights of equal ids over runs of about BATCH_ROWS rows."""
+    """The weights of equal ids summed up, for as many rows as have MAX_DISTINCT distinct ids.
+
+    Rows are folded into the sums every BATCH_ROWS rows, which bounds what a task holds.
+    """
+    sums: pa.Table | None = None
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
         if rows >= BATCH_ROWS:
-            yield _summed(held, ids)
+            sums = _summed(sums, held, ids)
             held, rows = [], 0
+            if sums.num_rows >= MAX_DISTINCT:
+                yield sums.to_pandas()
+                sums = None
     if rows:
-        yield _summed(held, ids)
+        sums = _summed(sums, held, ids)
+    if sums is not None:
+        yield sums.to_pandas()
 
 
-def _summed(held: list[pa.RecordBatch], ids: list[str]) -> pd.DataFrame:
+def _summed(sums: pa.Table | None, held: list[pa.RecordBatch], ids: list[str]) -> pa.Table:
     table = pa.Table.from_batches(held)
     low = pc.min(table["weight"]).as_py()
     if low is not None and low < 0:
         raise ValueError("weights must not be negative")
-    sums = table.group_by(ids).aggregate([("weight", "sum")])
-    return sums.rename_columns([*ids, "weight"]).to_pandas()
+    if sums is not None:
+        table = pa.concat_tables([sums, table.select(sums.column_names)], promote_options="default")
+    totals = table.group_by(ids).aggregate([("weight", "sum")])
+    return totals.select([*ids, "weight_sum"]).rename_columns([*ids, "weight"])
 
 
 def _schema(stream: DataFrame, by: tuple[str, ...], counters: tuple[str, ...]) -> StructType:
@@ -131,12 +143,16 @@ def _compact_only(ids: list[str], schema: pa.Schema):
     return run
 
 
+def summed_in_task(stream: DataFrame) -> DataFrame:
+    """(key, weight) with equal keys summed within each task, without any shuffle."""
+    rows = stream.select("key", "weight")
+    return rows.mapInArrow(_compact_only(["key"], _arrow_schema(rows.schema)), rows.schema)
+
+
 def pending_deltas(stream: DataFrame, owner: Column) -> DataFrame:
-    """(owner, key, weight) with equal keys summed within each task: what crosses the shuffle.
-    A hot key is one row per run of rows, so no owner is flooded by it."""
-    rows = stream.select(owner.cast("long").alias("owner"), "key", "weight")
-    run = _compact_only(["owner", "key"], _arrow_schema(rows.schema))
-    return rows.mapInArrow(run, rows.schema)
+    """(owner, key, weight): what crosses the shuffle. A hot key is one row per run of rows, so no
+    owner is flooded by it."""
+    return summed_in_task(stream).select(owner.cast("long").alias("owner"), "key", "weight")
 
 
 def sharded_summaries(
@@ -249,3 +265,32 @@ def cut_to(merged: DataFrame, m: int, value: str = "cnt") -> DataFrame:
         .withColumn(value, F.col(value) - F.col("_cut"))
         .drop("_cut")
     )
+
+
+def vote_runner(depth: int, buckets: int, schema: pa.Schema):
+    """Casts the votes of a partition; rows come with their bucket in every sketch row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        votes = [VoteRow(buckets) for _ in range(depth)]
+        names = [f"_b{row}" for row in range(depth)]
+        for frame in compacted(batches, ["key", *names]):
+            frame = frame[frame["weight"] > 0]
+            if frame.empty:
+                continue
+            keys, weights = key_array(frame["key"]), frame["weight"].to_numpy("int64")
+            for row, name in zip(votes, names):
+                row.add(keys, frame[name].to_numpy("int64"), weights)
+        for number, row in enumerate(votes):
+            cells = row.score.nonzero()[0]
+            if len(cells):
+                columns = {
+                    "part": [task] * len(cells),
+                    "row": [number] * len(cells),
+                    "bucket": cells.tolist(),
+                    "cand": row.cand[cells].tolist(),
+                    "cnt": row.score[cells].tolist(),
+                }
+                yield pa.RecordBatch.from_pydict(columns, schema=schema)
+
+    return run

@@ -329,6 +329,17 @@ reg.add(
     "SELECT event_type AS key, COUNT(*) AS est FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
 )
 
+reg.add(
+    "approx_top_k_combine",
+    lambda s, d: f.approx_top_k_combined(
+        f.approx_top_k_states(
+            key_stream(s, d, "events", "event_type", extra=(F.expr("user_id % 7").alias("part"),)), ("part",)
+        ),
+        5,
+    ),
+    "SELECT event_type AS key, COUNT(*) AS est FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
+)
+
 # --- per group ---------------------------------------------------------------------------
 
 
@@ -448,6 +459,30 @@ def _topkapi(s, d):
     )
 
 
+@reg.query(
+    "topkapi_local_merge",
+    f"WITH h AS {q.hist(q.TOKENS)} SELECT key, cnt AS true_cnt, TRUE AS covered FROM h WHERE cnt >= 0.01::DOUBLE * "
+    "(SELECT SUM(cnt) FROM h)",
+)
+def _topkapi_local(s, d):
+    """Sketches cast within the tasks, merged: words with one percent of all are found, with a score of
+    no more than their count and no less than their lead over what else falls into their best cell."""
+    words, buckets, code = token_stream(s, d), 4096, key_to_int("key")
+    local = stored(majority.majority_local(words, VOTE_SEEDS, buckets, code), "votes")
+    merged = majority.majority_merge(local)
+    found = majority.majority_top_k(merged, VOTE_SEEDS, buckets, buckets, 1, code)
+    exact_cells = majority.majority_build(words, VOTE_SEEDS, buckets, code=code)
+    least = exact_cells.groupBy(F.col("cand").alias("key")).agg(
+        F.max(2 * F.col("max_cnt") - F.col("total")).alias("least")
+    )
+    rows = found.join(least, "key").select("key", "est", "least")
+    truth = exact.exact_frequent_elements(words, 0.01)
+    holds = (F.col("est") <= F.col("cnt")) & (F.col("est") >= F.col("least"))
+    return truth.join(rows, "key", "left").select(
+        "key", F.col("cnt").alias("true_cnt"), F.coalesce(holds, F.lit(False)).alias("covered")
+    )
+
+
 def brand_votes(s, d):
     return majority.majority_build(key_stream(s, d, "part", "p_size", "p_partkey"), VOTE_SEEDS, 64)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from keytally.functions.hashing import row_hash
 from keytally.functions.seeds import draw_seeds
+from keytally.operators.exact import prefix_sums
 from keytally.operators.sampling import HASH_RANGE, row_index, uniform
 
 CHUNK = 1_000_000
@@ -188,31 +189,21 @@ def zipf_draws(rows: DataFrame, row_id: str, n, theta: float, zeta_n: Column, se
 def zipf_draws_by_table(rows: DataFrame, row_id: str, domain: DataFrame, s: float, seed: int = 1) -> DataFrame:
     """A Zipf variate per row by looking the uniform number up in the distribution's steps.
 
-    The draw is the number of steps below the uniform number, counted in ranges of the unit
-    interval: steps per range are summed across, and each range is merged on its own.
+    The draw is one more than the number of steps below the uniform number. Uniform numbers lie on
+    a grid of odd multiples of 2^-32, so steps are counted per grid cell, and a running total over
+    the cells answers all draws.
     """
-    from pyspark.sql import Window
-
-    from keytally.operators.exact import prefix_sums
-
-    ranges = 1 << 16
+    cells = F.lit(float(1 << 32))
     weights = domain.select(F.col("id").alias("key"), (1 / F.pow(F.col("id") + 1, F.lit(s))).alias("v"))
-    steps = prefix_sums(weights, 40).select((F.col("prefix") / harmonic(domain, s)).alias("_u"))
-    drawn = rows.withColumn("_u", uniform(row_id, seed))
-    axis = drawn.withColumn("_step", F.lit(0)).unionByName(
-        steps.withColumn("_step", F.lit(1)), allowMissingColumns=True
-    )
-    axis = axis.withColumn("_range", F.least(F.floor(F.col("_u") * ranges), F.lit(ranges - 1)))
-    sizes = axis.groupBy("_range").agg(F.sum("_step").alias("_steps"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", F.coalesce(F.sum("_steps").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_range").orderBy("_u", "_step").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    merged = axis.withColumn("_below", F.sum("_step").over(inside)).where(F.col("_step") == 0)
-    return merged.join(starts, "_range").select(
-        *rows.columns, (F.col("_start") + F.col("_below") + 1).alias("draw")
+    steps = prefix_sums(weights, 40).select(
+        F.floor(F.col("prefix") / harmonic(domain, s) * cells).alias("key"),
+        F.lit(1).cast("long").alias("v"),
     )
+    drawn = rows.withColumn("_cell", 2 * row_hash(row_id, draw_seeds(5, seed)))
+    asked = drawn.select(F.col("_cell").alias("key"), F.lit(0).cast("long").alias("v"))
+    axis = steps.unionByName(asked).groupBy("key").agg(F.sum("v").alias("v"))
+    below = prefix_sums(axis, 33).select(F.col("key").alias("_cell"), "prefix")
+    return drawn.join(below, "_cell").select(*rows.columns, (F.col("prefix") + 1).alias("draw"))
 
 
 def stable_draws(rows: DataFrame, row_id: str, alpha: float, seed: int = 1) -> DataFrame:

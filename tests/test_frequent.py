@@ -140,6 +140,34 @@ def test_groups(spark, make_stream):
     assert heavy.join(found, ["g", "key"], "left_anti").count() == 0
 
 
+def test_rows_are_folded_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    import keytally.operators.summaries as s
+
+    monkeypatch.setattr(s, "BATCH_ROWS", 30)
+    monkeypatch.setattr(s, "MAX_DISTINCT", 25)
+    schema = pa.schema([pa.field("key", pa.string()), pa.field("weight", pa.int64(), nullable=False)])
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array([str((i * j) % 40) for j in range(20)]), pa.array([i] * 20)], schema=schema
+        )
+        for i in range(1, 30)
+    ]
+    frames = list(s.compacted(iter(batches), ["key"]))
+    assert len(frames) > 1 and all(f["key"].is_unique for f in frames)
+    total = {}
+    for f in frames:
+        for key, weight in zip(f["key"], f["weight"]):
+            total[key] = total.get(key, 0) + weight
+    want = {}
+    for i in range(1, 30):
+        for j in range(20):
+            key = str((i * j) % 40)
+            want[key] = want.get(key, 0) + i
+    assert total == want
+
+
 def test_many_groups_are_handed_out_in_pieces(make_stream, monkeypatch):
     import keytally.operators.summaries as s
 
@@ -147,6 +175,7 @@ def test_many_groups_are_handed_out_in_pieces(make_stream, monkeypatch):
     assert rows is not None
     monkeypatch.setattr(s, "MAX_COUNTERS_IN_TASK", 10)
     monkeypatch.setattr(s, "BATCH_ROWS", 100)
+    monkeypatch.setattr(s, "MAX_DISTINCT", 50)
     import pyarrow as pa
 
     from keytally.operators.kernels import SpaceSaving

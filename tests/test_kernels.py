@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from keytally.operators.kernels import DeltaSender, MedianPurge, SpaceSaving, WeightedFrequent
+from keytally.operators.kernels import DeltaSender, MedianPurge, SpaceSaving, VoteRow, WeightedFrequent
 
 ORDERS = {
     "ascending": lambda rows: sorted(rows),
@@ -120,3 +120,27 @@ def test_string_keys():
     for batch in (["a", "b"], ["c"], ["a"]):
         s.add(np.array(batch, dtype=object), np.ones(len(batch), dtype=np.int64))
     assert s.cnt.sum() == 4 and len(s) == 2
+
+
+@given(
+    st.lists(st.tuples(st.integers(0, 12), st.integers(1, 9)), min_size=1, max_size=200),
+    st.integers(1, 5),
+    st.integers(1, 30),
+)
+@settings(max_examples=150, deadline=None)
+def test_votes(rows, buckets, batch):
+    votes = VoteRow(buckets)
+    for i in range(0, len(rows), batch):
+        sums = truth(rows[i : i + batch])
+        keys = np.array(list(sums), dtype=np.int64)
+        votes.add(keys, keys % buckets, np.array(list(sums.values()), dtype=np.int64))
+    f = truth(rows)
+    total = Counter()
+    for key, v in f.items():
+        total[key % buckets] += v
+    for b in range(buckets):
+        score = int(votes.score[b])
+        assert score == 0 or score <= f[int(votes.cand[b])]
+        for key, v in f.items():
+            if key % buckets == b and 2 * v > total[b]:
+                assert votes.cand[b] == key and score >= 2 * v - total[b]
