@@ -24,42 +24,53 @@ from pyspark.sql.types import LongType, StructField, StructType
 from keytally.operators.kernels import KINDS, Counters, DeltaSender, VoteRow, key_array
 
 BATCH_ROWS = 1 << 18
+BATCH_BYTES = 1 << 26
 MAX_DISTINCT = 1 << 19
 MAX_COUNTERS_IN_TASK = 2_000_000
 
 
-def compacted(batches: Iterator[pa.RecordBatch], ids: list[str]) -> Iterator[pd.DataFrame]:
+def compacted(
+    batches: Iterator[pa.RecordBatch], ids: list[str], carried: tuple[str, ...] = ()
+) -> Iterator[pd.DataFrame]:
     """The weights of equal ids summed up, for as many rows as have MAX_DISTINCT distinct ids.
 
-    Rows are folded into the sums every BATCH_ROWS rows, which bounds what a task holds.
+    Rows are folded into the sums every BATCH_ROWS rows (or as many as there are sums, to fold
+    in linear time) or BATCH_BYTES bytes, which bounds what a task holds. ``carried`` columns
+    depend on the ids alone.
     """
     sums: pa.Table | None = None
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows >= BATCH_ROWS:
-            sums = _summed(sums, held, ids)
-            held, rows = [], 0
+        size += batch.nbytes
+        due = BATCH_ROWS if sums is None else max(BATCH_ROWS, sums.num_rows)
+        if rows >= due or size >= BATCH_BYTES:
+            sums = _summed(sums, held, ids, carried)
+            held, rows, size = [], 0, 0
             if sums.num_rows >= MAX_DISTINCT:
                 yield sums.to_pandas()
                 sums = None
     if rows:
-        sums = _summed(sums, held, ids)
+        sums = _summed(sums, held, ids, carried)
     if sums is not None:
         yield sums.to_pandas()
 
 
-def _summed(sums: pa.Table | None, held: list[pa.RecordBatch], ids: list[str]) -> pa.Table:
+def _summed(
+    sums: pa.Table | None, held: list[pa.RecordBatch], ids: list[str], carried: tuple[str, ...]
+) -> pa.Table:
     table = pa.Table.from_batches(held)
     low = pc.min(table["weight"]).as_py()
     if low is not None and low < 0:
         raise ValueError("weights must not be negative")
     if sums is not None:
         table = pa.concat_tables([sums, table.select(sums.column_names)], promote_options="default")
-    totals = table.group_by(ids).aggregate([("weight", "sum")])
-    return totals.select([*ids, "weight_sum"]).rename_columns([*ids, "weight"])
+    wanted = [("weight", "sum"), *((c, "min") for c in carried)]
+    totals = table.group_by(ids).aggregate(wanted)
+    order = [*ids, "weight_sum", *(f"{c}_min" for c in carried)]
+    return totals.select(order).rename_columns([*ids, "weight", *carried])
 
 
 def _schema(stream: DataFrame, by: tuple[str, ...], counters: tuple[str, ...]) -> StructType:
@@ -273,8 +284,8 @@ def vote_runner(depth: int, buckets: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         votes = [VoteRow(buckets) for _ in range(depth)]
-        names = [f"_b{row}" for row in range(depth)]
-        for frame in compacted(batches, ["key", *names]):
+        names = tuple(f"_b{row}" for row in range(depth))
+        for frame in compacted(batches, ["key"], names):
             frame = frame[frame["weight"] > 0]
             if frame.empty:
                 continue
