@@ -21,9 +21,9 @@ from keytally.operators.summaries import (
 # --- Space-Saving ----------------------------------------------------------------------
 
 
-def space_saving(stream: DataFrame, m: int) -> DataFrame:
-    """One summary of m counters per input partition."""
-    return local_summaries(stream, "space_saving", m)
+def space_saving(stream: DataFrame, m: int, tasks: int | None = None) -> DataFrame:
+    """One summary of m counters per input partition (of at most ``tasks``)."""
+    return local_summaries(stream, "space_saving", m, tasks=tasks)
 
 
 def space_saving_sharded(stream: DataFrame, m: int, shards: int, owner: Column) -> DataFrame:
@@ -105,14 +105,16 @@ def summary_weight_check(summary: DataFrame) -> DataFrame:
 # --- weighted Frequent with increments sent on -------------------------------------------
 
 
-def weighted_frequent(stream: DataFrame, m: int) -> DataFrame:
-    """One summary of under-counting counters per input partition."""
-    return local_summaries(stream, "frequent", m)
+def weighted_frequent(stream: DataFrame, m: int, tasks: int | None = None) -> DataFrame:
+    """One summary of under-counting counters per input partition (of at most ``tasks``)."""
+    return local_summaries(stream, "frequent", m, tasks=tasks)
 
 
-def delta_emission(stream: DataFrame, m: int, beta: float, flush: bool = True) -> DataFrame:
+def delta_emission(
+    stream: DataFrame, m: int, beta: float, flush: bool = True, tasks: int | None = None
+) -> DataFrame:
     """The increments each partition sends on; see ``delta_rows``."""
-    return delta_rows(stream, m, beta, flush)
+    return delta_rows(stream, m, beta, flush, tasks)
 
 
 def delta_merge(deltas: DataFrame, m: int) -> DataFrame:
@@ -139,9 +141,9 @@ def item_capacity(lg_size: int) -> int:
     return int(LOAD_FACTOR * 2**lg_size)
 
 
-def frequent_items_sketch(stream: DataFrame, lg_size: int) -> DataFrame:
-    """One median-purged summary per input partition."""
-    return local_summaries(stream, "items", item_capacity(lg_size))
+def frequent_items_sketch(stream: DataFrame, lg_size: int, tasks: int | None = None) -> DataFrame:
+    """One median-purged summary per input partition (of at most ``tasks``)."""
+    return local_summaries(stream, "items", item_capacity(lg_size), tasks=tasks)
 
 
 def frequent_items_merge(sketch: DataFrame, lg_size: int) -> DataFrame:
@@ -246,10 +248,14 @@ def approx_top_k_combined(states: DataFrame, k: int, max_tracked: int = 10_000)
 
 
 def frequent_elements_by_group(
-    stream: DataFrame, by: tuple[str, ...], m: int, kind: str = "space_saving"
+    stream: DataFrame,
+    by: tuple[str, ...],
+    m: int,
+    kind: str = "space_saving",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Summaries per group and partition; a hot group is summed up where its rows lie."""
-    return local_summaries(stream, kind, m, by)
+    return local_summaries(stream, kind, m, by, tasks)
 
 
 def frequent_by_group(

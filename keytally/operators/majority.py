@@ -16,7 +16,7 @@ from keytally.functions.hashing import cw4b, fold31
 from keytally.functions.seeds import SeedTable
 from keytally.operators.exact import exact_histogram
 from keytally.operators.linear import hash_rows
-from keytally.operators.summaries import summed_in_task, vote_runner
+from keytally.operators.summaries import spread, summed_in_task, vote_runner
 
 
 def _elect(votes: DataFrame, ids: tuple[str, ...], key: str, votes_column: str) -> DataFrame:
@@ -50,7 +50,11 @@ def majority_build(
 
 
 def majority_local(
-    stream: DataFrame, seeds: SeedTable, buckets: int, code: Column | None = None
+    stream: DataFrame,
+    seeds: SeedTable,
+    buckets: int,
+    code: Column | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """(part, row, bucket, cand, cnt) of one sketch per input partition, without any shuffle.
 
@@ -64,7 +68,7 @@ def majority_local(
         for _, row, _, *numbers in seeds.rows
     ]
     # Summed up first, a key is hashed once per run of rows; equal keys have equal buckets.
-    sums = summed_in_task(stream).select("key", "weight", fold31(code).alias("_x"))
+    sums = summed_in_task(spread(stream, tasks)).select("key", "weight", fold31(code).alias("_x"))
     coded = sums.select("key", "weight", *rows)
     schema = StructType.fromDDL("part long, row int, bucket long")
     schema = schema.add("cand", stream.schema["key"].dataType).add("cnt", "long")

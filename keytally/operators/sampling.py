@@ -11,7 +11,7 @@ from keytally.operators.exact import exact_join_size
 
 HASH_RANGE = 1 << 31
 INDEX_BITS = 16
-MAX_TOP_ROWS = 1_000_000
+MAX_TOP_ROWS = 1_000
 
 
 def uniform(row_id: Column | str, seed: int) -> Column:
@@ -47,20 +47,30 @@ def bernoulli_samples(
     )
 
 
-def row_index(df: DataFrame, row_id: str, seed: int = 1, name: str = "index") -> DataFrame:
-    """A dense index 0..N-1 in the order of (hash of the id, id).
-
-    Rows are spread over 2^INDEX_BITS hash ranges; only the ranges' sizes are summed across,
-    and each range is numbered on its own.
-    """
-    hashed = df.withColumn("_h", row_hash(row_id, draw_seeds(5, seed))).withColumn(
+def _hashed(df: DataFrame, row_id: str, seed: int) -> DataFrame:
+    """The rows with their hash and their hash range, one of 2^INDEX_BITS."""
+    return df.withColumn("_h", row_hash(row_id, draw_seeds(5, seed))).withColumn(
         "_range", F.shiftright("_h", 31 - INDEX_BITS)
     )
+
+
+def _range_starts(hashed: DataFrame) -> DataFrame:
+    """(_range, _start): how many rows the lower ranges hold."""
     sizes = hashed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
+    return sizes.select(
         "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
     )
+
+
+def row_index(df: DataFrame, row_id: str, seed: int = 1, name: str = "index") -> DataFrame:
+    """A dense index 0..N-1 in the order of (hash of the id, id).
+
+    Rows are spread over 2^INDEX_BITS hash ranges; only the ranges' sizes are summed across,
+    and each range is numbered on its own.
+    """
+    hashed = _hashed(df, row_id, seed)
+    starts = _range_starts(hashed)
     inside = Window.partitionBy("_range").orderBy("_h", row_id)
     numbered = hashed.withColumn("_at", F.row_number().over(inside))
     return numbered.join(starts, "_range").select(
@@ -71,11 +81,15 @@ def row_index(df: DataFrame, row_id: str, seed: int = 1, name: str = "index") ->
 def sample_without_replacement(
     df: DataFrame, n: int, row_id: str, seed: int = 1, top_limit: int = MAX_TOP_ROWS
 ) -> DataFrame:
-    """Exactly min(n, N) rows. A small sample is a top-n by hash; a large one is cut from the
-    row index, so no task ever holds it whole."""
+    """Exactly min(n, N) rows. A small sample is a top-n by hash. For a large one the sizes of the
+    hash ranges tell which ranges it needs, and only their rows are numbered, so no task holds it
+    whole and little more than the sample is shuffled."""
     if n <= top_limit:
         return df.orderBy(row_hash(row_id, draw_seeds(5, seed)), row_id).limit(max(n, 0))
-    return row_index(df, row_id, seed, "_index").where(F.col("_index") < n).drop("_index")
+    hashed = _hashed(df, row_id, seed)
+    last = _range_starts(hashed).where(F.col("_start") < n).agg(F.max("_range").alias("r")).scalar()
+    needed = hashed.where(F.col("_range") <= last).select(df.columns)
+    return row_index(needed, row_id, seed, "_index").where(F.col("_index") < n).drop("_index")
 
 
 def draw_index(draw: Column, total: Column, seed: int) -> Column:

@@ -136,14 +136,20 @@ def _runner(
     return run
 
 
+def spread(stream: DataFrame, tasks: int | None) -> DataFrame:
+    """The stream in at most ``tasks`` partitions, joined up without a shuffle. Each gives a summary
+    of its own, so a scan of very many splits should be brought down to a few tasks per core."""
+    return stream if tasks is None else stream.coalesce(tasks)
+
+
 def local_summaries(
-    stream: DataFrame, kind: str, m: int, by: tuple[str, ...] = ()
+    stream: DataFrame, kind: str, m: int, by: tuple[str, ...] = (), tasks: int | None = None
 ) -> DataFrame:
-    """A summary per input partition (and group), without any shuffle."""
+    """A summary per input partition (and group), without any shuffle; see ``spread``."""
     schema = _schema(stream, by, COUNTER_COLUMNS)
     cls = KINDS[kind]
     run = _runner(lambda: cls(m), list(by), None, _arrow_schema(schema))
-    return stream.select(*by, "key", "weight").mapInArrow(run, schema)
+    return spread(stream, tasks).select(*by, "key", "weight").mapInArrow(run, schema)
 
 
 def _compact_only(ids: list[str], schema: pa.Schema):
@@ -230,7 +236,9 @@ def merge_lower(summary: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def delta_rows(stream: DataFrame, m: int, beta: float, flush: bool = True) -> DataFrame:
+def delta_rows(
+    stream: DataFrame, m: int, beta: float, flush: bool = True, tasks: int | None = None
+) -> DataFrame:
     """(shard, key, delta, n) rows a task sends on; head rows (null key) carry the weight seen.
 
     ``flush`` sends the rest at the end of the input; without it up to a share ``beta`` of
@@ -258,7 +266,7 @@ def delta_rows(stream: DataFrame, m: int, beta: float, flush: bool = True) -> Da
             yield rows(keys.tolist(), amounts.tolist(), 0)
         yield rows([None], [0], sender.n)
 
-    return stream.select("key", "weight").mapInArrow(run, schema)
+    return spread(stream, tasks).select("key", "weight").mapInArrow(run, schema)
 
 
 def cut_value(merged: DataFrame, m: int, value: str) -> Column:

@@ -63,6 +63,13 @@ def test_merge_keeps_the_largest(make_stream):
     assert len(top) == 10 and top[0].key == 1
 
 
+def test_fewer_tasks_fewer_summaries(make_stream):
+    stream = make_stream(ZIPF, partitions=6)
+    summary = stored(frequent.space_saving(stream, 300, tasks=2), "t")
+    assert summary.where("key IS NULL").count() == 2
+    check(exact.exact_histogram(stream), merge_upper(summary))
+
+
 def test_empty_input(make_stream):
     empty = make_stream([])
     for summary in (
