@@ -7,8 +7,9 @@ work stays in generated JVM code. Seeds are 31- or 32-bit integers; keys are fol
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of the hash families.
 MASK31 = 0x7FFFFFFF
@@ -129,6 +130,15 @@ def key_to_int(key: Column | str) -> Column:
     return F.conv(F.substring(F.md5(_col(key).cast("string")), 1, 7), 16, 10).cast("long")
 
 
+def key_code(df: DataFrame, code: Column | None = None, key: str = "key") -> Column:
+    """31-bit code of a stream's keys: the integers themselves, strings by ``key_to_int``, or
+    ``code`` where one is given."""
+    if code is None:
+        text = isinstance(df.schema[key].dataType, StringType)
+        code = key_to_int(key) if text else F.col(key)
+    return fold31(code)
+
+
 def row_hash(row_id: Column | str, seed: tuple[int, ...]) -> Column:
     """31-bit hash of a 62-bit row id; both halves count, so wide ids do not alias."""
     row_id = _col(row_id).cast("long")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keytally.functions.hashing import fold31
+from keytally.functions.hashing import key_code
 from keytally.functions.seeds import SeedTable
 from keytally.operators.exact import exact_histogram, exact_join_size
 from keytally.operators.linear import _ids, count_min_build, linear_sketch, sign_column
@@ -58,11 +58,10 @@ def agms_build(stream: DataFrame, seeds: SeedTable, code: Column | None = None)
     Every counter sees every key, so the keys are counted first and then meet the seeds.
     """
     ids = (*_ids(seeds), "col")
-    if code is None:
-        stream = exact_histogram(stream).withColumnRenamed("cnt", "weight")
-    x = fold31("key") if code is None else fold31(code)
+    stream = exact_histogram(stream).withColumnRenamed("cnt", "weight")
+    x = key_code(stream, code).alias("_x")
     wide = seeds.attach(
-        stream.select("weight", x.alias("_x")), only=(*ids, "sa", "sb", "sc", "sd")
+        stream.select("weight", x), only=(*ids, "sa", "sb", "sc", "sd")
     )
     return wide.groupBy(*ids).agg(F.sum(sign_column() * F.col("weight")).alias("v"))
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keytally.functions.hashing import cw2b, cw4, cw4b, fold31
+from keytally.functions.hashing import cw2b, cw4, cw4b, key_code
 from keytally.functions.seeds import SeedTable
 from keytally.operators.exact import exact_histogram
 
@@ -43,11 +43,10 @@ def hash_rows(
 ) -> DataFrame:
     """Each row of ``df`` once per sketch row, with its ``bucket`` and, if asked, its ``sign``.
 
-    ``code`` is the integer the key is hashed by; the key itself where omitted.
+    ``code`` is the integer a key is hashed by; see ``key_code``.
     """
-    code = fold31("key") if code is None else fold31(code)
     need = _BUCKET_SEEDS + (_SIGN_SEEDS if signed else ())
-    wide = seeds.attach(df.withColumn("_x", code), only=(*_ids(seeds), *need))
+    wide = seeds.attach(df.withColumn("_x", key_code(df, code)), only=(*_ids(seeds), *need))
     extra = [sign_column().alias("sign")] if signed else []
     return wide.select(*df.columns, *_ids(seeds), bucket_column(buckets).alias("bucket"), *extra)
 
@@ -115,15 +114,14 @@ def count_min_query(
     probes are looked up in place without any shuffle; a larger one is joined by cell.
     """
     if seeds.depth * buckets <= dense_limit:
-        folded = fold31("key") if code is None else fold31(code)
+        folded = key_code(probes, code)
         cells = _dense(sketch, seeds, buckets)
         at = []
         for _, row, _, *numbers in seeds.rows:
             bucket = cw4b(*numbers[4:], folded, buckets)
             at.append(F.get(cells, (bucket + row * buckets).cast("int")))
         return probes.withColumn("est", F.least(*at) if len(at) > 1 else at[0])
-    distinct = probes.select("key", *(["_code"] if "_code" in probes.columns else [])).distinct()
-    cells = hash_rows(distinct, seeds, buckets, code=code).join(sketch, ["row", "bucket"], "left")
+    cells = hash_rows(probes.select("key").distinct(), seeds, buckets, code=code).join(sketch, ["row", "bucket"], "left")
     found = cells.groupBy("key").agg(F.min(F.coalesce("v", F.lit(0))).alias("est"))
     return probes.join(found, "key")
 

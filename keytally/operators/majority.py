@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from keytally.functions.hashing import cw4b, fold31
+from keytally.functions.hashing import cw4b, key_code
 from keytally.functions.seeds import SeedTable
 from keytally.operators.exact import exact_histogram
 from keytally.operators.linear import hash_rows
@@ -62,13 +62,14 @@ def majority_local(
     votes within the partition ends up as its candidate, with no less than its lead as score;
     scores never exceed the true count.
     """
-    code = F.col("key") if code is None else code
     rows = [
         cw4b(*(numbers[i] for i in range(4, 8)), F.col("_x"), buckets).alias(f"_b{row}")
         for _, row, _, *numbers in seeds.rows
     ]
     # Summed up first, a key is hashed once per run of rows; equal keys have equal buckets.
-    sums = summed_in_task(spread(stream, tasks)).select("key", "weight", fold31(code).alias("_x"))
+    sums = summed_in_task(spread(stream, tasks)).select(
+        "key", "weight", key_code(stream, code).alias("_x")
+    )
     coded = sums.select("key", "weight", *rows)
     schema = StructType.fromDDL("part long, row int, bucket long")
     schema = schema.add("cand", stream.schema["key"].dataType).add("cnt", "long")

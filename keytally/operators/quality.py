@@ -101,7 +101,7 @@ def speedup(
         *config, F.col(value).alias("_base")
     )
     return summary.join(base, [*config], "left").select(
-        *summary.columns, (F.col(value) / F.col("_base")).alias("speedup")
+        *summary.columns, F.try_divide(F.col(value), F.col("_base")).alias("speedup")
     )
 
 
@@ -115,7 +115,7 @@ def operation_totals(workers: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
             "operations",
             "queries",
             (F.col("operations") - F.col("queries")).alias("inserts"),
-            (F.col("queries") * 100 / F.col("operations")).alias("query_percent"),
+            F.try_divide(F.col("queries") * 100, F.col("operations")).alias("query_percent"),
         )
     )
 
@@ -124,7 +124,7 @@ def throughput(workers: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Millions of inserts, queries and operations per second of a run; a run lasts as long as
     its slowest worker (``ms``)."""
     def rate(count: Column) -> Column:
-        return count / F.col("_ms") / 1000
+        return F.try_divide(count, F.col("_ms")) / 1000
 
     return (
         workers.groupBy(*by)

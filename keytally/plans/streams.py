@@ -61,13 +61,13 @@ USERS = q.stream("events", "user_id")
 @reg.query("key_stream_streaming", f"SELECT key, cnt FROM {q.hist(USERS)}")
 def _live(s, d):
     folder = work_path(s, "live")
-    sl.run_histogram(live_events(s, d, "user_id"), folder)
+    sl.run_histogram(live_events(s, d, "user_id"), folder, SHARDS)
     return sl.stream_histogram(s, folder, LongType())
 
 
 def _live_summary(s, d, stream, owner, key_type, **options):
     folder = work_path(s, "stream")
-    sc.run_space_saving(stream, COUNTERS, owner, folder, **options)
+    sc.run_space_saving(stream, COUNTERS, owner, folder, partitions=SHARDS, **options)
     return folder, sc.snapshot(s, folder, sc.summary_schema(key_type))
 
 
@@ -134,7 +134,7 @@ def _flush(s, d):
 def _stream_deltas(s, d):
     folder = work_path(s, "stream-deltas")
     shard = owner_of(key_to_int("key"), SHARDS)
-    sc.run_deltas(live_words(s, d), COUNTERS, BETA, shard, folder)
+    sc.run_deltas(live_words(s, d), COUNTERS, BETA, shard, folder, SHARDS)
     rows = sc.merged_deltas(s, folder, StringType())
     # Both summaries may lose 1 / (COUNTERS + 1) of the weight, the second one per micro-batch
     # no more than the first; a share BETA may be unsent.
@@ -155,7 +155,7 @@ for _name, _signed in (("stream_count_min", False), ("stream_fast_agms", True)):
 
     def _linear(s, d, signed=_signed):
         folder = work_path(s, "stream-cells")
-        sl.run_linear_sketch(live_events(s, d, "user_id"), SEEDS, BUCKETS, folder, signed)
+        sl.run_linear_sketch(live_events(s, d, "user_id"), SEEDS, BUCKETS, folder, signed, partitions=SHARDS)
         return sl.stream_cells(s, folder)
 
     reg.add(

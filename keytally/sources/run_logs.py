@@ -19,6 +19,28 @@ def _field(pattern: str, group: int = 1, kind: str = "double") -> Column:
     return F.regexp_extract("value", pattern, group).cast(kind)
 
 
+# Fixed value: the run's parameters as they follow each other in a file's name.
+RUN_NAME = r"_(\d+)_([0-9.]+)_([0-9.]+)_(\d+)_(\d+)_(\d+)_(\d+)_"
+RUN_PARAMETERS = {
+    "threads": "int",
+    "skew": "double",
+    "phi": "double",
+    "filter_sum": "bigint",
+    "filter_keys": "bigint",
+    "n": "bigint",
+    "query_rate": "int",
+}
+
+
+def with_run_parameters(log: DataFrame) -> DataFrame:
+    """The run's parameters, read from the column ``file``; null where a name has none."""
+    found = [
+        F.regexp_extract("file", RUN_NAME, i).try_cast(kind).alias(name)
+        for i, (name, kind) in enumerate(RUN_PARAMETERS.items(), start=1)
+    ]
+    return log.select("*", *found)
+
+
 def read_throughput(spark: SparkSession, path: str) -> DataFrame:
     """(file, mops) of lines ``Total processing throughput <f> ...``."""
     pattern = rf"^Total processing throughput {NUMBER}"

@@ -129,7 +129,8 @@ def run_space_saving(
     warm: DataFrame | None = None,
     phi: float | None = None,
     every: int = 1,
-) -> None:
+    partitions: int | None = None,
+) -> list:
     """Keeps a whole snapshot per micro-batch under ``folder``: the owners that changed, and the
     others as they were. With ``phi``, also answers the frequent-elements question after every
     ``every``-th micro-batch."""
@@ -151,7 +152,8 @@ def run_space_saving(
             )
             batch_writer(f"{folder}/answers")(answer, batch_id)
 
-    run(stream_space_saving(stream, m, owner, warm), each, f"{folder}/checkpoint", "update")
+    summaries = stream_space_saving(stream, m, owner, warm)
+    return run(summaries, each, f"{folder}/checkpoint", "update", partitions)
 
 
 def snapshot(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
@@ -232,7 +234,14 @@ def stream_deltas(stream: DataFrame, m: int, beta: float, shard: Column) -> Data
     )
 
 
-def run_deltas(stream: DataFrame, m: int, beta: float, shard: Column, folder: str) -> None:
+def run_deltas(
+    stream: DataFrame,
+    m: int,
+    beta: float,
+    shard: Column,
+    folder: str,
+    partitions: int | None = None,
+) -> list:
     """Sends increments on and merges them, micro-batch by micro-batch, into a second-level
     summary of m counters under ``folder``."""
     key_type = stream.schema["key"].dataType
@@ -252,7 +261,8 @@ def run_deltas(stream: DataFrame, m: int, beta: float, shard: Column, folder: st
         batch_writer(f"{folder}/merged")(cut_to(sums, m), batch_id)
         batch_writer(f"{folder}/seen")(seen, batch_id)
 
-    run(stream_deltas(stream, m, beta, shard), each, f"{folder}/checkpoint", "update")
+    sent = stream_deltas(stream, m, beta, shard)
+    return run(sent, each, f"{folder}/checkpoint", "update", partitions)
 
 
 def merged_deltas(spark: SparkSession, folder: str, key_type) -> DataFrame:

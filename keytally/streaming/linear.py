@@ -21,11 +21,13 @@ def run_linear_sketch(
     folder: str,
     signed: bool = False,
     code: Column | None = None,
-) -> None:
+    partitions: int | None = None,
+) -> list:
     """Count-Min or, signed, Fast-AGMS: a streaming grouped sum whose state is the cells. There
     are at most rows x buckets of them, so every micro-batch writes them all."""
     cells = linear_sketch(stream, seeds, buckets, signed, code=code)
-    run(cells, batch_writer(f"{folder}/cells"), f"{folder}/checkpoint", "complete")
+    write = batch_writer(f"{folder}/cells")
+    return run(cells, write, f"{folder}/checkpoint", "complete", partitions)
 
 
 def stream_cells(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,7 +37,7 @@ def stream_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 def run_majority_sketch(
     stream: DataFrame, seeds: SeedTable, buckets: int, folder: str, code: Column | None = None
-) -> None:
+) -> list:
     """A majority sketch of each micro-batch, merged into the one before it."""
     schema = _votes_schema(stream.schema["key"].dataType)
 
@@ -46,7 +48,7 @@ def run_majority_sketch(
             now = majority_merge(now.unionByName(before)).select("row", "bucket", "cand", "cnt")
         batch_writer(f"{folder}/votes")(now, batch_id)
 
-    run(stream.select("key", "weight"), each, f"{folder}/checkpoint")
+    return run(stream.select("key", "weight"), each, f"{folder}/checkpoint")
 
 
 def _votes_schema(key_type: DataType) -> StructType:
@@ -60,10 +62,11 @@ def stream_votes(spark: SparkSession, folder: str, key_type: DataType) -> DataFr
     return newest(batches(spark, f"{folder}/votes", _votes_schema(key_type)))
 
 
-def run_histogram(stream: DataFrame, folder: str) -> None:
+def run_histogram(stream: DataFrame, folder: str, partitions: int | None = None) -> list:
     """Exact counts of a stream; state grows with the distinct keys."""
     counts = stream.groupBy("key").agg(F.sum("weight").alias("cnt"))
-    run(counts, batch_writer(f"{folder}/counts"), f"{folder}/checkpoint", "update")
+    write = batch_writer(f"{folder}/counts")
+    return run(counts, write, f"{folder}/checkpoint", "update", partitions)
 
 
 def stream_histogram(spark: SparkSession, folder: str, key_type: DataType) -> DataFrame:

@@ -21,17 +21,24 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession):
-    """Stateful operators keep their state in RocksDB, on disk and checkpointed."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB_PROVIDER)
+def state_settings(spark: SparkSession, partitions: int | None = None):
+    """State is kept in RocksDB, on disk and checkpointed, in ``partitions`` partitions (the
+    session's shuffle partitions where omitted). A query takes the settings when it starts; the
+    number of partitions stays with its checkpoint."""
+    wanted = {PROVIDER: ROCKSDB_PROVIDER}
+    if partitions is not None:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def start(
@@ -56,15 +63,25 @@ def run(
     each_batch: Callable[[DataFrame, int], None],
     checkpoint: str,
     mode: str = "append",
-) -> list[dict]:
+    partitions: int | None = None,
+) -> list:
     """Reads all that is there, in as many micro-batches as the source makes, and returns the
     progress of each."""
-    with rocksdb_state(stream.sparkSession):
+    with state_settings(stream.sparkSession, partitions):
         query = start(stream, each_batch, checkpoint, mode)
         query.awaitTermination()
     return list(query.recentProgress)
 
 
+def progress_table(spark: SparkSession, progress: list) -> DataFrame:
+    """(batch, operations, queries, ms) per micro-batch, as the throughput reports take it."""
+    rows = [
+        (p["batchId"], p["numInputRows"], 0, p["durationMs"].get("triggerExecution", 0))
+        for p in progress
+    ]
+    return spark.createDataFrame(rows, "batch long, operations long, queries long, ms long")
+
+
 def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

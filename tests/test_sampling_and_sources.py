@@ -160,6 +160,22 @@ def test_logs(spark):
     assert ranks[0].file.endswith(".txt")
 
 
+def test_run_parameters(spark):
+    names = ["skew_cm_a_throughput_24_1.25_0.0001_1000_16_10000000_100_runs_throughput.log", "other.log"]
+    df = spark.createDataFrame([(n,) for n in names], "file string")
+    first, second = run_logs.with_run_parameters(df).collect()
+    assert tuple(first)[1:] == (24, 1.25, 0.0001, 1000, 16, 10_000_000, 100)
+    assert set(tuple(second)[1:]) == {None}
+
+
+def test_string_keys_find_their_code(make_stream):
+    seeds = seed_table(rows=2, seed=4)
+    stream = make_stream(["a", "b", "a"], kind="string")
+    sketch = linear.count_min_build(stream, seeds, 4096)
+    got = linear.count_min_query(sketch, stream.select("key").distinct(), seeds, 4096)
+    assert {(r.key, r.est) for r in got.collect()} == {("a", 2), ("b", 1)}
+
+
 def test_quality_edges(spark, make_stream):
     hist = exact.exact_histogram(make_stream([1] * 6 + [2] * 3 + [3]))
     none = spark.createDataFrame([], "key long, est long")

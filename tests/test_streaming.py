@@ -80,3 +80,17 @@ def test_majority_over_batches(spark):
     votes = stream_linear.stream_votes(spark, folder, LongType())
     top = {r.cand: r.cnt for r in votes.where("row = 0").collect()}
     assert top == {4: 35, 5: 10, 6: 2}
+
+
+def test_progress_as_throughput(spark):
+    from keytally.operators.quality import throughput
+    from keytally.streaming.runner import progress_table
+
+    path, folder = (work_path(spark, n) for n in ("in", "out"))
+    for _ in range(3):
+        add_file(spark, path, list(range(100)))
+    progress = stream_linear.run_histogram(live(spark, path), folder, partitions=2)
+    rows = progress_table(spark, progress)
+    assert rows.agg(F.sum("operations")).head()[0] == 300 and rows.count() >= 3
+    assert throughput(rows).head().m_operations > 0
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
