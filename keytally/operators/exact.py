@@ -43,11 +43,15 @@ def exact_top_k(stream: DataFrame, k: int) -> DataFrame:
     return sorted_histogram(stream).limit(k)
 
 
-def _total_product(a: str, b: str) -> Column:
-    """An exact sum of products, past the BIGINT range too, given out as a double."""
+def _product(a: str, b: str) -> Column:
+    """A product of two counts that may pass the BIGINT range."""
     wide = "decimal(19,0)"
-    total = F.sum(F.col(a).cast(wide) * F.col(b).cast(wide))
-    return F.coalesce(total.cast("double"), F.lit(0.0))
+    return F.col(a).cast(wide) * F.col(b).cast(wide)
+
+
+def _total_product(a: str, b: str) -> Column:
+    """An exact sum of products, given out as a double."""
+    return F.coalesce(F.sum(_product(a, b)).cast("double"), F.lit(0.0))
 
 
 def exact_join_size(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -62,27 +66,36 @@ def exact_self_join_size(stream: DataFrame) -> DataFrame:
     return exact_histogram(stream).agg(_total_product("cnt", "cnt").alias("join_size"))
 
 
-def prefix_sums(values: DataFrame, bits: int, by: tuple[str, ...] = ()) -> DataFrame:
+def _in_blocks(values: DataFrame, bits: int) -> DataFrame:
+    """(key, v) rows with their block of 2^(bits/2) keys and the running total inside it."""
+    if not 0 < bits <= 40:
+        raise ValueError("bits must lie in 1..40")
+    blocks = values.withColumn("_block", F.shiftright(F.col("key"), bits // 2))
+    inside = Window.partitionBy("_block").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    return blocks.withColumn("_inside", F.sum("v").over(inside))
+
+
+def _before_block(total: str) -> Column:
+    """The sum of the lower blocks' totals, over one row per block."""
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(total).over(before), F.lit(0))
+
+
+def prefix_sums(values: DataFrame, bits: int) -> DataFrame:
     """Running totals of (key, v) over the key order, as column ``prefix``.
 
-    Keys are unique per ``by`` group and lie in [0, 2^bits). They are cut into blocks of
-    2^(bits/2): one window runs inside each block and one over the block totals, so no
-    window sees more than 2^(bits/2 + 1) rows, however large the table behind them.
+    Keys are unique and lie in [0, 2^bits). They are cut into blocks of 2^(bits/2): one window
+    runs inside each block and one over the block totals, so no window sees more than
+    2^(bits/2 + 1) rows, however large the table behind them.
     """
-    if not 0 < bits <= 40:
-        raise ValueError("bits must lie in 1..40")
-    half = bits // 2
-    blocks = values.withColumn("_block", F.shiftright(F.col("key"), half))
-    totals = blocks.groupBy(*by, "_block").agg(F.sum("v").alias("_total"))
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *by, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = (
-        Window.partitionBy(*by, "_block").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    running = _in_blocks(values, bits)
+    totals = (
+        values.select(F.shiftright(F.col("key"), bits // 2).alias("_block"), "v")
+        .groupBy("_block")
+        .agg(F.sum("v").alias("_total"))
     )
-    running = blocks.withColumn("_inside", F.sum("v").over(inside))
-    return running.join(offsets, [*by, "_block"]).select(
+    offsets = totals.select("_block", _before_block("_total").alias("_offset"))
+    return running.join(offsets, "_block").select(
         *values.columns, (F.col("_offset") + F.col("_inside")).alias("prefix")
     )
 
@@ -92,7 +105,8 @@ def range_join_size(points: DataFrame, intervals: DataFrame, bits: int) -> DataF
 
     Counted as sum over interval ends of S(hi) - S(lo - 1), with S the running point count.
     Ends and points are counted per value before they meet, so neither a hot point nor a
-    popular interval is ever paired up.
+    popular interval is ever paired up. S is cut into blocks as in ``prefix_sums``; a block is
+    summed up where it lies, and only one row per block goes on.
     """
     valid = intervals.where(F.col("hi") >= F.col("lo"))
     ends = valid.select(
@@ -107,6 +121,12 @@ def range_join_size(points: DataFrame, intervals: DataFrame, bits: int) -> DataF
     axis = counts.unionByName(ends).groupBy("key").agg(
         F.sum("v").alias("v"), F.sum("times").alias("times")
     )
-    return prefix_sums(axis, bits).agg(
-        F.coalesce(F.sum(F.col("times") * F.col("prefix")), F.lit(0)).alias("matches")
+    blocks = _in_blocks(axis, bits).groupBy("_block").agg(
+        F.sum("v").alias("_total"),
+        F.sum("times").alias("_times"),
+        F.sum(_product("times", "_inside")).alias("_matches"),
+    )
+    matches = F.col("_matches") + _product("_times", "_before")
+    return blocks.select("*", _before_block("_total").alias("_before")).agg(
+        F.coalesce(F.sum(matches).cast("double"), F.lit(0.0)).alias("matches")
     )

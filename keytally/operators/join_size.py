@@ -9,16 +9,10 @@ from pyspark.sql import functions as F
 
 from keytally.functions.hashing import key_code
 from keytally.functions.seeds import SeedTable
-from keytally.operators.exact import exact_histogram, exact_join_size
+from keytally.operators.exact import _product, exact_histogram, exact_join_size
 from keytally.operators.linear import _ids, count_min_build, linear_sketch, sign_column
 
 
-def _product(a: str, b: str) -> Column:
-    """A product of two counts that may pass the BIGINT range."""
-    wide = "decimal(19,0)"
-    return F.col(a).cast(wide) * F.col(b).cast(wide)
-
-
 # --- combiners -------------------------------------------------------------------------
 
 

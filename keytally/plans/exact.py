@@ -100,7 +100,7 @@ reg.add(
 reg.add(
     "range_join_size",
     lambda s, d: exact.range_join_size(supp(s, d), intervals(s, d), key_bits(s, d)),
-    "SELECT SUM(p.cnt * i.n)::BIGINT AS matches FROM "
+    "SELECT SUM(p.cnt * i.n)::DOUBLE AS matches FROM "
     f"{q.hist(SUPP)} p JOIN (SELECT lo, hi, COUNT(*) AS n FROM {INTERVALS} GROUP BY 1, 2) i "
     "ON p.key BETWEEN i.lo AND i.hi",
 )

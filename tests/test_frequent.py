@@ -70,6 +70,35 @@ def test_fewer_tasks_fewer_summaries(make_stream):
     check(exact.exact_histogram(stream), merge_upper(summary))
 
 
+def test_hot_key_crosses_the_shuffle_once_per_task(make_stream):
+    from keytally.operators.summaries import pending_deltas
+
+    stream = make_stream([5] * 40_000 + list(range(100, 500)) * 20, partitions=4)
+    deltas = pending_deltas(stream, owner_of("key", 3))
+    hot = deltas.where("key = 5").agg(F.count(F.lit(1)), F.sum("weight")).head()
+    assert hot[0] <= 4 and hot[1] == 40_000
+
+
+@pytest.mark.parametrize("partitions", [1, 17])
+def test_answers_do_not_depend_on_partitions(spark, small, partitions):
+    import __spark_entry__ as entry
+    from oracle_check import compare, connect
+
+    names = (
+        "frequent_elements_global", "frequent_elements_lower", "space_saving_merge", "topkapi_merge",
+        "frequent_items_merge", "augmented_sketch", "range_join_size", "update_and_query",
+        "sample_without_replacement_large", "shuffle_frequencies",
+    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        duck, queries, sql = connect(small), entry.queries(), entry.oracle_sql()
+        faults = {n: compare(queries[n](spark, small), sql[n], duck) for n in names}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert not any(faults.values()), faults
+
+
 def test_empty_input(make_stream):
     empty = make_stream([])
     for summary in (
