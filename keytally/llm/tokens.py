@@ -12,8 +12,10 @@ file is::
 all little-endian. The index makes any document a single short read. The dictionary is a file beside
 them, trained on the id arrays of a bounded sample; a reader refuses files made with another one.
 
-Texts are cut before single spaces between other characters, where the byte-level tokenizer always
-starts a new word, and each different cut is encoded once; the ids are those of the whole text.
+Texts whose only white space is single spaces and line ends between other characters are cut there, and
+words before the marks at their end: the byte-level tokenizer always starts a new word at these places.
+A word that is remembered is not encoded again. Other texts are encoded whole. Either way the ids are
+those of the whole text.
 
 Defined results: a null or empty text has the end id only; null ids come first; rows of one id follow
 each other in the order of a hash of their texts, and share no file range by force; an empty table
@@ -24,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -45,21 +46,45 @@ MAGIC = b"KTID1"
 END_ID = 2
 FILE_BYTES = 256 << 20
 READ_BYTES = 8 << 20
-#: The dictionary is trained on at most so many documents of at most so many characters.
+#: The dictionary is trained on about so many documents (twice as many at most) of at most so many
+#: characters, chosen by a hash.
 SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 20_000
 DICTIONARY_BYTES = 64 << 10
-#: Different cuts of text that a worker remembers.
-CACHE_CUTS = 300_000
+#: Words that a worker remembers of late, and as many from before.
+CACHE_WORDS = 400_000
+#: Words that are encoded as one text.
+JOINED = 64
 MANIFEST = "part int, seq int, file string, documents long, ids long"
 _HEAD = struct.Struct(f"<{len(MAGIC)}sB32s")
 _ENTRY = struct.Struct("<QQQqB")
 _TAIL = struct.Struct("<QQ")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Marks and letters between which the tokenizer always starts a new word.
+_MARKS = ".,!?;:%$&#*|"
+_LETTERS = frozenset(
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789ÄÖÜäöüßàâçèéêëîïôùûáíñóú"
+)
+
+
+class _Memory:
+    """Ids of words by their text; those not used for long are forgotten first."""
+
+    def __init__(self, lead: str) -> None:
+        self.lead, self.ids, self.older = lead, {}, {}
+
+    def missing(self, words: set[str]) -> set[str]:
+        """The words whose ids are not at hand; may forget older ones."""
+        new = words.difference(self.ids)
+        if len(self.ids) + len(new) > CACHE_WORDS:
+            self.older, self.ids, new = self.ids, {}, words
+        older = self.older
+        known = [w for w in new if w in older]
+        self.ids.update((w, older[w]) for w in known)
+        return new.difference(known)
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes, remembering the cuts it has seen."""
+    """Ids of texts as little-endian bytes, remembering the words it has seen."""
 
     _made: dict[str, Encoder] = {}
 
@@ -70,7 +95,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.seen: dict[str, bytes] = {}
+        (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.first, self.later = _Memory(""), _Memory(" ")
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -79,32 +105,85 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def _words(self, words: list[str], lead: str) -> dict[str, bytes]:
+        """The ids of each word after ``lead``, encoded as lines: a line end is an id of its own."""
+        out: dict[str, bytes] = {}
+        texts = [
+            lead + f"\n{lead}".join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)
+        ]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for at, got in zip(range(0, len(words), JOINED), encoded):
+            ids = np.array(got.ids, self.kind)
+            ends = (np.flatnonzero(ids == self.newline) * self.width).tolist()
+            raw, own, start = ids.tobytes(), words[at : at + JOINED], 0
+            if len(ends) != len(own) - 1:
+                raise ValueError("the tokenizer does not keep line ends apart")
+            for word, end in zip(own, [*ends, len(raw)]):
+                out[word] = raw[start:end]
+                start = end + self.width
+        return out
+
+    def _learn(self, memory: _Memory, words: set[str]) -> None:
+        """Sees to it that ``memory`` has the ids of all of ``words``."""
+        new = memory.missing(words)
+        cores, tails = {}, set()
+        for word in new:
+            core = word.rstrip(_MARKS)
+            if core and core[-1] in _LETTERS:
+                cores[word] = core
+                tails.add(word[len(core) :])
+            else:
+                cores[word] = word
+        tails.discard("")
+        if tails:
+            self._learn_whole(self.first, tails)
+        self._learn_whole(memory, set(cores.values()))
+        ids, marks = memory.ids, self.first.ids
+        for word, core in cores.items():
+            if word != core:
+                ids[word] = ids[core] + marks[word[len(core) :]]
+
+    def _learn_whole(self, memory: _Memory, words: set[str]) -> None:
+        new = words.difference(memory.ids)
+        older = memory.older
+        memory.ids.update((w, older[w]) for w in new if w in older)
+        memory.ids.update(self._words([w for w in new if w not in older], memory.lead))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cuts = []
+        documents: list[list[list[str]] | str] = []
+        first, later = set(), set()
         for text in texts:
-            first, *rest = _CUT.split(text or "")
-            cuts.append([first, *[" " + c for c in rest]] if rest else [first])
-        new = list({c for own in cuts for c in own if c not in self.seen})
-        if len(self.seen) + len(new) > CACHE_CUTS:
-            self.seen.clear()
-            new = list({c for own in cuts for c in own})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for cut, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.seen[cut] = np.array(got.ids, self.kind).tobytes()
-        seen = self.seen
-        return [b"".join([seen[c] for c in own]) for own in cuts]
+            text = text or ""
+            if " ".join(text.split()) != text.replace("\n", " ") or not text:
+                documents.append(text)  # other white space than single spaces and line ends
+                continue
+            lines = [line.split(" ") for line in text.split("\n")]
+            for line in lines:
+                first.add(line[0])
+                later.update(line[1:])
+            documents.append(lines)
+        self._learn(self.later, later)
+        self._learn(self.first, first)
+        start, rest = self.first.ids, self.later.ids.__getitem__
+        line_end = np.array([self.newline], self.kind).tobytes()
+        out = []
+        for lines in documents:
+            if isinstance(lines, str):
+                ids = self.tokenizer.encode(lines, add_special_tokens=False).ids
+                out.append(np.array(ids, self.kind).tobytes())
+            else:
+                out.append(
+                    line_end.join([start[x[0]] + b"".join(map(rest, x[1:])) for x in lines])
+                )
+        return out
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """A dictionary from the ids of a bounded sample; empty if the sample is too small to train on."""
-    short = F.length("text") <= SAMPLE_CHARS
-    sample = (
-        docs.filter(short)
-        .select("text", F.xxhash64("doc_id", "text").alias("order"))
-        .orderBy("order")
-        .limit(SAMPLE_DOCS)
-    )
+    short = docs.filter(F.length("text") <= SAMPLE_CHARS)
+    share = SAMPLE_DOCS / max(1, short.count())
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) / (1 << 32)
+    sample = short.filter(place < share).limit(2 * SAMPLE_DOCS)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(tokenizer)
