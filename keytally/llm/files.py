@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 
 
@@ -29,3 +31,18 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from slices(batch, rows)
+
+
+def by_bytes(
+    batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20
+) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a column has about ``most`` bytes in each, or one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < len(ends):
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+            to = max(to, at + 1)
+            yield batch.slice(at, to - at)
+            at = to

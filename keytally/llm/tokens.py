@@ -27,18 +27,20 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keytally.llm.files import open_fs, pieces
+from keytally.llm.files import by_bytes, open_fs
 from keytally.session import work_path
 from keytally.sinks.sketch_store import stored
 
@@ -51,40 +53,58 @@ READ_BYTES = 8 << 20
 SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 20_000
 DICTIONARY_BYTES = 64 << 10
-#: Words that a worker remembers of late, and as many from before.
-CACHE_WORDS = 400_000
+#: Words that a worker remembers.
+CACHE_WORDS = 1_000_000
 #: Words that are encoded as one text.
-JOINED = 64
+JOINED = 32
 MANIFEST = "part int, seq int, file string, documents long, ids long"
 _HEAD = struct.Struct(f"<{len(MAGIC)}sB32s")
 _ENTRY = struct.Struct("<QQQqB")
 _TAIL = struct.Struct("<QQ")
 #: Marks and letters between which the tokenizer always starts a new word.
 _MARKS = ".,!?;:%$&#*|"
-_LETTERS = frozenset(
-    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789ÄÖÜäöüßàâçèéêëîïôùûáíñóú"
-)
+_LETTERS = "A-Za-z0-9ÄÖÜäöüßàâçèéêëîïôùûáíñóú"
 
 
-class _Memory:
-    """Ids of words by their text; those not used for long are forgotten first."""
+def _other_spaces() -> str:
+    """A character class of all white space but the space and the line end."""
+    spaces = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace() and chr(c) not in " \n"]
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in spaces) + "]"
 
-    def __init__(self, lead: str) -> None:
-        self.lead, self.ids, self.older = lead, {}, {}
 
-    def missing(self, words: set[str]) -> set[str]:
-        """The words whose ids are not at hand; may forget older ones."""
-        new = words.difference(self.ids)
-        if len(self.ids) + len(new) > CACHE_WORDS:
-            self.older, self.ids, new = self.ids, {}, words
-        older = self.older
-        known = [w for w in new if w in older]
-        self.ids.update((w, older[w]) for w in known)
-        return new.difference(known)
+#: A text that is not words with single spaces and line ends between them.
+_IRREGULAR = rf"^[ \n]|[ \n]\z|[ \n][ \n]|^\z|{_other_spaces()}"
+
+
+#: A word that ends in marks; they become a word of their own that begins with ``\r``.
+_MARKED = f"([{_LETTERS}])([{_MARKS}]+)\\z"
+
+
+class _Table:
+    """Runs of ids, one per word, one after the other."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids, self.sizes = ids, sizes
+        self.starts = np.cumsum(sizes) - sizes
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        """The runs of ``rows``, joined."""
+        size = self.sizes[rows]
+        ends = np.cumsum(size)
+        if not len(ends):
+            return self.ids[:0]
+        return self.ids[np.arange(ends[-1]) + np.repeat(self.starts[rows] - ends + size, size)]
+
+    def joined(self, other: _Table) -> _Table:
+        return _Table(np.concatenate([self.ids, other.ids]), np.concatenate([self.sizes, other.sizes]))
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes, remembering the words it has seen."""
+    """Ids of texts, remembering the words it has seen of late.
+
+    A word is written with the line end before it, with ``\r`` before it where nothing is, or as it
+    is where a space is.
+    """
 
     _made: dict[str, Encoder] = {}
 
@@ -96,7 +116,8 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.first, self.later = _Memory(""), _Memory(" ")
+        self.words = pa.array([], pa.string())
+        self.table = _Table(np.zeros(0, self.kind), np.zeros(0, np.int64))
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -105,77 +126,65 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _words(self, words: list[str], lead: str) -> dict[str, bytes]:
-        """The ids of each word after ``lead``, encoded as lines: a line end is an id of its own."""
-        out: dict[str, bytes] = {}
-        texts = [
-            lead + f"\n{lead}".join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)
-        ]
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        for at, got in zip(range(0, len(words), JOINED), encoded):
-            ids = np.array(got.ids, self.kind)
-            ends = (np.flatnonzero(ids == self.newline) * self.width).tolist()
-            raw, own, start = ids.tobytes(), words[at : at + JOINED], 0
-            if len(ends) != len(own) - 1:
-                raise ValueError("the tokenizer does not keep line ends apart")
-            for word, end in zip(own, [*ends, len(raw)]):
-                out[word] = raw[start:end]
-                start = end + self.width
-        return out
-
-    def _learn(self, memory: _Memory, words: set[str]) -> None:
-        """Sees to it that ``memory`` has the ids of all of ``words``."""
-        new = memory.missing(words)
-        cores, tails = {}, set()
-        for word in new:
-            core = word.rstrip(_MARKS)
-            if core and core[-1] in _LETTERS:
-                cores[word] = core
-                tails.add(word[len(core) :])
-            else:
-                cores[word] = word
-        tails.discard("")
-        if tails:
-            self._learn_whole(self.first, tails)
-        self._learn_whole(memory, set(cores.values()))
-        ids, marks = memory.ids, self.first.ids
-        for word, core in cores.items():
-            if word != core:
-                ids[word] = ids[core] + marks[word[len(core) :]]
-
-    def _learn_whole(self, memory: _Memory, words: set[str]) -> None:
-        new = words.difference(memory.ids)
-        older = memory.older
-        memory.ids.update((w, older[w]) for w in new if w in older)
-        memory.ids.update(self._words([w for w in new if w not in older], memory.lead))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        documents: list[list[list[str]] | str] = []
-        first, later = set(), set()
-        for text in texts:
-            text = text or ""
-            if " ".join(text.split()) != text.replace("\n", " ") or not text:
-                documents.append(text)  # other white space than single spaces and line ends
+    def _encoded(self, words: pa.Array) -> _Table:
+        """Encodes words as lines of joined texts: a line end between lines is an id of its own."""
+        names = words.to_pylist()
+        lines = [w[1:] if w[0] in "\n\r" else " " + w for w in names]
+        texts = ["\n".join(lines[at : at + JOINED]) for at in range(0, len(lines), JOINED)]
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        end = [self.newline]
+        flat = np.array([i for one in got for i in (*one.ids, *end)], self.kind)
+        ends = np.flatnonzero(flat == self.newline)
+        if len(ends) != len(names):
+            raise ValueError("the tokenizer does not keep line ends apart")
+        # the line end after each word goes, the one that a word begins with comes before it
+        sizes = np.diff(ends, prepend=-1) - 1
+        after_line = np.fromiter((w[0] == "\n" for w in names), bool, len(names))
+        kept = np.delete(flat, ends)
+        starts = (np.cumsum(sizes) - sizes)[after_line]
+        return _Table(np.insert(kept, starts, self.newline), sizes + after_line)
+
+    def _rows(self, words: pa.Array) -> np.ndarray:
+        """The rows of ``table`` that hold the ids of different words, after learning new ones."""
+        found = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(found))
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.table = _Table(self.table.ids[:0], self.table.sizes[:0])
+            self.words, new = self.words.slice(0, 0), words
+        if len(new):
+            self.table = self.table.joined(self._encoded(new))
+            self.words = pa.concat_arrays([self.words, new])
+            found = pc.index_in(words, value_set=self.words)
+        return found.to_numpy()
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text in turn."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False)
+        regular = texts.filter(pa.array(~odd))
+        # every word of a regular text after a line end, the first one included, begins with it
+        spread = pc.replace_substring(
+            pc.binary_join_element_wise("", regular, "\n"), "\n", " \n"
+        )
+        words = pc.split_pattern(pc.utf8_slice_codeunits(spread, 1), " ")
+        coded = words.values.dictionary_encode()
+        index, offsets = coded.indices.to_numpy(), words.offsets.to_numpy()
+        parts = pc.split_pattern(
+            pc.replace_substring_regex(coded.dictionary, _MARKED, "\\1 \r\\2"), " "
+        )
+        units = parts.values.dictionary_encode()
+        rows = self._rows(units.dictionary)[units.indices.to_numpy()]
+        sizes = np.concatenate([[0], np.cumsum(self.table.sizes[rows])])[parts.offsets.to_numpy()]
+        table = _Table(self.table.take(rows), np.diff(sizes))
+        nth = 0
+        for i in range(len(texts)):
+            if odd[i]:
+                got = self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids
+                yield np.array(got, self.kind)
                 continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            for line in lines:
-                first.add(line[0])
-                later.update(line[1:])
-            documents.append(lines)
-        self._learn(self.later, later)
-        self._learn(self.first, first)
-        start, rest = self.first.ids, self.later.ids.__getitem__
-        line_end = np.array([self.newline], self.kind).tobytes()
-        out = []
-        for lines in documents:
-            if isinstance(lines, str):
-                ids = self.tokenizer.encode(lines, add_special_tokens=False).ids
-                out.append(np.array(ids, self.kind).tobytes())
-            else:
-                out.append(
-                    line_end.join([start[x[0]] + b"".join(map(rest, x[1:])) for x in lines])
-                )
-        return out
+            mine = index[offsets[nth] : offsets[nth + 1]]
+            nth += 1
+            yield table.take(mine)[1:]  # without the line end set before the text
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
@@ -187,8 +196,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(tokenizer)
-        for part in pieces(batches):
-            got = encoder.encode(part.column(0).to_pylist())
+        for part in by_bytes(batches, "text"):
+            got = [ids.tobytes() for ids in encoder.encode(part.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], names=["ids"])
 
     arrays = [bytes(r.ids) for r in sample.select("text").mapInArrow(ids, "ids binary").collect()]
@@ -247,14 +256,14 @@ def write_token_files(
         encoder, files, out = Encoder.at(tokenizer), [], None
         part = TaskContext.get().partitionId()
         end = np.array([end_id], encoder.kind).tobytes()
-        for rows in pieces(batches):
+        for rows in by_bytes(batches, "text"):
             keys = rows.column(0).to_pylist()
-            for key, ids in zip(keys, encoder.encode(rows.column(1).to_pylist())):
+            for key, ids in zip(keys, encoder.encode(rows.column(1))):
                 if out is None:
                     name = f"{root}/{part:08d}-{len(files):04d}-{uuid.uuid4().hex}.ids"
                     out = _Writer(system, name, encoder.width, dictionary)
                     files.append(out)
-                out.add(key, ids + end)
+                out.add(key, ids.tobytes() + end)
                 if out.offset >= FILE_BYTES:
                     out.close()
                     out = None
