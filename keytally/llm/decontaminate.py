@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytally.llm.files import pieces
+from keytally.llm.files import pieces, unused
 from keytally.llm.fmindex import FMIndex
 from keytally.sinks.sketch_store import stored
 
@@ -118,8 +118,8 @@ def _merged(one: list[tuple[int, int]], two: list[tuple[int, int]]) -> list[tupl
 
 
 def _pass(docs: DataFrame, items: list[tuple[str, str | None]], window: int, text: str) -> DataFrame:
-    """One block of items searched in all documents; adds to what ``__found`` holds."""
-    text_at, found_at = docs.columns.index(text), docs.columns.index("__found")
+    """One block of items searched in all documents; adds to what the last column holds."""
+    text_at, found_at = docs.columns.index(text), len(docs.columns) - 1
     schema = docs.schema
     phrases = Phrases(items, window)
 
@@ -185,13 +185,16 @@ def find_overlaps(
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``docs`` with ``__found``: number of words, merged hit spans (word places) and item ids."""
+    """``docs`` and a last column: number of words, merged hit spans (word places), item ids.
+
+    The column is ``found``, or the next name with underscores that is free.
+    """
     empty = F.expr(
         "named_struct('n_words', 0L, 'spans', "
         "cast(array() as array<struct<start:bigint,end:bigint>>), "
         "'items', cast(array() as array<string>))"
     )
-    out, first = docs.withColumn("__found", empty), True
+    out, first = docs.withColumn(unused(docs, "found"), empty), True
     for block in _blocks(items, block_bytes):
         out = _pass(out if first else stored(out, "overlaps"), block, window, text)
         first = False
@@ -201,14 +204,14 @@ def find_overlaps(
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans of every row."""
     found = find_overlaps(docs.select("doc_id", "text"), items, window=window)
-    spans = F.col("__found.spans")
+    spans = F.col("found.spans")
     hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
     return found.select(
         "doc_id",
-        F.col("__found.n_words").alias("n_words"),
+        F.col("found.n_words").alias("n_words"),
         hit.alias("n_hit"),
-        F.size("__found.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__found.items", ","), 256).alias("items_sha256"),
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
 
@@ -216,7 +219,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows in which no window occurs, with all their columns."""
     found = find_overlaps(docs, items, window=window)
-    return found.filter(F.size("__found.spans") == 0).select(*docs.columns)
+    return found.filter(F.size(F.col(found.columns[-1]).spans) == 0).select(*docs.columns)
 
 
 OVERLAP_SQL = f"""

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
+from pyspark.sql import DataFrame
 
 
 def open_fs(folder: str) -> tuple[fs.FileSystem, str]:
@@ -46,3 +47,11 @@ def by_bytes(
             to = max(to, at + 1)
             yield batch.slice(at, to - at)
             at = to
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from keytally.sinks.sketch_store import stored
 
 PATH = ["domain", "lang", "source"]
-UNITS_PER_RANGE = 20_000
+UNITS_PER_RANGE = 4_096
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Weights of the production mix; nodes that are not named weigh DEFAULT_WEIGHT.
 WEIGHTS = {

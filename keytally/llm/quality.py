@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytally.llm.crf import LineModel, train
-from keytally.llm.files import pieces
+from keytally.llm.files import pieces, unused
 
 CONTENT_SHARE = 0.5
 SAMPLE_DOCS = 2000
@@ -175,14 +175,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> LineModel:
 
 
 def with_verdicts(docs: DataFrame, model: LineModel, text: str = "text") -> DataFrame:
-    """``docs`` with the column ``__quality``: counts, content share and verdicts."""
+    """``docs`` and a last column, ``quality`` if free: counts, content share and verdicts."""
+    name = unused(docs, "quality")
     at = docs.columns.index(text)
     kind = (
         "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,"
         "n_repeat_words:long,n_lines:long,n_content_lines:long,content_share:double,"
         "base_failed:boolean,kept:boolean>"
     )
-    schema = docs.select("*", F.lit(None).cast(kind).alias("__quality")).schema
+    schema = docs.select("*", F.lit(None).cast(kind).alias(name)).schema
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = None
@@ -202,7 +203,7 @@ def with_verdicts(docs: DataFrame, model: LineModel, text: str = "text") -> Data
                     (n_words, chars, symbols, repeats, again, len(bins), sum(content), share)
                     + (failed, not failed and share >= CONTENT_SHARE)
                 )
-            columns = columns or [f.name for f in schema["__quality"].dataType.fields]
+            columns = columns or [f.name for f in schema[name].dataType.fields]
             kinds = [pa.int64()] * 7 + [pa.float64(), pa.bool_(), pa.bool_()]
             own = pa.StructArray.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=columns
@@ -215,10 +216,10 @@ def with_verdicts(docs: DataFrame, model: LineModel, text: str = "text") -> Data
 def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id and the counts and verdicts of every row."""
     rows = with_verdicts(docs.select("doc_id", "text"), fit(docs, labels))
-    return rows.select("doc_id", "__quality.*")
+    return rows.select("doc_id", "quality.*")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that are kept, with all their columns."""
     rows = with_verdicts(docs, fit(docs, labels))
-    return rows.filter("__quality.kept").select(*docs.columns)
+    return rows.filter(F.col(rows.columns[-1]).kept).select(*docs.columns)

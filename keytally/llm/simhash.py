@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keytally.llm.components import components
-from keytally.llm.files import pieces
+from keytally.llm.files import pieces, unused
 from keytally.sinks.sketch_store import stored
 
 BITS = 64
@@ -198,12 +198,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of several rows with that doc_id one stays.
     """
-    numbered = with_fingerprints(docs, name="__fp").withColumn(
-        "__row", F.monotonically_increasing_id()
-    )
+    fp, row = unused(docs, "fp"), unused(docs, "row")
+    numbered = with_fingerprints(docs, name=fp).withColumn(row, F.monotonically_increasing_id())
     numbered = stored(numbered, "numbered-documents")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    rows = numbered.select("doc_id", F.col("__fp").alias("fp"), F.col("__row").alias("row"))
+    rows = numbered.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row"))
     parts = fingerprint_components(rows, order)
-    keepers = parts.select(F.col("first.row").alias("__row")).distinct()
-    return numbered.join(keepers, "__row", "left_semi").select(*docs.columns)
+    keepers = parts.select(F.col("first.row").alias(row)).distinct()
+    return numbered.join(keepers, row, "left_semi").select(*docs.columns)
