@@ -62,12 +62,18 @@ def space_saving_merge(summary: DataFrame, m: int) -> DataFrame:
     return merge_upper(summary).orderBy(F.desc("est"), "key").limit(m)
 
 
-def include_pending(result: DataFrame, pending: DataFrame) -> DataFrame:
-    """Adds what is still on its way to the returned keys. Increments are summed per key
-    before they meet the result."""
+def include_pending(
+    result: DataFrame, pending: DataFrame, untracked: Column | int = 0
+) -> DataFrame:
+    """Adds what is still on its way to all keys that are tracked or have something on its way.
+
+    ``untracked`` is the most that a key may have had before without being in ``result``: the largest
+    floor of the summaries. Increments are summed per key before they meet the result.
+    """
     waiting = pending.groupBy("key").agg(F.sum("weight").alias("_waiting"))
-    return result.join(waiting, "key", "left").withColumn(
-        "est", F.col("est") + F.coalesce("_waiting", F.lit(0))
+    missed = untracked if isinstance(untracked, Column) else F.lit(untracked)
+    return result.join(waiting.where("_waiting > 0"), "key", "full").withColumn(
+        "est", F.coalesce(F.col("est"), missed) + F.coalesce("_waiting", F.lit(0))
     ).drop("_waiting")
 
 

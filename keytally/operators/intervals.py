@@ -27,9 +27,19 @@ def interval_sum(intervals: DataFrame, xi: Callable[[Column], Column]) -> DataFr
     return rows.groupBy("lo", "hi").agg(F.coalesce(F.sum(xi(F.col("_k"))), F.lit(0)).alias("total"))
 
 
+def touched_values(intervals: DataFrame, xi: Callable[[Column], Column]) -> DataFrame:
+    """(key, v) for the numbers that lie in an interval, and with v = 0 for those just before one:
+    all that ``interval_sum_by_prefix`` looks at. Each number's value is worked out once."""
+    numbers = F.when(F.col("hi") >= F.col("lo"), F.sequence(F.col("lo") - 1, F.col("hi")))
+    rows = _distinct(intervals).select("lo", F.explode(numbers).alias("key"))
+    inside = rows.groupBy("key").agg(F.max(F.col("key") >= F.col("lo")).alias("_in"))
+    value = F.when(F.col("_in"), xi(F.col("key"))).otherwise(F.lit(0))
+    return inside.where("key >= 0").select("key", value.cast("long").alias("v"))
+
+
 def interval_sum_by_prefix(intervals: DataFrame, values: DataFrame, bits: int) -> DataFrame:
-    """The same from the variable's values (key, v) over the whole domain [0, 2^bits): two
-    lookups of a running total per interval, however wide."""
+    """The same from the variable's values (key, v) over the domain [0, 2^bits), or over those that
+    the intervals touch: two lookups of a running total per interval, however wide."""
     running = prefix_sums(values, bits).select("key", "prefix")
     ends = _distinct(intervals).withColumn("_before", F.col("lo") - 1)
     high = running.select(F.col("key").alias("hi"), F.col("prefix").alias("_high"))

@@ -37,12 +37,21 @@ class Counters:
         self.floor = 0
 
     def load(self, keys, cnt, err, n: int, floor: int) -> "Counters":
-        self.keys = keys
-        self.cnt = np.array(cnt, dtype=np.int64)
-        self.err = np.array(err, dtype=np.int64)
+        """Starts from counters of any number: those of one key are added up, and the least of too
+        many are cut as the kind of summary does it."""
+        codes, unique = pd.factorize(keys)
+        self.keys = unique
+        self.cnt, self.err = (np.zeros(len(unique), dtype=np.int64) for _ in range(2))
+        np.add.at(self.cnt, codes, np.asarray(cnt, dtype=np.int64))
+        np.add.at(self.err, codes, np.asarray(err, dtype=np.int64))
         self.n, self.floor = n, floor
+        if len(self) > self.m:
+            self._reduce()
         return self
 
+    def _reduce(self) -> None:
+        raise NotImplementedError
+
     def add(self, keys: np.ndarray, weights: np.ndarray) -> None:
         keys, weights = checked(keys, weights)
         if not len(keys):
@@ -80,13 +89,22 @@ class Counters:
 
 class SpaceSaving(Counters):
     """A new key takes over the least counter and its count: counts never fall short, and
-    they add up to the weight seen."""
+    they add up to the weight seen, unless it starts from summaries that were cut or merged."""
+
+    def _reduce(self) -> None:
+        order = np.argsort(-self.cnt, kind="stable")
+        self.floor = max(self.floor, int(self.cnt[order[self.m]]))
+        keep = np.sort(order[: self.m])
+        self.keys, self.cnt, self.err = self.keys[keep], self.cnt[keep], self.err[keep]
 
     def _insert(self, keys: np.ndarray, weights: np.ndarray) -> None:
-        # Keys come lightest first; the heaviest get the free counters.
+        # Keys come lightest first; the heaviest get the free counters. What such a key may have had
+        # before is the floor, which is 0 but for a summary that was loaded.
         free = min(self.m - len(self), len(keys))
         if free:
-            self._append(keys[-free:], weights[-free:])
+            at = len(self)
+            self._append(keys[-free:], weights[-free:] + self.floor)
+            self.err[at:] = self.floor
             keys, weights = keys[:-free], weights[:-free]
         done = 0
         while done < len(keys):
@@ -103,7 +121,8 @@ class SpaceSaving(Counters):
             self.keys[at], self.err[at] = keys[took], least[:run]
             self.cnt[at] = least[:run] + weights[took]
             done += run
-        self.floor = int(self.cnt.min()) if len(self) == self.m else 0
+        if len(self) == self.m:
+            self.floor = max(self.floor, int(self.cnt.min()))
 
     def _one_by_one(self, keys: np.ndarray, weights: np.ndarray) -> None:
         heap = list(zip(self.cnt.tolist(), range(len(self.cnt))))
@@ -115,7 +134,7 @@ class SpaceSaving(Counters):
 
     def _tracked(self, at: np.ndarray, weights: np.ndarray) -> None:
         if len(self) == self.m:
-            self.floor = int(self.cnt.min())
+            self.floor = max(self.floor, int(self.cnt.min()))
 
 
 class WeightedFrequent(Counters):
@@ -125,8 +144,10 @@ class WeightedFrequent(Counters):
     def _insert(self, keys: np.ndarray, weights: np.ndarray) -> None:
         self._append(keys, weights)
         if len(self) > self.m:
-            cut = int(np.partition(self.cnt, len(self.cnt) - self.m - 1)[-self.m - 1])
-            self._lower(cut)
+            self._reduce()
+
+    def _reduce(self) -> None:
+        self._lower(int(np.partition(self.cnt, len(self.cnt) - self.m - 1)[-self.m - 1]))
 
     def _lower(self, cut: int) -> np.ndarray:
         keep = self.cnt > cut
@@ -138,8 +159,7 @@ class WeightedFrequent(Counters):
 class MedianPurge(WeightedFrequent):
     """As above, lowering by the median counter, which frees half the counters at a time."""
 
-    def _insert(self, keys: np.ndarray, weights: np.ndarray) -> None:
-        self._append(keys, weights)
+    def _reduce(self) -> None:
         while len(self) > self.m:
             self._lower(int(np.partition(self.cnt, len(self.cnt) // 2)[len(self.cnt) // 2]))
 

@@ -16,7 +16,7 @@ from keytally.functions.hashing import cw2b, cw4, cw4b, key_code
 from keytally.functions.seeds import SeedTable
 from keytally.operators.exact import exact_histogram
 
-MAX_DENSE_CELLS = 1 << 20
+# Fixed value: the keys that a part counts exactly.
 HOT_KEYS = 16
 FILTER_SLACK = 5
 
@@ -28,6 +28,11 @@ def _ids(seeds: SeedTable) -> tuple[str, ...]:
     return ("run", "row") if len({r[0] for r in seeds.rows}) > 1 else ("row",)
 
 
+def _one_run(seeds: SeedTable) -> None:
+    if "run" in _ids(seeds):
+        raise ValueError("parts and owners are sketched with the seeds of one run")
+
+
 def sign_column() -> Column:
     return cw4("sa", "sb", "sc", "sd", F.col("_x"))
 
@@ -91,38 +96,23 @@ def merge_cells(*sketches: DataFrame) -> DataFrame:
     return union.groupBy(*ids).agg(F.sum("v").alias("v"))
 
 
-def _dense(sketch: DataFrame, seeds: SeedTable, buckets: int) -> Column:
-    """All cells as one array, row after row: a one-value subquery of a known size."""
-    spark = sketch.sparkSession
-    cells = sketch.select((F.col("row") * F.lit(buckets) + F.col("bucket")).alias("id"), "v")
-    grid = spark.range(seeds.depth * buckets).join(cells, "id", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("v", F.lit(0)).alias("v"))))
-    return grid.agg(ordered.alias("cells")).select(F.col("cells.v")).scalar()
-
-
 def count_min_query(
     sketch: DataFrame,
     probes: DataFrame,
     seeds: SeedTable,
     buckets: int,
     code: Column | None = None,
-    dense_limit: int = MAX_DENSE_CELLS,
 ) -> DataFrame:
     """The probes with ``est``: the least of a key's cells, never below its true weight.
 
-    A sketch of at most ``dense_limit`` cells is handed to the tasks as one array, and the
-    probes are looked up in place without any shuffle; a larger one is joined by cell.
+    Every distinct key is joined with its cells, a row per sketch row; where the seeds hold several
+    runs there is an answer, and a column ``run``, for each.
     """
-    if seeds.depth * buckets <= dense_limit:
-        folded = key_code(probes, code)
-        cells = _dense(sketch, seeds, buckets)
-        at = []
-        for _, row, _, *numbers in seeds.rows:
-            bucket = cw4b(*numbers[4:], folded, buckets)
-            at.append(F.get(cells, (bucket + row * buckets).cast("int")))
-        return probes.withColumn("est", F.least(*at) if len(at) > 1 else at[0])
-    cells = hash_rows(probes.select("key").distinct(), seeds, buckets, code=code).join(sketch, ["row", "bucket"], "left")
-    found = cells.groupBy("key").agg(F.min(F.coalesce("v", F.lit(0))).alias("est"))
+    ids = _ids(seeds)
+    runs = [c for c in ids if c == "run"]
+    asked = hash_rows(probes.select("key").distinct(), seeds, buckets, code=code)
+    cells = asked.join(sketch, [*ids, "bucket"], "left")
+    found = cells.groupBy("key", *runs).agg(F.min(F.coalesce("v", F.lit(0))).alias("est"))
     return probes.join(found, "key")
 
 
@@ -130,8 +120,7 @@ def batched_point_queries(
     sketch: DataFrame, probes: DataFrame, seeds: SeedTable, buckets: int
 ) -> DataFrame:
     """Each distinct key is looked up once, then the answer is handed to all its askers."""
-    answers = count_min_query(sketch, probes.select("key").distinct(), seeds, buckets)
-    return probes.join(answers, "key")
+    return count_min_query(sketch, probes, seeds, buckets)
 
 
 def update_and_query(
@@ -157,13 +146,17 @@ def update_and_query(
     running = rows.withColumn("_inside", F.sum("weight").over(inside)).join(
         offsets, [*ids, "_chunk"]
     )
-    return running.groupBy(order, "key").agg(F.min(F.col("_offset") + F.col("_inside")).alias("est"))
+    runs = [c for c in ids if c == "run"]
+    return running.groupBy(order, "key", *runs).agg(
+        F.min(F.col("_offset") + F.col("_inside")).alias("est")
+    )
 
 
 def estimates_per_part(
     sketch: DataFrame, probes: DataFrame, seeds: SeedTable, buckets: int, part: str
 ) -> DataFrame:
     """(part, key, est) for every part whose sketch has all of the key's cells; else est is 0."""
+    _one_run(seeds)
     rows = hash_rows(probes.select("key").distinct(), seeds, buckets)
     return (
         rows.join(sketch, ["row", "bucket"])
@@ -191,6 +184,7 @@ def owner_partitioned_query(
     stream: DataFrame, probes: DataFrame, seeds: SeedTable, buckets: int, owner: Column
 ) -> DataFrame:
     """One sketch per owner shard; a key is looked up in its owner's sketch only."""
+    _one_run(seeds)
     sketch = count_min_build(stream.withColumn("owner", owner), seeds, buckets, by=("owner",))
     rows = hash_rows(probes.select("key").distinct().withColumn("owner", owner), seeds, buckets)
     found = (
@@ -210,8 +204,8 @@ def hybrid_query(
     parts: int,
     slack: int,
 ) -> DataFrame:
-    """Local cells reach the shared sketch in multiples of ``slack``; the answer adds what
-    ``parts`` local copies may still hold back."""
+    """Cells of each part are merged at reduced precision, in multiples of ``slack``; the answer adds
+    the most that ``parts`` roundings take off a cell."""
     local = count_min_build(stream, seeds, buckets, by=(part,))
     shared = local.groupBy("row", "bucket").agg(F.sum(F.col("v") - F.col("v") % slack).alias("v"))
     found = count_min_query(shared, probes, seeds, buckets)
@@ -263,8 +257,8 @@ def slack_filter_query(
     parts: int,
     slack: int = FILTER_SLACK,
 ) -> DataFrame:
-    """Key counts are written to the sketch in multiples of ``slack``; the answer adds what the
-    filters of ``parts`` parts may hold back."""
+    """Counts of each part enter the sketch at reduced precision, in multiples of ``slack``, so that rare
+    keys do not crowd it; the answer adds the most that ``parts`` roundings take off a key."""
     hist = exact_histogram(stream, (part,))
     written = hist.select("key", (F.col("cnt") - F.col("cnt") % slack).alias("weight"))
     sketch = count_min_build(written.where(F.col("weight") > 0), seeds, buckets)

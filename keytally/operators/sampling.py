@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keytally.functions.hashing import MASK31, hash31, row_hash
+from keytally.functions.hashing import row_hash
 from keytally.functions.seeds import draw_seeds
 from keytally.operators.exact import exact_join_size
 
 HASH_RANGE = 1 << 31
+WIDE_RANGE = 1 << 62
 INDEX_BITS = 16
-MAX_TOP_ROWS = 1_000
 
 
 def uniform(row_id: Column | str, seed: int) -> Column:
@@ -19,11 +19,25 @@ def uniform(row_id: Column | str, seed: int) -> Column:
     return (row_hash(row_id, draw_seeds(5, seed)) + F.lit(0.5)) / F.lit(float(HASH_RANGE))
 
 
-def bernoulli_sample(df: DataFrame, p: float, row_id: str, seed: int = 1) -> DataFrame:
-    """Each row with probability p; 0 keeps none, 1 keeps all."""
+def wide_hash(row_id: Column | str, seeds: tuple) -> Column:
+    """A 62-bit hash of a row id from ten seeds."""
+    high = row_hash(row_id, seeds[:5]) * F.lit(HASH_RANGE)
+    return high + row_hash(row_id, seeds[5:])
+
+
+def bernoulli_cut(p: float) -> int:
+    """Rows whose wide hash lies below it are kept. A p too small to keep any hash is refused."""
     if not 0 <= p <= 1:
         raise ValueError("p must lie in [0, 1]")
-    return df.where(row_hash(row_id, draw_seeds(5, seed)) < F.lit(round(p * HASH_RANGE)))
+    cut = round(p * WIDE_RANGE)
+    if p > 0 and cut == 0:
+        raise ValueError(f"p must be 0 or at least {1 / WIDE_RANGE}")
+    return cut
+
+
+def bernoulli_sample(df: DataFrame, p: float, row_id: str, seed: int = 1) -> DataFrame:
+    """Each row with probability p; 0 keeps none, 1 keeps all."""
+    return df.where(wide_hash(row_id, draw_seeds(10, seed)) < F.lit(bernoulli_cut(p)))
 
 
 def bernoulli_samples(
@@ -35,14 +49,14 @@ def bernoulli_samples(
         *[
             F.struct(
                 F.lit(r).alias("run"),
-                *[F.lit(v).cast("long").alias(f"s{i}") for i, v in enumerate(draw_seeds(5, seed + r))],
+                *[F.lit(v).cast("long").alias(f"s{i}") for i, v in enumerate(draw_seeds(10, seed + r))],
             )
             for r in range(runs)
         ]
     )
     each = df.select("*", F.explode(numbers).alias("_s"))
-    hashed = row_hash(row_id, tuple(F.col(f"_s.s{i}") for i in range(5)))
-    return each.where(hashed < F.lit(round(p * HASH_RANGE))).select(
+    hashed = wide_hash(row_id, tuple(F.col(f"_s.s{i}") for i in range(10)))
+    return each.where(hashed < F.lit(bernoulli_cut(p))).select(
         *df.columns, F.col("_s.run").alias(name)
     )
 
@@ -78,14 +92,10 @@ def row_index(df: DataFrame, row_id: str, seed: int = 1, name: str = "index") ->
     )
 
 
-def sample_without_replacement(
-    df: DataFrame, n: int, row_id: str, seed: int = 1, top_limit: int = MAX_TOP_ROWS
-) -> DataFrame:
-    """Exactly min(n, N) rows. A small sample is a top-n by hash. For a large one the sizes of the
-    hash ranges tell which ranges it needs, and only their rows are numbered, so no task holds it
-    whole and little more than the sample is shuffled."""
-    if n <= top_limit:
-        return df.orderBy(row_hash(row_id, draw_seeds(5, seed)), row_id).limit(max(n, 0))
+def sample_without_replacement(df: DataFrame, n: int, row_id: str, seed: int = 1) -> DataFrame:
+    """Exactly min(n, N) rows: the first n by hash. The sizes of the hash ranges tell which ranges are
+    needed, and only their rows are numbered, so no task holds the sample whole and little more
+    than it is shuffled."""
     hashed = _hashed(df, row_id, seed)
     last = _range_starts(hashed).where(F.col("_start") < n).agg(F.max("_range").alias("r")).scalar()
     needed = hashed.where(F.col("_range") <= last).select(df.columns)
@@ -94,9 +104,7 @@ def sample_without_replacement(
 
 def draw_index(draw: Column, total: Column, seed: int) -> Column:
     """The row a draw picks: a 62-bit hash of the draw modulo the number of rows."""
-    a, b, c, d = draw_seeds(4, seed)
-    x = draw.bitwiseAND(MASK31)
-    return (hash31(a, b, x) * F.lit(HASH_RANGE) + hash31(c, d, x)) % total
+    return wide_hash(draw, draw_seeds(10, seed)) % total
 
 
 def sample_with_replacement(

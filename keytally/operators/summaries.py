@@ -4,7 +4,7 @@ A summary table has one row per counter and one head row per summary:
 
     by..., shard, key, cnt, err, floor, n
 
-Head rows have a null key and carry the weight seen (``n``) and the most weight an untracked
+Rows of the stream without a key are left out. Head rows have a null key and carry the weight seen (``n``) and the most weight an untracked
 key can have (``floor``). Counter rows have n = 0 and repeat the floor of their summary.
 Only summaries are shuffled: at most (m + 1) rows per task and group.
 """
@@ -149,7 +149,8 @@ def local_summaries(
     schema = _schema(stream, by, COUNTER_COLUMNS)
     cls = KINDS[kind]
     run = _runner(lambda: cls(m), list(by), None, _arrow_schema(schema))
-    return spread(stream, tasks).select(*by, "key", "weight").mapInArrow(run, schema)
+    rows = stream.where(F.col("key").isNotNull()).select(*by, "key", "weight")
+    return spread(rows, tasks).mapInArrow(run, schema)
 
 
 def _compact_only(ids: list[str], schema: pa.Schema):
@@ -162,7 +163,7 @@ def _compact_only(ids: list[str], schema: pa.Schema):
 
 def summed_in_task(stream: DataFrame) -> DataFrame:
     """(key, weight) with equal keys summed within each task, without any shuffle."""
-    rows = stream.select("key", "weight")
+    rows = stream.where(F.col("key").isNotNull()).select("key", "weight")
     return rows.mapInArrow(_compact_only(["key"], _arrow_schema(rows.schema)), rows.schema)
 
 
@@ -266,7 +267,8 @@ def delta_rows(
             yield rows(keys.tolist(), amounts.tolist(), 0)
         yield rows([None], [0], sender.n)
 
-    return spread(stream, tasks).select("key", "weight").mapInArrow(run, schema)
+    rows = stream.where(F.col("key").isNotNull()).select("key", "weight")
+    return spread(rows, tasks).mapInArrow(run, schema)
 
 
 def cut_value(merged: DataFrame, m: int, value: str) -> Column:

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytally.functions.hashing import key_to_int, owner_by_hash, owner_of
+from keytally.functions.sizes import counters_for
 from keytally.functions.seeds import seed_table
 from keytally.operators import exact, majority
 from keytally.operators import frequent as f
-from keytally.operators.summaries import merge_lower, merge_upper, pending_deltas
+from keytally.operators.summaries import heads_of, merge_lower, merge_upper, pending_deltas
 from keytally.plans import sqltext as q
 from keytally.plans.registry import Registry
 from keytally.sinks.sketch_store import stored
@@ -23,31 +24,49 @@ from keytally.sources.key_streams import key_stream, table, token_stream
 reg = Registry()
 
 PHI = 0.005
-COUNTERS = 1000
+COUNTERS = counters_for(eps=PHI / 5)
 SHARDS = 4
 EPS = PHI / 2
 BETA = PHI / 10
 LG_SIZE = 11
 
 
-def covered(stream: DataFrame, result: DataFrame, phi: float) -> DataFrame:
+def covered(
+    stream: DataFrame, result: DataFrame, phi: float, eps: float | None = None
+) -> DataFrame:
     """(key, true_cnt, covered) of every key with at least phi * N: is it reported, with bounds
-    that hold?"""
-    truth = exact.exact_frequent_elements(stream, phi)
+    that hold? With ``eps``, the bounds may be no wider than eps * N, and a reported key with less than
+    (phi - eps) * N is a row more, not covered."""
+    hist = exact.exact_histogram(stream)
+    n = hist.agg(F.sum("cnt").alias("n")).scalar()
     holds = (F.col("lower") <= F.col("cnt")) & (F.col("cnt") <= F.col("upper"))
-    return truth.join(result.select("key", "lower", "upper"), "key", "left").select(
-        "key", F.col("cnt").alias("true_cnt"), F.coalesce(holds, F.lit(False)).alias("covered")
+    wanted = F.col("cnt") >= F.lit(phi) * n
+    if eps is not None:
+        holds = holds & (F.col("upper") - F.col("lower") <= F.lit(eps) * n)
+        too_rare = F.col("lower").isNotNull() & (F.col("cnt") < F.lit(phi - eps) * n)
+        holds, wanted = holds & ~too_rare, wanted | too_rare
+    return (
+        hist.join(result.select("key", "lower", "upper"), "key", "left")
+        .where(wanted)
+        .select(
+            "key", F.col("cnt").alias("true_cnt"), F.coalesce(holds, F.lit(False)).alias("covered")
+        )
     )
 
 
-def bound_faults(stream: DataFrame, rows: DataFrame) -> DataFrame:
-    """How many reported keys have bounds that do not hold, and whether any was reported."""
+def bound_faults(stream: DataFrame, rows: DataFrame, width: float = 1 / COUNTERS) -> DataFrame:
+    """How many tracked keys have bounds that do not hold or are wider than a share ``width`` of N, and
+    whether any was tracked."""
     truth = exact.exact_histogram(stream)
+    n = truth.agg(F.sum("cnt").alias("n")).scalar()
     holds = (F.col("lower") <= F.col("cnt")) & (F.col("cnt") <= F.col("upper"))
+    wide = F.col("upper") - F.col("lower") > F.lit(width) * n
     return rows.join(truth.withColumnRenamed("cnt", "true"), "key", "left").withColumn(
         "cnt", F.coalesce("true", F.lit(0))
     ).agg(
-        F.count_if(~holds).alias("faults"), (F.count(F.lit(1)) > 0).alias("any_reported")
+        F.count_if(~holds).alias("faults"),
+        F.count_if(wide).alias("too_wide"),
+        (F.count(F.lit(1)) > 0).alias("any_reported"),
     )
 
 
@@ -59,7 +78,7 @@ def truth_sql(source: str, phi: float) -> str:
 
 
 TRUTH = truth_sql(q.TOKENS, PHI)
-NO_FAULTS = "SELECT 0::BIGINT AS faults, COUNT(*) > 0 AS any_reported FROM documents"
+NO_FAULTS = "SELECT 0::BIGINT AS faults, 0::BIGINT AS too_wide, COUNT(*) > 0 AS any_reported FROM documents"
 EVENT_COUNTS = (
     "SELECT event_type AS key, COUNT(*) AS est, COUNT(*) AS lower, COUNT(*) AS upper "
     "FROM events GROUP BY 1"
@@ -106,7 +125,7 @@ reg.add(
 reg.add(
     "frequent_elements",
     lambda s, d: covered(
-        token_stream(s, d), f.frequent_elements_merged(local(s, d), PHI), PHI
+        token_stream(s, d), f.frequent_elements_merged(local(s, d), PHI), PHI, EPS
     ),
     TRUTH,
 )
@@ -118,7 +137,7 @@ reg.add(
 reg.add(
     "frequent_elements_global",
     lambda s, d: covered(
-        token_stream(s, d), f.frequent_elements_global(sharded(s, d), PHI), PHI
+        token_stream(s, d), f.frequent_elements_global(sharded(s, d), PHI), PHI, EPS
     ),
     TRUTH,
 )
@@ -137,8 +156,9 @@ def split_tokens(s, d):
 def _pending(s, d):
     arrived, pending = split_tokens(s, d)
     summary = stored(f.space_saving_sharded(arrived, COUNTERS, SHARDS, token_owner()), "arrived")
-    # A key may be frequent only with what is pending, so every tracked key is kept.
-    rows = f.include_pending(f.bounds(summary), pending)
+    # A key may be frequent only with what is pending, so every key is kept.
+    floor = heads_of(summary).agg(F.max("floor").alias("floor")).scalar()
+    rows = f.include_pending(f.bounds(summary).select("key", "est"), pending, floor)
     rows = rows.withColumn("lower", F.lit(0)).withColumn("upper", F.col("est"))
     return covered(token_stream(s, d), rows, PHI)
 
@@ -212,18 +232,17 @@ reg.add(
 )
 reg.add(
     "delta_emission",
-    lambda s, d: bound_faults(
-        token_stream(s, d),
-        f.delta_emission(token_stream(s, d), COUNTERS, BETA)
-        .where("key IS NOT NULL")
-        .groupBy("key")
-        .agg(F.lit(0).alias("lower"), F.sum("delta").alias("sent"))
-        .select("key", F.col("sent").alias("lower"), F.lit(2**62).alias("upper")),
-    ),
+    lambda s, d: _sent_faults(token_stream(s, d), deltas(s, d)),
     NO_FAULTS,
 )
 
 
+def _sent_faults(tokens, rows):
+    """What was sent of a key falls short of its count by no more than the summaries may forget."""
+    sent = rows.where("key IS NOT NULL").groupBy("key").agg(F.sum("delta").alias("est"))
+    return bound_faults(tokens, _lower_rows(sent, _delta_slack(True), f.total_of(rows, "n")), EPS)
+
+
 def deltas(s, d, flush=True):
     return stored(f.delta_emission(token_stream(s, d), COUNTERS, BETA, flush), "deltas")
 
@@ -250,14 +269,16 @@ def _delta_merge(s, d):
 def _drained(s, d):
     rows, tokens = deltas(s, d), token_stream(s, d)
     found = f.frequent_elements_lower(rows, COUNTERS, PHI, _delta_slack(True))
-    return covered(tokens, _lower_rows(found, _delta_slack(True), f.total_of(rows, "n")), PHI)
+    slack = _delta_slack(True)
+    return covered(tokens, _lower_rows(found, slack, f.total_of(rows, "n")), PHI, EPS)
 
 
 @reg.query("frequent_elements_lower", TRUTH)
 def _lower(s, d):
     rows, tokens = deltas(s, d, flush=False), token_stream(s, d)
     found = f.frequent_elements_lower(rows, COUNTERS, PHI, _delta_slack(False))
-    return covered(tokens, _lower_rows(found, _delta_slack(False), f.total_of(rows, "n")), PHI)
+    slack = _delta_slack(False)
+    return covered(tokens, _lower_rows(found, slack, f.total_of(rows, "n")), PHI, EPS)
 
 
 # --- frequent items with error bounds ----------------------------------------------------
@@ -381,6 +402,22 @@ def _by_group_exact(s, d):
     return merge_lower(summary, ("l_returnflag",))
 
 
+@reg.query(
+    "frequent_items_by_group",
+    "SELECT l_returnflag, l_quantity::BIGINT AS key, COUNT(*) AS est, COUNT(*) AS lower, COUNT(*) AS "
+    "upper FROM lineitem GROUP BY 1, 2",
+)
+def _items_by_group(s, d):
+    """Median-purged summaries per group; 64 counters have room for the 50 quantities."""
+    stream = key_stream(
+        s, d, "lineitem", F.col("l_quantity").cast("long"), extra=("l_returnflag",)
+    )
+    summary = stored(
+        f.frequent_elements_by_group(stream, ("l_returnflag",), 64, "items"), "groups"
+    )
+    return merge_lower(summary, ("l_returnflag",))
+
+
 # --- majority votes ----------------------------------------------------------------------
 
 VOTE_SEEDS = seed_table(rows=4, seed=19)

@@ -158,10 +158,20 @@ reg.add(
         probes(s, d),
         SEEDS,
         BUCKETS,
-        dense_limit=0,
     ),
     f"SELECT key, est FROM {q.count_min_est(q.sketch(PART, SEEDS, BUCKETS), PROBES, SEEDS, BUCKETS)}",
 )
+RUN_SEEDS = seed_table(rows=3, runs=4, seed=47)
+_run_cells = q.sketch(PART, RUN_SEEDS, BUCKETS, ids='run, "row"')
+reg.add(
+    "count_min_query_by_run",
+    lambda s, d: linear.count_min_query(
+        linear.count_min_build(parts(s, d), RUN_SEEDS, BUCKETS), probes(s, d), RUN_SEEDS, BUCKETS
+    ),
+    f'SELECT key, run, MIN(v)::BIGINT AS est FROM (SELECT key, s.run, s."row", {q.bucket(BUCKETS)} AS bucket '
+    f"FROM (SELECT *, {q.fold('key')} AS x FROM {PROBES}), {RUN_SEEDS.values_sql()}) "
+    f'JOIN {_run_cells} USING (run, "row", bucket) GROUP BY key, run',
+)
 reg.add(
     "update_and_query",
     lambda s, d: linear.update_and_query(
@@ -286,10 +296,26 @@ reg.add(
     )
     + " USING (key)",
 )
-reg.add(
+
+
+def _big_endian(column: str, start: int, size: int):
+    return F.conv(F.hex(F.substring(column, start, size)), 16, 10).cast("long")
+
+
+@reg.query(
     "count_min_built_in",
-    lambda s, d: linear.built_in_count_min(parts(s, d), 0.01, 0.95, 42),
-)
+    "SELECT COUNT(*) AS total, ceil(-ln(1 - 0.95::DOUBLE) / ln(2))::BIGINT AS depth, "
+    "ceil(2 / 0.01::DOUBLE)::BIGINT AS width FROM lineitem",
+)
+def _built_in(s, d):
+    """What the header of the sketch says: after its version, the total, the depth and the width."""
+    sketch = linear.built_in_count_min(parts(s, d), 0.01, 0.95, 42)
+    return sketch.select(
+        _big_endian("sketch", 5, 8).alias("total"),
+        _big_endian("sketch", 13, 4).alias("depth"),
+        _big_endian("sketch", 17, 4).alias("width"),
+    )
+
 
 # --- join sizes ------------------------------------------------------------------------
 

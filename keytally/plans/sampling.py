@@ -10,7 +10,7 @@ from keytally.operators import intervals as iv
 from keytally.operators import join_size as j
 from keytally.operators import sampling as sm
 from keytally.plans import sqltext as q
-from keytally.plans.exact import INTERVALS, SUPP, intervals, key_bits, supp
+from keytally.plans.exact import INTERVALS, KEY_BITS, SUPP, intervals, supp
 from keytally.plans.registry import Registry
 from keytally.sources.key_streams import key_stream, table
 
@@ -39,7 +39,7 @@ def customer_rows(s, d):
 
 
 def _cut(p: float, row_id: str, seed: int) -> str:
-    return f"{q.row_hash(row_id, seed)} < {round(p * 2**31)}"
+    return f"{q.wide_hash(row_id, seed)} < {sm.bernoulli_cut(p)}"
 
 
 ORDERS = "(SELECT o_custkey AS key, o_orderkey, 1::BIGINT AS weight FROM orders)"
@@ -50,31 +50,26 @@ reg.add(
     lambda s, d: sm.bernoulli_sample(table(s, d, "events").select("event_id", "user_id"), P, "event_id", SEED),
     f"SELECT event_id, user_id FROM events WHERE {_cut(P, 'event_id', SEED)}",
 )
-_wor = (
-    f"SELECT event_id, user_id FROM events ORDER BY {q.row_hash('event_id', SEED)}, event_id LIMIT {SIZE}"
-)
-for _name, _limit in (("sample_without_replacement", sm.MAX_TOP_ROWS), ("sample_without_replacement_large", 0)):
+for _name, _size in (("sample_without_replacement", SIZE), ("sample_without_replacement_large", 4 * SIZE)):
     reg.add(
         _name,
-        lambda s, d, limit=_limit: sm.sample_without_replacement(
-            table(s, d, "events").select("event_id", "user_id"), SIZE, "event_id", SEED, limit
+        lambda s, d, size=_size: sm.sample_without_replacement(
+            table(s, d, "events").select("event_id", "user_id"), size, "event_id", SEED
         ),
-        _wor,
+        f"SELECT event_id, user_id FROM events ORDER BY {q.row_hash('event_id', SEED)}, event_id LIMIT {_size}",
     )
 
 
 def _pick_sql(draw: str, total: str, seed: int) -> str:
-    a, b, c, d = draw_seeds(4, seed)
-    x = f"(({draw})::BIGINT & {q.M31})"
-    return f"(({q.h31(a, b, x)} * 2147483648 + {q.h31(c, d, x)}) % {total})"
+    return f"({q.wide_hash(draw, seed)} % {total})"
 
 
 def draws(s, d):
-    """One draw per two orders."""
-    return table(s, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("draw"))
+    """One draw per order."""
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("draw"))
 
 
-_draws = "(SELECT o_orderkey AS draw FROM orders WHERE o_orderkey % 2 = 0)"
+_draws = "(SELECT o_orderkey AS draw FROM orders)"
 reg.add(
     "sample_with_replacement",
     lambda s, d: sm.sample_with_replacement(
@@ -246,12 +241,12 @@ for _name, _xi, _sql in (
     )
 reg.add(
     "interval_sum_bch3",
-    lambda s, d: iv.interval_sum_bch3(intervals(s, d), key_bits(s, d), I0, BCH_SEED),
+    lambda s, d: iv.interval_sum_bch3(intervals(s, d), KEY_BITS, I0, BCH_SEED),
     _each.format(xi=_parity(f"{BCH_SEED} & j")),
 )
 reg.add(
     "interval_sum_eh3",
-    lambda s, d: iv.interval_sum_eh3(intervals(s, d), key_bits(s, d), I0, EH_SEED),
+    lambda s, d: iv.interval_sum_eh3(intervals(s, d), KEY_BITS, I0, EH_SEED),
     _each.format(xi=_eh3),
 )
 _rm7 = q.sign(
@@ -264,10 +259,9 @@ _rm7 = q.sign(
 
 @reg.query("interval_sum_rm7", _each.format(xi=_rm7))
 def _rm7_sum(s, d):
-    bits = key_bits(s, d)
     seeds = F.array(*[F.lit(v).cast("long") for v in RM7])
-    values = s.range(1 << bits).select(F.col("id").alias("key"), h.rm7(I0, seeds, F.col("id")).alias("v"))
-    return iv.interval_sum_by_prefix(intervals(s, d), values, bits)
+    xi = lambda key: h.rm7(I0, seeds, key)
+    return iv.interval_sum_by_prefix(intervals(s, d), iv.touched_values(intervals(s, d), xi), KEY_BITS)
 
 
 def _cover_sql(bits: int, source: str, extra: str = "") -> str:
@@ -280,20 +274,14 @@ def _cover_sql(bits: int, source: str, extra: str = "") -> str:
     )
 
 
-CHECK_BITS = 16
-_node = f"({1 << (CHECK_BITS + 1)} - (1::BIGINT << ({CHECK_BITS + 1} - level)) + block)"
+_node = f"({1 << (KEY_BITS + 1)} - (1::BIGINT << ({KEY_BITS + 1} - level)) + block)"
 _distinct = f"(SELECT DISTINCT lo, hi FROM {INTERVALS})"
 
 
-def fixed_bits(s, d) -> int:
-    """The node ids depend on the domain; it only grows past its check size with the keys."""
-    return max(CHECK_BITS, key_bits(s, d))
-
-
 reg.add(
     "dyadic_cover",
-    lambda s, d: iv.dyadic_cover(intervals(s, d).distinct(), fixed_bits(s, d)),
-    f"SELECT lo, hi, level, block FROM {_cover_sql(CHECK_BITS, _distinct)}",
+    lambda s, d: iv.dyadic_cover(intervals(s, d).distinct(), KEY_BITS),
+    f"SELECT lo, hi, level, block FROM {_cover_sql(KEY_BITS, _distinct)}",
 )
 for _name, _xi, _sql in (
     ("dyadic_interval_sum_eh3", lambda x: h.eh3(I0, EH_SEED, x), _eh3),
@@ -302,30 +290,30 @@ for _name, _xi, _sql in (
 ):
     reg.add(
         _name,
-        lambda s, d, xi=_xi: iv.dyadic_interval_sum(intervals(s, d), fixed_bits(s, d), xi),
+        lambda s, d, xi=_xi: iv.dyadic_interval_sum(intervals(s, d), KEY_BITS, xi),
         f"SELECT lo, hi, SUM({_sql})::BIGINT AS total FROM (SELECT lo, hi, {_node} AS j FROM "
-        f"{_cover_sql(CHECK_BITS, _distinct)}) GROUP BY lo, hi",
+        f"{_cover_sql(KEY_BITS, _distinct)}) GROUP BY lo, hi",
     )
 reg.add(
     "dyadic_point_value",
-    lambda s, d: iv.dyadic_point_value(supp(s, d), fixed_bits(s, d), lambda x: h.eh3(I0, EH_SEED, x)),
+    lambda s, d: iv.dyadic_point_value(supp(s, d), KEY_BITS, lambda x: h.eh3(I0, EH_SEED, x)),
     f"SELECT key, SUM({_eh3})::BIGINT AS total FROM (SELECT key, {_node} AS j FROM (SELECT key, level, key >> "
     f"level AS block FROM (SELECT DISTINCT l_suppkey AS key FROM lineitem), (SELECT unnest(range(0, "
-    f"{CHECK_BITS + 1}))::INTEGER AS level))) GROUP BY key",
+    f"{KEY_BITS + 1}))::INTEGER AS level))) GROUP BY key",
 )
 _point_nodes = (
     f"(SELECT {_node} AS key, weight FROM (SELECT level, key >> level AS block, cnt AS weight FROM {q.hist(SUPP)}, "
-    f"(SELECT unnest(range(0, {CHECK_BITS + 1}))::INTEGER AS level)))"
+    f"(SELECT unnest(range(0, {KEY_BITS + 1}))::INTEGER AS level)))"
 )
 _interval_nodes = (
     f"(SELECT {_node} AS key, n AS weight FROM "
-    + _cover_sql(CHECK_BITS, f"(SELECT lo, hi, COUNT(*) AS n FROM {INTERVALS} GROUP BY 1, 2)", ", n")
+    + _cover_sql(KEY_BITS, f"(SELECT lo, hi, COUNT(*) AS n FROM {INTERVALS} GROUP BY 1, 2)", ", n")
     + ")"
 )
 reg.add(
     "interval_sketch_join_size",
     lambda s, d: iv.interval_sketch_join_size(
-        supp(s, d), intervals(s, d), fixed_bits(s, d), SEEDS, BUCKETS
+        supp(s, d), intervals(s, d), KEY_BITS, SEEDS, BUCKETS
     ),
     'SELECT MEDIAN(dot) AS estimate FROM (SELECT "row", SUM(a.v::HUGEINT * b.v)::DOUBLE AS dot FROM '
     f"{q.sketch(_point_nodes, SEEDS, BUCKETS, signed=True)} a JOIN "

@@ -91,6 +91,14 @@ def row_hash(row_id: str, seed: int) -> str:
     return h31(e, low, f"((({row_id})::BIGINT >> 31) & {M31})")
 
 
+def wide_hash(row_id: str, seed: int) -> str:
+    """Two hashes from one run of ten seeds, as one 62-bit number."""
+    seeds = draw_seeds(10, seed)
+    low = four(*map(str, seeds[5:9]), f"(({row_id})::BIGINT & {M31})")
+    low = h31(seeds[9], low, f"((({row_id})::BIGINT >> 31) & {M31})")
+    return f"({row_hash(row_id, seed)} * 2147483648 + {low})"
+
+
 def uniform(row_id: str, seed: int) -> str:
     return f"(({row_hash(row_id, seed)} + 0.5::DOUBLE) / 2147483648::DOUBLE)"
 

@@ -75,7 +75,7 @@ def _live_summary(s, d, stream, owner, key_type, **options):
 def _stream_ss(s, d):
     owner = owner_of(key_to_int("key"), SHARDS)
     _, now = _live_summary(s, d, live_words(s, d), owner, StringType())
-    return covered(words(s, d), f.frequent_elements_global(now, PHI), PHI)
+    return covered(words(s, d), f.frequent_elements_global(now, PHI), PHI, PHI / 2)
 
 
 @reg.query("stream_space_saving_bounds", NO_FAULTS)

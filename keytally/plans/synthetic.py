@@ -61,6 +61,11 @@ reg.add(
     f"WITH n AS (SELECT round_even({DOM} * 0.3::DOUBLE, 0) AS n) SELECT p_partkey AS key, CASE WHEN p_partkey < n "
     f"THEN round_even(GREATEST(n, {MASS}) / n, 0) ELSE 0 END::BIGINT AS cnt FROM part, n",
 )
+UNIFORM = f"(SELECT p_partkey AS key, round_even(GREATEST({DOM}, {MASS}) / {DOM}, 0)::BIGINT AS cnt FROM part)"
+LIMITED = (
+    f"(SELECT p_partkey AS key, CASE WHEN p_partkey < n THEN round_even(GREATEST(n, {MASS}) / n, 0) ELSE 0 END::BIGINT "
+    f"AS cnt FROM part, (SELECT round_even({DOM} * 0.3::DOUBLE, 0) AS n))"
+)
 reg.add("freq_zipf", zipf, f"SELECT key, cnt FROM {ZIPF}")
 reg.add(
     "freq_zipf_shifted",
@@ -107,6 +112,8 @@ reg.add(
 for _kind, _param, _p, _sql in (
     ("zipf", Z, 1.0, ZIPF),
     ("zipf_reversed", Z, 1.0, REVERSED),
+    ("uniform", 1.0, 1.0, UNIFORM),
+    ("uniform_limited", 0.3, 1.0, LIMITED),
     ("zipf_shifted", Z, 17.4, f"(SELECT (key + 17) % (SELECT COUNT(*) FROM part) AS key, cnt FROM {ZIPF})"),
 ):
     reg.add(
@@ -118,6 +125,16 @@ for _kind, _param, _p, _sql in (
     )
 
 
+reg.add(
+    "generate_relation_decorrelated",
+    lambda s, d: g.generate_relation(domain(s, d), dom(s, d), mass(s, d), "zipf", Z, -0.6, SEED)
+    .groupBy("key")
+    .agg(F.sum("weight").alias("cnt")),
+    f"SELECT key, cnt FROM (SELECT COALESCE(new_key, key) AS key, cnt FROM {_turned} LEFT JOIN "
+    f"{_permutation(SEED, _half_keys)} USING (key)) WHERE cnt > 0",
+)
+
+
 @reg.query(
     "generate_relation",
     f"SELECT key, 1::BIGINT AS weight FROM (SELECT key, unnest(range(0, cnt)) FROM {ZIPF})",
@@ -154,25 +171,45 @@ def _dataset_grid(s, d):
 
 
 THETA = 0.8
-_zeta = f"(SELECT SUM(1 / pow(p_partkey + 1, {THETA}::DOUBLE)) FROM part)"
 _u = q.uniform("event_id", SEED)
-_eta = (
-    f"((1 - pow(2::DOUBLE / {DOM}, {1 - THETA}::DOUBLE)) / (1 - {1 + 0.5**THETA}::DOUBLE / {_zeta}))"
-)
 
 
 def event_ids(s, d):
     return table(s, d, "events").select("event_id")
 
 
+def _zipf_sql() -> str:
+    """Rejection-inversion as SQL: all tries of a row, of which the first that succeeds counts."""
+    power = f"{1 - THETA}::DOUBLE"
+
+    def area(x: str) -> str:
+        return f"((pow({x}, {power}) - 1) / {power})"
+
+    def edge(y: str) -> str:
+        return f"pow(1 + {power} * ({y}), {1 / (1 - THETA)}::DOUBLE)"
+
+    def step(k: str) -> str:
+        return f"pow({k}, {-THETA}::DOUBLE)"
+
+    near = f"(2 - {edge(area('2.5::DOUBLE') + ' - ' + step('2::DOUBLE'))})"
+    low, high = f"({area('1.5::DOUBLE')} - 1)", area(f"({DOM} + 0.5::DOUBLE)")
+    heights = " UNION ALL ".join(
+        f"SELECT event_id, {t} AS t, {q.uniform('event_id', SEED + t)} AS u FROM events"
+        for t in range(g.ZIPF_TRIES)
+    )
+    return (
+        f"WITH h AS (SELECT event_id, t, {high} + u * ({low} - {high}) AS y FROM ({heights})), "
+        f"x AS (SELECT *, {edge('y')} AS x FROM h), "
+        f"k AS (SELECT *, least(greatest(floor(x + 0.5::DOUBLE), 1), {DOM}) AS k FROM x) "
+        f"SELECT event_id, arg_min(k, t)::BIGINT AS draw FROM k WHERE k - x <= {near} "
+        f"OR y >= {area('(k + 0.5::DOUBLE)')} - {step('k')} GROUP BY event_id"
+    )
+
+
 reg.add(
     "zipf_draws",
-    lambda s, d: g.zipf_draws(
-        event_ids(s, d), "event_id", dom(s, d), THETA, g.harmonic(domain(s, d), THETA), SEED
-    ),
-    f"SELECT event_id, CASE WHEN u * {_zeta} < 1 THEN 1 WHEN u * {_zeta} < {1 + 0.5**THETA}::DOUBLE THEN 2 ELSE 1 + "
-    f"floor({DOM} * pow({_eta} * u - {_eta} + 1, {1 / (1 - THETA)}::DOUBLE)) END::BIGINT AS draw FROM (SELECT "
-    f"event_id, {_u} AS u FROM events)",
+    lambda s, d: g.zipf_draws(event_ids(s, d), "event_id", dom(s, d), THETA, SEED),
+    _zipf_sql(),
 )
 reg.add(
     "zipf_draws_by_table",
@@ -191,19 +228,14 @@ def _stable_sql(value: str) -> str:
     )
 
 
-for _alpha, _sql in (
-    (2.0, f"sqrt(-2 * ln(u)) * cos({2 * math.pi}::DOUBLE * v)"),
-    (1.0, f"tan({_theta})"),
-    (
-        1.5,
-        f"(sin(1.5::DOUBLE * {_theta}) / pow(cos({_theta}), {1 / 1.5}::DOUBLE)) * pow(cos({_theta} * -0.5::DOUBLE) / "
-        f"-ln(v), {-0.5 / 1.5}::DOUBLE)",
-    ),
-):
+for _alpha in (2.0, 1.0, 1.5):
     reg.add(
         f"stable_draws_{str(_alpha).replace('.', '_')}",
         lambda s, d, alpha=_alpha: g.stable_draws(event_ids(s, d), "event_id", alpha, SEED).select(
             "event_id", F.round("draw", 6).alias("draw")
         ),
-        _stable_sql(_sql),
+        _stable_sql(
+            f"sin({_alpha}::DOUBLE * {_theta}) * pow(cos({_theta}), {-1 / _alpha}::DOUBLE) * "
+            f"pow(cos({1 - _alpha}::DOUBLE * {_theta}) / -ln(v), {(1 - _alpha) / _alpha}::DOUBLE)"
+        ),
     )

@@ -8,28 +8,42 @@ from pyspark.sql import functions as F
 from keytally.functions.seeds import SeedTable
 from keytally.operators.linear import count_min_query
 from keytally.operators.summaries import counters_of, heads_of
+from keytally.sinks.sketch_store import stored
 
+# Fixed value: ranks listed past the end of the result.
 EXTRA_RANKS = 100
 
 
-def _ranked(df: DataFrame, cnt: str, most: int) -> DataFrame:
-    """The ``most`` largest rows with their rank from 0."""
-    top = df.orderBy(F.desc(cnt), "key").limit(most)
-    order = Window.orderBy(F.desc(cnt), "key")
-    return top.withColumn("rank", F.row_number().over(order) - 1)
+def _ranked(df: DataFrame, cnt: str) -> DataFrame:
+    """All rows with their rank from 0, the largest ``cnt`` first, ties by key.
+
+    Rows are dealt out by range and numbered within their part; only the parts' sizes are summed
+    across. The dealt rows are stored, as parts keep their numbers only then.
+    """
+    order = [F.desc(cnt), F.asc("key")]
+    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    dealt = stored(dealt, "ranked")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        dealt.groupBy("_part")
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    )
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    numbered = dealt.withColumn("_at", inside).join(starts, "_part")
+    rank = (F.col("_start") + F.col("_at") - 1).cast("int")
+    return numbered.withColumn("rank", rank).drop("_part", "_at", "_start")
 
 
 def rank_comparison_report(hist: DataFrame, result: DataFrame, phi: float) -> DataFrame:
     """(rank, true_key, true_cnt, est_key, est_cnt, equal): exact and reported keys side by side,
     to EXTRA_RANKS past the end of the result.
 
-    ``result`` holds the keys (key, est) reported at phi; no summary reports more than 1 / phi
-    keys whose estimates add up to N, which bounds the ranks.
+    ``result`` holds the keys (key, est) reported at ``phi``, however many.
     """
-    most = int(1 / phi) + 1 + EXTRA_RANKS + 1
     size = result.agg(F.count(F.lit(1)).alias("n")).scalar()
-    true = _ranked(hist, "cnt", most).where(F.col("rank") <= size + EXTRA_RANKS)
-    found = _ranked(result.select("key", "est"), "est", most).select(
+    true = _ranked(hist, "cnt").where(F.col("rank") <= size + EXTRA_RANKS)
+    found = _ranked(result.select("key", "est"), "est").select(
         "rank", F.col("key").alias("est_key"), F.col("est").alias("est_cnt")
     )
     return true.join(found, "rank", "left").select(

@@ -170,20 +170,52 @@ def shuffled_stream(freq: DataFrame, seed: int = 1) -> DataFrame:
     return rows.withColumn("order", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
 
 
-def zipf_draws(rows: DataFrame, row_id: str, n, theta: float, zeta_n: Column, seed: int = 1) -> DataFrame:
-    """A Zipf variate in 1..n per row, in closed form; theta must not be 1."""
-    if theta == 1:
-        raise ValueError("the closed form has no theta = 1")
-    size = _num(n)
-    alpha = 1.0 / (1.0 - theta)
-    zeta_2 = 1.0 + 0.5**theta
-    eta = (1 - F.pow(F.lit(2.0) / size, F.lit(1.0 - theta))) / (1 - F.lit(zeta_2) / zeta_n)
-    u = F.col("_u")
-    tail = 1 + F.floor(size * F.pow(eta * u - eta + 1, F.lit(alpha)))
-    value = F.when(u * zeta_n < 1, F.lit(1)).when(u * zeta_n < zeta_2, F.lit(2)).otherwise(tail)
-    return rows.withColumn("_u", uniform(row_id, seed)).select(
-        *rows.columns, value.cast("long").alias("draw")
+#: Tries of the rejection method per row. A try fails with a probability well below one half, the
+#: same for any n, so that none of so many succeeds for less than one row in 10^12.
+ZIPF_TRIES = 40
+
+
+def zipf_draws(rows: DataFrame, row_id: str, n, theta: float, seed: int = 1) -> DataFrame:
+    """A Zipf variate in 1..n per row by rejection-inversion (Hoermann and Derflinger, 1996).
+
+    A point below the hat, the inverse of the integral of x^-theta at a uniform height, is
+    rounded; it is taken if it lies under the step of that number. Needs no sum over the domain.
+    """
+    power = 1.0 - theta
+
+    def area(x: Column) -> Column:
+        return F.log(x) if power == 0 else (F.pow(x, F.lit(power)) - 1) / F.lit(power)
+
+    def edge(y: Column) -> Column:
+        return F.exp(y) if power == 0 else F.pow(1 + F.lit(power) * y, F.lit(1 / power))
+
+    def step(k: Column) -> Column:
+        return F.pow(k, F.lit(-theta))
+
+    size = F.col("_size")
+    low, high = area(F.lit(1.5)) - 1, area(size + 0.5)
+    near = 2 - edge(area(F.lit(2.5)) - step(F.lit(2.0)))
+
+    def attempt(taken: Column, seeds: Column) -> Column:
+        numbers = tuple(seeds[f"s{i}"] for i in range(5))
+        u = (row_hash(row_id, numbers) + F.lit(0.5)) / F.lit(float(HASH_RANGE))
+        height = high + u * (low - high)
+        x = edge(height)
+        k = F.least(F.greatest(F.floor(x + 0.5).cast("double"), F.lit(1.0)), size)
+        under = (k - x <= near) | (height >= area(k + 0.5) - step(k))
+        return F.when(taken.isNotNull(), taken).when(under, k)
+
+    tries = F.array(
+        *[
+            F.struct(
+                *[F.lit(v).cast("long").alias(f"s{i}") for i, v in enumerate(draw_seeds(5, seed + t))]
+            )
+            for t in range(ZIPF_TRIES)
+        ]
     )
+    drawn = F.aggregate(tries, F.lit(None).cast("double"), attempt)
+    sized = rows.withColumn("_size", _num(n).cast("double"))
+    return sized.select(*rows.columns, drawn.cast("long").alias("draw"))
 
 
 def zipf_draws_by_table(rows: DataFrame, row_id: str, domain: DataFrame, s: float, seed: int = 1) -> DataFrame:
@@ -207,19 +239,19 @@ def zipf_draws_by_table(rows: DataFrame, row_id: str, domain: DataFrame, s: floa
 
 
 def stable_draws(rows: DataFrame, row_id: str, alpha: float, seed: int = 1) -> DataFrame:
-    """A symmetric alpha-stable variate per row: normal for 2, Cauchy for 1; below 0.01 the
-    signed power of a uniform number stands in."""
-    u, v = uniform(row_id, seed), uniform(row_id, seed + 1)
-    theta = F.lit(math.pi) * (u - 0.5)
-    if alpha == 2:
-        value = F.sqrt(-2 * F.log(u)) * F.cos(F.lit(2 * math.pi) * v)
-    elif alpha == 1:
-        value = F.tan(theta)
-    elif alpha < 0.01:
-        power = F.pow(u, F.lit(-50.0))
-        value = F.when(v < 0.5, -power).otherwise(power)
-    else:
-        w = -F.log(v)
-        left = F.sin(F.lit(alpha) * theta) / F.pow(F.cos(theta), F.lit(1 / alpha))
-        value = left * F.pow(F.cos(theta * (1 - alpha)) / w, F.lit((1 - alpha) / alpha))
+    """A symmetric alpha-stable variate per row, 0 < alpha <= 2 (Chambers, Mallows and Stuck, 1976).
+
+    One expression for all alpha: the tangent for 1 (Cauchy) and a normal variate of variance 2 for 2
+    are its values there.
+    """
+    if not 0 < alpha <= 2:
+        raise ValueError("alpha must lie in (0, 2]")
+    angle = F.lit(math.pi) * (uniform(row_id, seed) - 0.5)
+    waiting = -F.log(uniform(row_id, seed + 1))
+    rest = 1 - alpha
+    value = (
+        F.sin(F.lit(alpha) * angle)
+        * F.pow(F.cos(angle), F.lit(-1 / alpha))
+        * F.pow(F.cos(F.lit(rest) * angle) / waiting, F.lit(rest / alpha))
+    )
     return rows.select(*rows.columns, value.alias("draw"))

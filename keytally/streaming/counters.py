@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from keytally.operators import frequent
 from keytally.operators.kernels import DeltaSender, SpaceSaving, key_array
 from keytally.operators.summaries import COUNTER_COLUMNS, cut_to, pending_deltas
+from keytally.sinks.sketch_store import stored
 from keytally.streaming.runner import batch_writer, batches, newest, one_batch, run
 
 
@@ -72,12 +73,16 @@ class SummaryProcessor(StatefulProcessor):
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         heads = initialState[initialState["key"].isna()]
         rows = initialState[initialState["key"].notna()]
+        # Several summaries of an owner: those that do not track a key may have missed their floor.
+        floor = int(heads["floor"].sum())
+        sums = rows.groupby("key", sort=False, as_index=False)[["cnt", "err", "floor"]].sum()
+        missed = floor - sums["floor"].to_numpy("int64")
         summary = SpaceSaving(self.m).load(
-            _keys(rows["key"].tolist(), self.key_type),
-            rows["cnt"],
-            rows["err"],
+            _keys(sums["key"].tolist(), self.key_type),
+            sums["cnt"].to_numpy("int64") + missed,
+            sums["err"].to_numpy("int64") + missed,
             int(heads["n"].sum()),
-            int(heads["floor"].sum()),
+            floor,
         )
         self._store(summary)
 
@@ -135,6 +140,9 @@ def run_space_saving(
     others as they were. With ``phi``, also answers the frequent-elements question after every
     ``every``-th micro-batch."""
     schema = summary_schema(stream.schema["key"].dataType)
+    if warm is not None:
+        # the state and the first snapshot have to start from the same counters
+        warm = stored(warm, "warm")
     changes, snapshots = f"{folder}/changes", f"{folder}/snapshots"
 
     def each(batch: DataFrame, batch_id: int) -> None:

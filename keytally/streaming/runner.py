@@ -69,8 +69,13 @@ def run(
     progress of each."""
     with state_settings(stream.sparkSession, partitions):
         query = start(stream, each_batch, checkpoint, mode)
-        query.awaitTermination()
-    return list(query.recentProgress)
+        # Spark itself remembers the last micro-batches only
+        seen: dict[int, object] = {}
+        ended = False
+        while not ended:
+            ended = query.awaitTermination(1)
+            seen.update((p["batchId"], p) for p in query.recentProgress)
+    return [seen[number] for number in sorted(seen)]
 
 
 def progress_table(spark: SparkSession, progress: list) -> DataFrame:

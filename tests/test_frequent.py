@@ -204,6 +204,20 @@ def test_rows_are_folded_in_pieces(monkeypatch):
     assert total == want
 
 
+def test_a_key_that_is_only_pending_is_found(spark):
+    result = spark.createDataFrame([(1, 10), (2, 4)], "key long, est long")
+    pending = spark.createDataFrame([(2, 5), (3, 7), (3, 1), (4, 0)], "key long, weight long")
+    got = frequent.include_pending(result, pending, 2)
+    assert sorted(map(tuple, got.collect())) == [(1, 10), (2, 9), (3, 10)]
+
+
+def test_rows_without_a_key_are_left_out(spark):
+    stream = spark.createDataFrame([(1, 2), (None, 5), (1, 1), (2, 1)], "key long, weight long")
+    rows = frequent.space_saving(stream.repartition(1), 4)
+    assert sorted((r.key, r.cnt) for r in rows.where("key IS NOT NULL").collect()) == [(1, 3), (2, 1)]
+    assert rows.where("key IS NULL").agg(F.sum("n")).head()[0] == 4
+
+
 def test_many_groups_are_handed_out_in_pieces(make_stream, monkeypatch):
     import keytally.operators.summaries as s
 

@@ -105,6 +105,36 @@ def test_delta_sender(rows, m, beta, flush):
         assert v - s.floor - (0 if flush else max(1, beta * n)) <= sent[key] <= v
 
 
+@given(
+    st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9)), max_size=200),
+    st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9)), max_size=200),
+    st.integers(1, 40),
+    st.integers(1, 40),
+    st.sampled_from([SpaceSaving, WeightedFrequent, MedianPurge]),
+)
+@settings(max_examples=200, deadline=None)
+def test_summaries_of_any_size_can_be_loaded(before, after, m, warm_m, kind):
+    """A summary of ``warm_m`` counters goes on as one of ``m``."""
+    warm = feed(kind(warm_m), before, 20)
+    s = kind(m).load(warm.keys if warm.keys is not None else np.empty(0, np.int64), warm.cnt, warm.err, warm.n, warm.floor)
+    assert len(s) <= m
+    feed(s, after, 20)
+    f = truth(before + after)
+    assert len(s) <= m and s.n == sum(f.values())
+    tracked = dict(zip(s.keys.tolist(), zip(s.cnt.tolist(), s.err.tolist()))) if s.keys is not None else {}
+    for key, (cnt, err) in tracked.items():
+        if kind is SpaceSaving:
+            assert cnt - err <= f[key] <= cnt
+        else:
+            assert cnt <= f[key] <= cnt + s.floor
+    assert all(v <= s.floor for k, v in f.items() if k not in tracked)
+
+
+def test_equal_keys_are_added_up_on_load():
+    s = SpaceSaving(2).load(np.array([1, 2, 1, 3]), [5, 4, 3, 1], [0, 1, 0, 0], 13, 0)
+    assert dict(zip(s.keys.tolist(), s.cnt.tolist())) == {1: 8, 2: 4} and s.floor == 1
+
+
 def test_weights():
     s = SpaceSaving(4)
     s.add(np.array([1, 2]), np.array([0, 3]))

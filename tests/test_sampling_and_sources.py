@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from keytally.functions import capacity
 from keytally.functions.seeds import seed_table
+from keytally.functions import sizes
 from keytally.operators import exact, frequent, linear, quality, sampling
 from keytally.session import work_path
 from keytally.sinks import reports
@@ -85,16 +85,24 @@ def test_draws(spark):
     rows = spark.range(20000).withColumnRenamed("id", "i")
     weights = [1 / k**0.8 for k in range(1, 201)]
     share = weights[0] / sum(weights)
-    closed = synthetic.zipf_draws(rows, "i", 200, 0.8, synthetic.harmonic(domain, 0.8))
+    closed = synthetic.zipf_draws(rows, "i", 200, 0.8)
     looked = synthetic.zipf_draws_by_table(rows, "i", domain, 0.8)
     for df in (closed, looked):
         low, high, ones = df.agg(F.min("draw"), F.max("draw"), F.count_if(F.col("draw") == 1)).head()
         assert low == 1 and high <= 201
         assert abs(ones / 20000 - share) < 0.02
     normal = synthetic.stable_draws(rows, "i", 2.0).agg(F.avg("draw"), F.stddev("draw")).head()
-    assert abs(normal[0]) < 0.05 and abs(normal[1] - 1) < 0.05
+    assert abs(normal[0]) < 0.05 and abs(normal[1] - 2**0.5) < 0.05
     for alpha in (1.0, 0.005, 0.7):
         assert synthetic.stable_draws(rows, "i", alpha).where("draw IS NULL").count() == 0
+    for theta in (1.0, 2.5):
+        out = synthetic.zipf_draws(rows, "i", 50, theta, seed=3)
+        tops = dict(map(tuple, out.groupBy("draw").count().collect()))
+        total = sum(1 / k**theta for k in range(1, 51))
+        for k in (1, 2, 5):
+            assert abs(tops[k] / 20000 - 1 / k**theta / total) < 0.015
+    with pytest.raises(ValueError):
+        synthetic.stable_draws(rows, "i", 2.5)
 
 
 def test_generators_by_name(spark):
@@ -199,11 +207,24 @@ def test_rank_report(spark, make_stream):
     assert sum(r.equal for r in got) == 5 and got[5].est_key is None
 
 
-def test_capacity():
-    assert capacity.counters_single(0.001, 0.5) == 1001
-    assert capacity.counters_sharded(0.0001, 1.25, 24) == int((1 / 0.0024) ** 0.8) + 1
-    assert capacity.counters_delta(0.01, 0.001, 4) == int(1 / (0.8 * 0.009)) + 1
-    assert capacity.majority_columns(1000, 16, 4, 4, 1.0) == int((16 * 250 + 4 * 32 + 36) / 8)
+def test_rank_report_has_no_cap(spark, make_stream):
+    hist = exact.exact_histogram(make_stream(list(range(700)) + [0, 1, 2]))
+    result = hist.where("key < 400").select("key", F.col("cnt").alias("est"))
+    got = sorted(reports.rank_comparison_report(hist, result, 0.005).collect())
+    assert [r.rank for r in got] == list(range(501))
+    assert all(r.equal for r in got[:400]) and not any(r.equal for r in got[400:])
+
+
+def test_sizes(make_stream):
+    assert sizes.counters_for(0.001) == 1001
+    assert sizes.counters_for(0.0001, 1.25, 24) == int((1 / 0.0024) ** 0.8) + 1
+    assert sizes.counters_for_deltas(0.01, 0.001, 4) == int(5 / (4 * 0.009)) + 1
+    with pytest.raises(ValueError):
+        sizes.counters_for_deltas(0.01, 0.02, 4)
+    stream = make_stream([k for k in range(1, 200) for _ in range(2000 // k)], partitions=1)
+    n = sum(2000 // k for k in range(1, 200))
+    summary = frequent.space_saving(stream, sizes.counters_for(0.02))
+    assert summary.agg(F.max("err")).head()[0] <= 0.02 * n
 
 
 def test_summary_text(spark, make_stream):

@@ -43,10 +43,20 @@ def test_count_min_never_falls_short(spark, small):
     stream = key_stream(spark, small, "lineitem", "l_partkey")
     hist = exact.exact_histogram(stream)
     sketch = linear.count_min_build(stream, SEEDS, 32)
-    for limit in (0, 1 << 20):
-        got = linear.count_min_query(sketch, hist, SEEDS, 32, dense_limit=limit)
-        assert got.where("est < cnt").count() == 0
-        assert got.count() == hist.count()
+    got = linear.count_min_query(sketch, hist, SEEDS, 32)
+    assert got.where("est < cnt").count() == 0
+    assert got.count() == hist.count()
+
+
+def test_every_run_answers_for_itself(make_stream):
+    seeds = seed_table(rows=3, runs=4, seed=6)
+    stream = make_stream([k for k in range(50) for _ in range(60)])
+    hist = exact.exact_histogram(stream)
+    got = linear.count_min_query(linear.count_min_build(stream, seeds, 64), hist, seeds, 64).collect()
+    assert len(got) == 200 and {r.run for r in got} == {0, 1, 2, 3}
+    assert all(r.est >= 60 for r in got)
+    with pytest.raises(ValueError):
+        linear.local_copies_query(stream, hist, seeds, 64, "key")
 
 
 def test_depth_one(make_stream):
