@@ -95,17 +95,22 @@ def leaf_budgets(
 ) -> DataFrame:
     """``leaves`` (path, units, tokens) with the ``budget`` of each leaf."""
     leaves = leaves.withColumn("cap", F.col("tokens") * max_epochs)
-    above = leaves.groupBy().agg(budget.cast("long").alias("parent_budget")).withColumn("root", F.lit(0))
+    whole = leaves.agg(budget.cast("long").alias("budget")).scalar()
     parent: list[str] = ["root"]
+    above = None
     for depth in range(1, len(PATH) + 1):
         path = PATH[:depth]
         nodes = leaves.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("root", F.lit(0))
         nodes = nodes.withColumn("weight", _weight(weights, path))
-        a, b = nodes.alias("a"), above.alias("b")
-        same = F.lit(True)
-        for name in parent:
-            same = same & F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}"))
-        filled = fill(a.join(b, same).select("a.*", "b.parent_budget"), parent, path[-1])
+        if above is None:
+            given = nodes.withColumn("parent_budget", whole)
+        else:
+            a, b = nodes.alias("a"), above.alias("b")
+            same = F.lit(True)
+            for name in parent[1:]:
+                same = same & F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}"))
+            given = a.join(b, same).select("a.*", "b.parent_budget")
+        filled = fill(given, parent, path[-1])
         above = filled.select("root", *path, F.col("budget").alias("parent_budget"))
         parent = ["root", *path]
     a, b = leaves.alias("a"), above.alias("b")

@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> LineModel:
     sample = (
         docs.select("doc_id", "text")
         .filter(F.length("text") <= SAMPLE_CHARS)
-        .join(pick, "doc_id")
+        .join(F.broadcast(pick), "doc_id")  # at most 2 * SAMPLE_DOCS pairs of numbers
         .orderBy(F.xxhash64("doc_id", "text"))
         .limit(SAMPLE_DOCS)
         .select("text", F.col("quality").cast("int").alias("quality"))

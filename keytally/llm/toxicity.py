@@ -6,8 +6,8 @@ enclose it within ``QUOTE_SPAN`` words or a reporting word stands shortly before
 regression weighs exact, misspelled, stem and quoted hits, hits close together, and hits near a word that
 addresses the reader.
 
-Only rows whose CRC-32 of the id (as text) is not divisible by ``FOLDS`` are learned from: a sample of at
-most ``SAMPLE_DOCS`` of them, one per group of like texts (equal smallest hash of three words), of at most ``SAMPLE_CHARS``
+Only rows whose CRC-32 of the id (as text) is not divisible by ``FOLDS`` are learned from: a sample of about
+``SAMPLE_DOCS`` of them at most, one per group of like texts (equal smallest hash of three words), of at most ``SAMPLE_CHARS``
 characters. Labels, languages, sources and ids take no part in a score.
 
 Defined results: a null or empty text has no hits and gets the score of a text without any; a null id
@@ -70,14 +70,19 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
             lambda i: F.xxhash64(F.concat_ws(" ", F.slice("words", i, F.lit(3)))),
         )
     )
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS).join(pick, "doc_id")
+    short = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS)
+    rows = short.join(F.broadcast(pick), "doc_id")  # at most SAMPLE_DOCS pairs of numbers
     groups = (
         rows.withColumn("words", words)
         .withColumn("like", like)
         .groupBy("like", "toxic")
         .agg(F.min("text").alias("text"))
     )
-    return stored(groups.orderBy("like").limit(SAMPLE_DOCS).select("text", "toxic"), "toxic-sample")
+    # more groups than labels only where many documents share an id
+    groups = stored(groups, "toxic-groups")
+    share = SAMPLE_DOCS / max(1, groups.count())
+    place = F.pmod(F.xxhash64("like", "toxic"), F.lit(1 << 32)) / (1 << 32)
+    return groups.filter(place < share).select("text", "toxic")
 
 
 def learn_terms(sample: DataFrame) -> list[tuple[str, float, bool]]:
