@@ -47,6 +47,15 @@ class SeedTable:
             *df.columns, "_s.*"
         )
 
+    def attach_run(self, df: DataFrame, run: str, only: tuple[str, ...] | None = None) -> DataFrame:
+        """Every row of ``df`` once per seed row of the run that its column ``run`` names."""
+        names = self.columns if only is None else only
+        own = F.filter(self.literal(tuple(dict.fromkeys(("run", *names)))), lambda s: s.run == F.col(run))
+        rest = [c for c in df.columns if c not in names]
+        return df.select(*rest, F.explode(own).alias("_s")).select(
+            *rest, *[F.col(f"_s.{n}").alias(n) for n in names]
+        )
+
     def frame(self, spark: SparkSession) -> DataFrame:
         """The table itself as a small DataFrame."""
         return spark.range(1).select(F.explode(self.literal()).alias("_s")).select("_s.*")

@@ -44,16 +44,24 @@ def bucket_column(buckets: int, pairwise: bool = False) -> Column:
 
 
 def hash_rows(
-    df: DataFrame, seeds: SeedTable, buckets: int, signed: bool = False, code: Column | None = None
+    df: DataFrame,
+    seeds: SeedTable,
+    buckets: int,
+    signed: bool = False,
+    code: Column | None = None,
+    own_run: bool = False,
 ) -> DataFrame:
     """Each row of ``df`` once per sketch row, with its ``bucket`` and, if asked, its ``sign``.
 
-    ``code`` is the integer a key is hashed by; see ``key_code``.
+    ``code`` is the integer a key is hashed by; see ``key_code``. With ``own_run`` a row meets
+    the seeds of the run in its column ``run`` only.
     """
-    need = _BUCKET_SEEDS + (_SIGN_SEEDS if signed else ())
-    wide = seeds.attach(df.withColumn("_x", key_code(df, code)), only=(*_ids(seeds), *need))
+    need = (*_ids(seeds), *_BUCKET_SEEDS, *(_SIGN_SEEDS if signed else ()))
+    coded = df.withColumn("_x", key_code(df, code))
+    wide = seeds.attach_run(coded, "run", need) if own_run else seeds.attach(coded, only=need)
     extra = [sign_column().alias("sign")] if signed else []
-    return wide.select(*df.columns, *_ids(seeds), bucket_column(buckets).alias("bucket"), *extra)
+    kept = [c for c in df.columns if not (own_run and c == "run")]
+    return wide.select(*kept, *_ids(seeds), bucket_column(buckets).alias("bucket"), *extra)
 
 
 def linear_sketch(
@@ -64,6 +72,7 @@ def linear_sketch(
     by: tuple[str, ...] = (),
     code: Column | None = None,
     preaggregate: bool = False,
+    own_run: bool = False,
 ) -> DataFrame:
     """Cells (by..., row, bucket, v) of a Count-Min (unsigned) or Fast-AGMS (signed) sketch.
 
@@ -72,7 +81,7 @@ def linear_sketch(
     """
     if preaggregate:
         stream = exact_histogram(stream, by).withColumnRenamed("cnt", "weight")
-    rows = hash_rows(stream, seeds, buckets, signed, code)
+    rows = hash_rows(stream, seeds, buckets, signed, code, own_run)
     amount = F.col("sign") * F.col("weight") if signed else F.col("weight")
     return rows.groupBy(*by, *_ids(seeds), "bucket").agg(F.sum(amount).alias("v"))
 

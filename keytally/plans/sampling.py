@@ -167,9 +167,9 @@ def _over_runs(s, d):
     ).withColumnRenamed("estimate", "full_est")
 
     def sampled(df, p, row_id, seed):
-        rows = sm.bernoulli_samples(df, p, row_id, RUNS, seed, "sample")
-        cells = j.fast_agms_build(rows, RUN_SEEDS, BUCKETS, by=("sample",))
-        return cells.where(F.col("sample") == F.col("run")).drop("sample")
+        """The cells of each run, from its own sample and seeds only."""
+        rows = sm.bernoulli_samples(df, p, row_id, RUNS, seed, "run").select("run", "key", "weight")
+        return j.fast_agms_build(rows, RUN_SEEDS, BUCKETS, own_run=True)
 
     est = j.fast_agms_join_size(
         sampled(left, P, "o_orderkey", SEED), sampled(right, Q, "id", SEED + RUNS), RUN_SEEDS

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from keytally.functions.seeds import seed_table
 from keytally.functions import sizes
+from keytally.functions.hashing import row_hash
+from keytally.functions.seeds import draw_seeds, seed_table
 from keytally.operators import exact, frequent, linear, quality, sampling
 from keytally.session import work_path
 from keytally.sinks import reports
@@ -34,7 +35,7 @@ def test_bernoulli(spark):
 def test_without_replacement(spark, n):
     df = spark.range(5000)
     a = sampling.sample_without_replacement(df, n, "id", 3)
-    b = sampling.sample_without_replacement(df, n, "id", 3, top_limit=-1)
+    b = df.orderBy(row_hash("id", draw_seeds(5, 3)), "id").limit(n)
     ids = sorted(r.id for r in a.collect())
     assert ids == sorted(r.id for r in b.collect())
     assert len(ids) == len(set(ids)) == min(n, 5000)
