@@ -39,27 +39,34 @@ HOT = 2000
 BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None) -> int:
-    """The unsigned 64-bit fingerprint of a text."""
+def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
+    """The hashes of the ``size``-word shingles of a text, in blocks; none without words."""
     words = (text or "").encode().lower().split()  # A-Z and the ASCII spaces only, on bytes
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    if len(words) <= SHINGLE:
+    if len(words) <= size:
         starts, ends = [0], [len(joined)]
     else:
-        starts = np.concatenate(([0], ends[:-SHINGLE] + 1)).tolist()
-        ends = ends[SHINGLE - 1 :].tolist()
-    n, ones = len(starts), np.zeros(BITS, np.int64)
+        starts = np.concatenate(([0], ends[:-size] + 1)).tolist()
+        ends = ends[size - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    for at in range(0, n, BLOCK):
+    for at in range(0, len(starts), BLOCK):
         hashes = [
             digest(joined[s:e], SEED) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])
         ]
-        raw = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
+        yield np.array(hashes, np.uint64)
+
+
+def fingerprint(text: str | None) -> int:
+    """The unsigned 64-bit fingerprint of a text."""
+    n, ones = 0, np.zeros(BITS, np.int64)
+    for hashes in shingle_hashes(text, SHINGLE):
+        n += len(hashes)
+        raw = hashes.view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << int(i) for i in np.flatnonzero(2 * ones > n))
+    return sum(1 << int(i) for i in np.flatnonzero(2 * ones > n)) if n else 0
 
 
 def _signed(value: int) -> int:
