@@ -419,6 +419,14 @@ def test_terms_that_reveal_are_changed(make_docs):
     assert pii.sanitise(docs).columns == docs.columns
 
 
+def test_an_entity_of_one_text_has_terms(make_docs):
+    common = [f"plain words of number {long_text(i, 10)}" for i in range(60)]
+    docs = make_docs([*common, "Zanzibar wrote from zed@home.org about the plain words"])
+    flagged = pii.disclosing_terms(docs, pii.find_base(docs, ["doc_id"])).collect()
+    terms = {x.term: x.disclosure for x in flagged if x.entity == "email:zed@home.org"}
+    assert terms["zanzibar"] == pytest.approx(1) and not {"plain", "words"} & set(terms)
+
+
 def test_running_sums_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(pii, "BLOCK", 4)
     table = spark.range(1).select(F.sequence(F.lit(1).cast("long"), F.lit(30).cast("long")).alias("a"))
