@@ -427,6 +427,15 @@ def test_an_entity_of_one_text_has_terms(make_docs):
     assert terms["zanzibar"] == pytest.approx(1) and not {"plain", "words"} & set(terms)
 
 
+def test_copies_do_not_hide_a_term(make_docs):
+    common = [f"plain words of number {long_text(i, 10)}" for i in range(60)]
+    telling = ["Zanzibar wrote from zed@home.org today", "Later Zanzibar used zed@home.org"]
+    docs = make_docs([*common, *telling, *[telling[0]] * 300])
+    flagged = pii.disclosing_terms(docs, pii.find_base(docs, ["doc_id"])).collect()
+    found = {(x.entity, x.term): x.disclosure for x in flagged}
+    assert found["email:zed@home.org", "zanzibar"] == pytest.approx(1)
+
+
 def test_running_sums_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(pii, "BLOCK", 4)
     table = spark.range(1).select(F.sequence(F.lit(1).cast("long"), F.lit(30).cast("long")).alias("a"))
