@@ -436,6 +436,17 @@ def test_copies_do_not_hide_a_term(make_docs):
     assert found["email:zed@home.org", "zanzibar"] == pytest.approx(1)
 
 
+def test_terms_far_from_the_mention_are_changed(make_docs):
+    common = [f"plain words of number {long_text(i, 10)}" for i in range(60)]
+    far = "Zanzibar " + "plain words of number " * 30 + "zed@home.org, Zanzibar. " + "plain words " * 40 + "ZANZIBAR"
+    docs = make_docs([*common, far, "Zanz\u00e9zed@home.org touches"])
+    clean = {x.doc_id: x.text for x in pii.sanitise(docs).collect()}
+    assert "zanzibar" not in clean[60].lower() and clean[60].count("plain words") == 70
+    row = pii.find_personal_data(docs).filter("doc_id = 60").first()
+    spans = {(int(a), int(b)) for k, a, b in (s.split(":") for s in row.spans.split(",")) if k == "term"}
+    assert {far[a:b].lower() for a, b in spans} == {"zanzibar"} and row.n_terms == len(spans) == 3
+
+
 def test_running_sums_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(pii, "BLOCK", 4)
     table = spark.range(1).select(F.sequence(F.lit(1).cast("long"), F.lit(30).cast("long")).alias("a"))
