@@ -1,8 +1,10 @@
 """Licence recognition by sentences: texts become sequences of sentence ids, which rules then match.
 
 A text is cut into fragments at line ends and after ``. ! ? ; :`` before white space; fragments are
-lower-cased and all but a-z and 0-9 becomes single spaces. Up to ``MOST_FRAGMENTS`` neighbours
-together are looked up among the known sentences, so that wrapped lines are found too. The ids, in text order,
+lower-cased and all but a-z and 0-9 becomes single spaces. Neighbours together, up to the words of the longest
+known sentence, are looked up among these, so that lines wrapped at any width are found too; only fragments
+that a known sentence begins with are joined. ``license_sql`` joins ``MOST_FRAGMENTS`` at most, so the two
+differ on a sentence of more. The ids, in text order,
 are matched against the rules: a rule is an ordered list of ids with any number of other ids between
 them. The first rules are the more specific ones: a licence that another found one implies is not
 reported.
@@ -99,6 +101,9 @@ RULES = [
 IMPLIES = {"BSD-3-Clause": "BSD-2-Clause"}
 CUES = ["licen", "permission", "redistribut", "free software", "rights reserved"]
 
+#: A fragment has a word at least, so no known sentence has more fragments.
+MOST_WORDS = max(len(sentence.split()) for sentence in SENTENCES)
+
 _BY_ID = {number: sentence for sentence, number in SENTENCES.items()}
 for _, _, _ids in RULES:
     if not any(cue in _BY_ID[_ids[0]] for cue in CUES):
@@ -123,17 +128,20 @@ def sentence_ids(text: Column) -> Column:
     )
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
 
-    def at(fragments: Column, i: Column) -> Column:
-        spans = F.sequence(F.lit(1), F.lit(MOST_FRAGMENTS))
-        return F.transform(spans, lambda k: known[F.concat_ws(" ", F.slice(fragments, i, k))])
+    begins = F.array(*[F.lit(f"{sentence} ") for sentence in SENTENCES])
 
     def numbers(fragments: Column) -> Column:
-        places = F.sequence(F.lit(1), F.size(fragments))
-        # slices that end past the last fragment repeat a shorter one
+        places = F.filter(
+            F.sequence(F.lit(1), F.size(fragments)),
+            lambda i: F.exists(
+                begins, lambda x: F.startswith(x, F.concat(F.element_at(fragments, i), F.lit(" ")))
+            ),
+        )
         looked = F.transform(
             places,
-            lambda i: F.slice(
-                at(fragments, i), F.lit(1), F.least(F.lit(MOST_FRAGMENTS), F.size(fragments) - i + 1)
+            lambda i: F.transform(
+                F.sequence(F.lit(1), F.least(F.lit(MOST_WORDS), F.size(fragments) - i + 1)),
+                lambda k: known[F.concat_ws(" ", F.slice(fragments, i, k))],
             ),
         )
         return F.filter(F.flatten(looked), lambda n: n.isNotNull())

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -167,6 +168,15 @@ def test_licences(make_docs, no_docs):
     assert all(licenses.normalised(s) == s for s in licenses.SENTENCES)
 
 
+def test_licences_in_narrow_lines(make_docs):
+    sentences = {n: s for s, n in licenses.SENTENCES.items()}
+    mit = f"{sentences[5]}:\n{sentences[6]}."
+    texts = [textwrap.fill(mit, width, initial_indent="# ", subsequent_indent="# ") for width in (20, 60, 72, 90)]
+    texts.append("\n".join(mit.replace(":", "").split()))
+    got = licenses.scan_licenses(make_docs(texts)).collect()
+    assert [(x.sequence, x.licenses) for x in got] == [("#5#6#", "MIT")] * 5
+
+
 # --- SimHash
 
 
