@@ -10,7 +10,7 @@ them. The first rules are the more specific ones: a licence that another found o
 reported.
 
 All of it is row-local column arithmetic without a shuffle. Only texts with one of the ``CUES`` are cut up;
-every rule begins with a sentence that holds a cue, which is checked when the tables are built.
+every known sentence holds a cue, which is checked when the tables are built.
 
 Defined results: a null or empty text, or one without a known sentence, has no licence (empty
 string) and 0 sentences; a sentence that occurs twice counts twice; rows are kept one for one. Other
@@ -99,15 +99,14 @@ RULES = [
 ]
 #: A licence that makes another one redundant in a report.
 IMPLIES = {"BSD-3-Clause": "BSD-2-Clause"}
-CUES = ["licen", "permission", "redistribut", "free software", "rights reserved"]
+CUES = ["licen", "permission", "redistribut", "free software", "rights reserved", "without warranty"]
 
 #: A fragment has a word at least, so no known sentence has more fragments.
 MOST_WORDS = max(len(sentence.split()) for sentence in SENTENCES)
 
-_BY_ID = {number: sentence for sentence, number in SENTENCES.items()}
-for _, _, _ids in RULES:
-    if not any(cue in _BY_ID[_ids[0]] for cue in CUES):
-        raise ValueError(f"no cue in {_BY_ID[_ids[0]]!r}")
+for _sentence in SENTENCES:
+    if not any(cue in _sentence for cue in CUES):
+        raise ValueError(f"no cue in {_sentence!r}")
 
 
 def cue_pattern() -> str:

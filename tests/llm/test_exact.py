@@ -177,6 +177,13 @@ def test_licences_in_narrow_lines(make_docs):
     assert [(x.sequence, x.licenses) for x in got] == [("#5#6#", "MIT")] * 5
 
 
+def test_each_known_sentence_is_found_alone(make_docs):
+    texts = [t for s in licenses.SENTENCES for t in (s, s.upper().replace(" ", "\n * "))]
+    got = {x.doc_id: x.sequence for x in licenses.scan_licenses(make_docs(texts)).collect()}
+    for i, number in enumerate(licenses.SENTENCES.values()):
+        assert f"#{number}#" in got[2 * i] and f"#{number}#" in got[2 * i + 1]
+
+
 # --- SimHash
 
 
