@@ -96,6 +96,9 @@ def leaf_budgets(
     """``leaves`` (path, units, tokens) with the ``budget`` of each leaf."""
     leaves = leaves.withColumn("cap", F.col("tokens") * max_epochs)
     whole = leaves.agg(budget.cast("long").alias("budget")).scalar()
+    # what lies below a node of weight 0 can take nothing, so it is no part of a cap above
+    for depth in range(1, len(PATH) + 1):
+        leaves = leaves.filter(_weight(weights, PATH[:depth]) > 0)
     parent: list[str] = ["root"]
     above = None
     for depth in range(1, len(PATH) + 1):

@@ -125,6 +125,15 @@ def test_mix_takes_prefixes_and_whole_epochs(odd_docs):
     assert rows_of(again) == sorted(map(tuple, out), key=repr)
 
 
+def test_budget_of_weight_zero_goes_to_siblings(spark):
+    rows = [(i, " ".join(["w"] * 10), lang, source, 20) for i, (lang, source) in enumerate(
+        [("en", "src0"), ("de", "src0"), ("de", "src0"), ("en", "src1"), ("en", "src1"), ("en", "src1")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mix(docs, 0.5, 1, weights={("d0",): 1, ("d1",): 1, ("d0", "de"): 0}).collect()
+    taken = {d: sum(x.take for x in out if x.domain == d) for d in ("d0", "d1")}
+    assert taken == {"d0": 10, "d1": 20}
+
+
 def test_mix_ranges_agree_with_one_range(odd_docs, monkeypatch):
     docs, _ = odd_docs
     one = rows_of(mixing.mix(docs, 0.7, 2))
