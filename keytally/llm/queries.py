@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keytally.llm import (
+    centroids,
     decontaminate,
     licenses,
     mixing,
+    phrases,
     pii,
     quality,
     sharding,
     simhash,
     tokens,
     toxicity,
+    urls,
     warc,
 )
 from keytally.plans.registry import Registry
@@ -89,3 +92,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @reg.query("op10_disclosing_terms")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
+@reg.query("op11_url_filter", urls.judge_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, urls.reported_urls(pages))
+
+
+@reg.query("op12_phrase_collocations", phrases.collocation_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+@reg.query("op13_centroid_clusters", centroids.cluster_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings")).drop("centroid")
