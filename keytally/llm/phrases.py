@@ -1,20 +1,20 @@
 """Phrase collocation mining by broadcast double-array tries.
 
-Texts are read in blocks of bytes; numpy finds the words of a block and gives each a 64-bit hash. Four steps, each a
-pass over all texts whose partial counts Spark sums:
+Texts are read in blocks of bytes; numpy finds the words of a block and gives each a 64-bit hash. Three steps, each of
+passes over all texts whose partial counts Spark sums:
 
 1. Words are counted per language. No two words may share a hash; if two do, the seed is changed and the
    step done again, so hashes stand for words from then on.
-2. For 2 and then 3 words, hash buckets of the phrases whose parts are frequent are summed. Only phrases of a bucket
-   that reaches the threshold can reach it themselves. Which parts are frequent is told by a bit map of ``MAP_BITS``
-   bits (8 MB) whatever the number of phrases; a wrong yes only lets more through.
-3. The phrases of those buckets are the Apriori-safe candidates, with the frequent words.
-4. Blocks of about ``BLOCK_PHRASES`` candidates, dealt by hash, become double-array tries. Each is broadcast and counted in one pass:
-   all positions of a text block enter at their language's node and go on word by word, all at once; where a state accepts, its
-   phrase is counted by bincount, and the counts of all tasks are summed. These are the counts given out.
+2. For 2 and then 3 words: the phrases whose parts are frequent, seen often enough in counts that stop at the
+   threshold, are the Apriori-safe candidates. Which parts are frequent is told by a bit map of ``MAP_BITS`` bits (8 MB)
+   whatever the number of phrases; a wrong yes only lets more through.
+3. Blocks of about ``BLOCK_PHRASES`` candidates and frequent words, dealt by hash, become double-array tries. Up to
+   ``TRIES`` of them are broadcast and counted in one pass: all positions of a text block enter at their language's node
+   and go on word by word, all at once; where a state accepts, its phrase is counted by bincount, and the counts of
+   all tasks are summed. These are the counts given out.
 
 A trie has at most 12 nodes per phrase of its block, so what is broadcast and what the driver holds is bounded
-by ``BLOCK_PHRASES``; more candidates mean more passes over the texts.
+by ``BLOCK_PHRASES`` and ``TRIES``; more candidates mean more passes over the texts.
 
 Defined results: a null text has no words, a null language is ``und``; texts of any length are read whole, in blocks that
 overlap by two words; a text without letters gives no rows; copies and repeated rows count as often as they occur; ties in
@@ -42,9 +42,10 @@ ABSORB_PERCENT = 50
 MILLION = 1_000_000
 
 BLOCK_BYTES = 1 << 20
-FLUSH_KEYS = 1 << 21
+FLUSH_ROWS = 1 << 20
 MAP_BITS = 26
 BLOCK_PHRASES = 1 << 20
+TRIES = 2
 SEEDS = 16
 #: Characters between words and characters that end a piece.
 SPACES, STOPS = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -105,8 +106,14 @@ class Words:
     follows: np.ndarray
     own: np.ndarray
 
-    def text(self, at: int) -> str:
-        return _lower[self.data[self.start[at] : self.end[at]]].tobytes().decode()
+    def texts(self, at: np.ndarray) -> pa.Array:
+        """The words at some positions, in lower case."""
+        size = self.end[at] - self.start[at]
+        ends = np.cumsum(size)
+        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - (ends - size), size)
+        offsets = np.concatenate([[0], ends]).astype(np.int64)
+        data = _lower[self.data[where]].tobytes()
+        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
 
     def starts_of(self, size: int) -> np.ndarray:
         """The positions at which a phrase of so many words begins."""
@@ -192,12 +199,24 @@ def _long_text(data: np.ndarray, hasher: Hasher) -> Iterator[Words]:
         at = end
 
 
-def _lang_hashes(langs: list[str], words: Words) -> np.ndarray:
-    """The hash of the language of each word."""
-    kinds = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
-    raw = [np.frombuffer(lang.encode() + b"\0", np.uint8) for lang in kinds]
-    table = np.array([Hasher(0).ranges(x, np.array([0]), np.array([len(x)]))[0] for x in raw], np.uint64)
-    return table[np.array([kinds[lang] for lang in langs])][words.row]
+class Languages:
+    """The languages a task has met, as numbers and as hashes."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.hashes = np.zeros(0, np.uint64)
+
+    def of_rows(self, langs: list[str]) -> np.ndarray:
+        for lang in dict.fromkeys(langs):
+            if lang not in self.number:
+                self.number[lang] = len(self.number)
+                raw = np.frombuffer(lang.encode() + b"\0", np.uint8)
+                own = Hasher(0).ranges(raw, np.array([0]), np.array([len(raw)]))
+                self.hashes = np.concatenate([self.hashes, own])
+        return np.array([self.number[lang] for lang in langs], np.int32)
+
+    def column(self, numbers: np.ndarray) -> pa.Array:
+        return pa.DictionaryArray.from_arrays(numbers, list(self.number)).cast(pa.string())
 
 
 def _keys(words: Words, lang: np.ndarray, size: int) -> np.ndarray:
@@ -228,36 +247,37 @@ def _safe_starts(words: Words, lang: np.ndarray, maps: list[np.ndarray], size: i
 # --- the passes
 
 
-def _frame(rows: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([rows[name] for name in schema.names], schema=schema)
-
-
 def _signed(keys: np.ndarray) -> pa.Array:
     return pa.array(keys.view(np.int64))
 
 
 def count_words(docs: DataFrame, seed: int) -> DataFrame:
     """(lang, h, word, f) of all words; blocks are summed in the tasks before Spark's partial sums."""
-    schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("word", pa.string()), ("f", pa.int64())])
+    names = ["lang", "h", "word"]
+
+    def flush(waiting: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        sums = pa.concat_tables(waiting).group_by(names).aggregate([("f", "sum")])
+        yield from sums.select([*names, "f_sum"]).rename_columns([*names, "f"]).to_batches(1 << 16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, waiting, rows = Languages(), [], 0
         for langs, words in text_blocks(batches, Hasher(seed)):
+            lang = met.of_rows(langs)[words.row]
             at = words.starts_of(1)
-            key = joined(_lang_hashes(langs, words), words.hash)[at]
+            key = joined(met.hashes[lang], words.hash)[at]
             _, first, n = np.unique(key, return_index=True, return_counts=True)
             first = at[first]
-            yield _frame(
-                {
-                    "lang": pa.array([langs[r] for r in words.row[first]], pa.string()),
-                    "h": _signed(words.hash[first]),
-                    "word": pa.array([words.text(i) for i in first.tolist()], pa.string()),
-                    "f": pa.array(n),
-                },
-                schema,
-            )
+            columns = [met.column(lang[first]), _signed(words.hash[first]), words.texts(first).cast(pa.string()), pa.array(n)]
+            waiting.append(pa.table(columns, names=[*names, "f"]))
+            rows += len(first)
+            if rows >= FLUSH_ROWS // 4:
+                yield from flush(waiting)
+                waiting, rows = [], 0
+        if rows:
+            yield from flush(waiting)
 
     rows = docs.mapInArrow(count, "lang string, h long, word string, f long")
-    return rows.groupBy("lang", "h", "word").agg(F.sum("f").alias("f"))
+    return rows.groupBy(*names).agg(F.sum("f").alias("f"))
 
 
 def _distinct_words(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -270,195 +290,192 @@ def _distinct_words(docs: DataFrame) -> tuple[DataFrame, int]:
     raise ValueError(f"words of equal hash under each of {SEEDS} seeds")
 
 
-def bit_map(keys: DataFrame) -> np.ndarray:
-    """The bit map of the column ``key``: ``MAP_BITS`` leading bits of a key name its bit."""
+def bit_map(phrases: DataFrame, size: int) -> np.ndarray:
+    """The bit map of (lang, h1 ..) rows of ``size`` words: ``MAP_BITS`` leading bits of a phrase's key name its bit."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Languages()
+        for batch in batches:
+            lang = met.of_rows(batch.column(0).to_pylist())
+            key = met.hashes[lang]
+            for i in range(size):
+                key = joined(key, batch.column(i + 1).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([_signed(key)], names=["key"])
+
+    ids = [f"h{i + 1}" for i in range(size)]
+    rows = phrases.select("lang", *ids).mapInArrow(keys, "key long")
     place = F.shiftrightunsigned("key", 64 - MAP_BITS)
-    word = F.shiftright(place, 6).alias("word")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-    found = keys.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
+    found = rows.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     bits = np.zeros(1 << (MAP_BITS - 6), np.uint64)
     bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return bits
 
 
-def bucket_counts(docs: DataFrame, seed: int, maps: list[np.ndarray], size: int, least: int) -> DataFrame:
-    """(key) of the hash buckets of phrases of ``size`` words that reach ``least``."""
-    shared = docs.sparkSession.sparkContext.broadcast(maps)
+def find_candidates(docs: DataFrame, seed: int, maps: list[np.ndarray], size: int, least: int) -> DataFrame:
+    """(lang, h1 ..) of the phrases of ``size`` words that are seen ``least`` times, with all shorter parts in the ``maps``.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, n = [], 0
+    Counts stop at ``least``: they tell that a phrase is frequent, not how frequent.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(maps)
+    ids = [f"h{i + 1}" for i in range(size)]
 
-        def flush() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
-            return pa.RecordBatch.from_arrays([_signed(keys), pa.array(counts)], names=["key", "n"])
+    def flush(waiting: list[tuple], met: Languages) -> Iterator[pa.RecordBatch]:
+        key, lang, *hashes = [np.concatenate(part) for part in zip(*waiting)]
+        _, first, n = np.unique(key, return_index=True, return_counts=True)
+        for part in np.array_split(np.arange(len(first)), 1 + len(first) // 65536):
+            at = first[part]
+            columns = [met.column(lang[at]), *[_signed(h[at]) for h in hashes]]
+            columns.append(pa.array(np.minimum(n[part], least)))
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", *ids, "n"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, waiting, rows = Languages(), [], 0
         for langs, words in text_blocks(batches, Hasher(seed)):
-            lang = _lang_hashes(langs, words)
-            at = _safe_starts(words, lang, shared.value, size)
-            waiting.append(_keys(words, lang, size)[at])
-            n += len(at)
-            if n >= FLUSH_KEYS:
-                yield flush()
-                waiting, n = [], 0
-        if n:
-            yield flush()
-
-    rows = docs.mapInArrow(count, "key long, n long")
-    return rows.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key")
+            lang = met.of_rows(langs)[words.row]
+            own = met.hashes[lang]
+            at = _safe_starts(words, own, shared.value, size)
+            key = _keys(words, own, size)[at]
+            waiting.append((key, lang[at], *[words.hash[at + i] for i in range(size)]))
+            rows += len(at)
+            if rows >= FLUSH_ROWS:
+                yield from flush(waiting, met)
+                waiting, rows = [], 0
+        if rows:
+            yield from flush(waiting, met)
+
+    schema = f"lang string, {', '.join(f'{h} long' for h in ids)}, n long"
+    sums = docs.mapInArrow(count, schema).groupBy("lang", *ids).agg(F.sum("n").alias("n"))
+    return sums.filter(F.col("n") >= least).drop("n")
+
+
+class Vocabulary:
+    """Numbers from 1 on for sorted hashes, looked up by their leading bits; 0 for others."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        self.shift = np.uint64(64 - max(1, len(hashes).bit_length()))
+        leading = hashes >> self.shift
+        parts = 1 << (64 - int(self.shift))
+        self.start = np.searchsorted(leading, np.arange(parts + 1, dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.diff(self.start).max(initial=0))
+
+    def numbers(self, asked: np.ndarray) -> np.ndarray:
+        part = asked >> self.shift
+        place, end = self.start[part], self.start[part + np.uint64(1)]
+        out = np.zeros(len(asked), np.int64)
+        left = np.flatnonzero(place < end)
+        place, end = place[left], end[left]
+        for _ in range(self.most):
+            if not len(left):
+                break
+            met = self.hashes[place] == asked[left]
+            out[left[met]] = place[met] + 1
+            place = place + 1
+            on = ~met & (place < end)
+            left, place, end = left[on], place[on], end[on]
+        return out
 
 
-CANDIDATE = "key long, size int, lang string, w1 string, w2 string, w3 string, h1 long, h2 long, h3 long"
+@dataclass
+class Block:
+    """The trie of a block of phrases, what its numbers stand for, and the ids of its phrases in their order."""
+
+    automaton: trie.Trie
+    langs: dict[str, int]
+    vocabulary: Vocabulary
+    ids: np.ndarray
+
+    def count(self, rows: list[str], words: Words, found: np.ndarray) -> None:
+        """Adds the occurrences in a text block to ``found``."""
+        code = self.vocabulary.numbers(words.hash)
+        lang = np.array([self.langs.get(r, 0) for r in rows], np.int64)[words.row]
+        at = words.starts_of(1)
+        at = at[(lang[at] > 0) & (code[at] > 0)]
+        on, state = self.automaton.step(np.zeros(len(at), np.int32), lang[at])
+        at = at[on]
+        for word in range(LONGEST):
+            if word:
+                goes_on = words.follows[at]
+                at, state = at[goes_on] + 1, state[goes_on]
+                known = code[at] > 0
+                at, state = at[known], state[known]
+            on, state = self.automaton.step(state, code[at])
+            at = at[on]
+            ends = self.automaton.phrase[state]
+            found += np.bincount(ends[ends >= 0], minlength=len(found))
 
 
-def find_candidates(docs: DataFrame, seed: int, maps: list[np.ndarray], size: int) -> DataFrame:
-    """The distinct phrases of ``size`` words that all ``maps`` let through."""
-    shared = docs.sparkSession.sparkContext.broadcast(maps)
-    schema = pa.schema(
-        [("key", pa.int64()), ("size", pa.int32()), ("lang", pa.string())]
-        + [(f"w{i}", pa.string()) for i in (1, 2, 3)]
-        + [(f"h{i}", pa.int64()) for i in (1, 2, 3)]
-    )
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
-        for langs, words in text_blocks(batches, Hasher(seed)):
-            lang = _lang_hashes(langs, words)
-            at = _safe_starts(words, lang, shared.value[:-1], size)
-            keys = _keys(words, lang, size)[at]
-            on = _in_map(shared.value[-1], keys)
-            keys, first = np.unique(keys[on], return_index=True)
-            new = ~np.isin(keys, seen)
-            keys, first = keys[new], at[on][first[new]]
-            # what a task has sent is remembered for a while only, so that its memory is bounded
-            seen = np.concatenate([seen, keys]) if len(seen) < FLUSH_KEYS else keys
-            columns = {
-                "key": _signed(keys),
-                "size": pa.array(np.full(len(keys), size, np.int32)),
-                "lang": pa.array([langs[r] for r in words.row[first]], pa.string()),
-            }
-            for i in range(LONGEST):
-                there = i < size
-                here = first + i
-                text = [words.text(j) for j in here.tolist()] if there else [None] * len(first)
-                columns[f"w{i + 1}"] = pa.array(text, pa.string())
-                columns[f"h{i + 1}"] = (
-                    _signed(words.hash[here]) if there else pa.nulls(len(first), pa.int64())
-                )
-            yield _frame(columns, schema)
-
-    return docs.mapInArrow(find, CANDIDATE).distinct()
-
-
-def _trie_of(block: pa.Table) -> tuple[trie.Trie, list[str], np.ndarray, np.ndarray]:
-    """The trie of (lang, h1, h2, h3) rows, its languages, its sorted word hashes, and its rows in order."""
-    langs = sorted(set(block.column("lang").to_pylist()))
-    place = {lang: i + 1 for i, lang in enumerate(langs)}
-    hashes = [block.column(f"h{i}").combine_chunks() for i in (1, 2, 3)]
+def make_block(rows: pa.Table) -> Block:
+    """The block of (id, lang, h1, h2, h3) rows."""
+    langs = {lang: i + 1 for i, lang in enumerate(sorted(set(rows.column("lang").to_pylist())))}
+    hashes = [rows.column(f"h{i}").combine_chunks() for i in (1, 2, 3)]
     there = [h.is_valid().to_numpy(zero_copy_only=False) for h in hashes]
     values = [pc.fill_null(h, 0).to_numpy().view(np.uint64) for h in hashes]
     vocabulary = np.unique(np.concatenate([v[t] for v, t in zip(values, there)]))
-    codes = [np.array([place[x] for x in block.column("lang").to_pylist()], np.int64)]
+    codes = [np.array([langs[x] for x in rows.column("lang").to_pylist()], np.int64)]
     codes += [np.where(t, np.searchsorted(vocabulary, v) + 1, 0) for v, t in zip(values, there)]
     order = np.lexsort(codes[::-1])
-    sequences = np.stack(codes, axis=1)[order]
     symbols = trie.digits_for(max(len(vocabulary), len(langs)))
-    return trie.build(sequences, symbols), langs, vocabulary, sequences
+    made = trie.build(np.stack(codes, axis=1)[order], symbols)
+    return Block(made, langs, Vocabulary(vocabulary), rows.column("id").to_numpy()[order])
 
 
-def count_block(docs: DataFrame, seed: int, block: pa.Table) -> tuple[DataFrame, Callable[[], None]]:
-    """(lang, h1, h2, h3, f) of the phrases of a block, by one pass over all texts; and what frees its broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(_trie_of(block))
+def count_blocks(docs: DataFrame, seed: int, blocks: list[Block]) -> tuple[DataFrame, Callable[[], None]]:
+    """(id, f) of the phrases of some blocks, by one pass over all texts; and what frees their broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(blocks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, langs, vocabulary, sequences = shared.value
-        numbers = {lang: i + 1 for i, lang in enumerate(langs)}
-        found = np.zeros(len(sequences), np.int64)
+        found = [np.zeros(len(block.ids), np.int64) for block in shared.value]
         for rows, words in text_blocks(batches, Hasher(seed)):
-            at = words.starts_of(1)
-            place = np.minimum(np.searchsorted(vocabulary, words.hash), len(vocabulary) - 1)
-            code = np.where(vocabulary[place] == words.hash, place + 1, 0)
-            lang = np.array([numbers.get(r, 0) for r in rows], np.int64)[words.row]
-            at = at[lang[at] > 0]
-            on, state = automaton.step(np.zeros(len(at), np.int32), lang[at])
-            at = at[on]
-            for word in range(LONGEST):
-                if word:
-                    goes_on = words.follows[at]
-                    at, state = at[goes_on] + 1, state[goes_on]
-                known = code[at] > 0
-                at, state = at[known], state[known]
-                on, state = automaton.step(state, code[at])
-                at = at[on]
-                ends = automaton.phrase[state]
-                found += np.bincount(ends[ends >= 0], minlength=len(found))
-        there = np.flatnonzero(found)
-        for part in np.array_split(there, 1 + len(there) // 65536):
-            own = sequences[part]
-            columns = [pa.array([langs[i - 1] for i in own[:, 0]], pa.string())]
-            for i in (1, 2, 3):
-                h = vocabulary[np.maximum(own[:, i], 1) - 1].view(np.int64)
-                columns.append(pa.array(h, mask=own[:, i] == 0))
-            columns.append(pa.array(found[part]))
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "h1", "h2", "h3", "f"])
-
-    rows = docs.mapInArrow(count, "lang string, h1 long, h2 long, h3 long, f long")
-    return rows.groupBy("lang", "h1", "h2", "h3").agg(F.sum("f").alias("f")), shared.unpersist
-
-
-def count_phrases(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame, DataFrame]:
-    """(lang, size, phrase, h1, h2, h3, f) of all phrases of 1 to 3 words that occur ``least`` times; (lang, n)."""
+            for block, own in zip(shared.value, found):
+                block.count(rows, words, own)
+        for block, own in zip(shared.value, found):
+            there = np.flatnonzero(own)
+            for part in np.array_split(there, 1 + len(there) // 65536):
+                columns = [pa.array(block.ids[part]), pa.array(own[part])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "f"])
+
+    rows = docs.mapInArrow(count, "id long, f long")
+    return rows.groupBy("id").agg(F.sum("f").alias("f")), shared.unpersist
+
+
+PHRASE = ["lang", "h1", "h2", "h3"]
+
+
+def count_phrases(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lang, h1, h2, h3, f) of all phrases of 1 to 3 words that occur ``least`` times, (lang, h1, word), (lang, n)."""
     docs = docs.select("lang", "text")
     words, seed = _distinct_words(docs)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = words.filter(F.col("f") >= least)
-    maps = [bit_map(_word_keys(frequent))]
-    none = [F.lit(None).cast("long").alias(f"h{i}") for i in (2, 3)]
-    parts = [frequent.select("lang", F.lit(1).alias("size"), F.col("word").alias("phrase"), F.col("h").alias("h1"), *none)]
+    frequent = words.filter(F.col("f") >= least).select("lang", F.col("h").alias("h1"), "word")
+    maps, parts = [bit_map(frequent, 1)], [frequent.drop("word")]
     for size in range(2, LONGEST + 1):
-        buckets = stored(bucket_counts(docs, seed, maps, size, least), "phrase-buckets")
-        maps = [*maps, bit_map(buckets)]
-        found = find_candidates(docs, seed, maps, size).join(buckets, "key", "left_semi")
-        phrase = F.concat_ws(" ", "w1", "w2", "w3").alias("phrase")
-        parts.append(found.select("lang", "size", phrase, "h1", "h2", "h3"))
+        parts.append(stored(find_candidates(docs, seed, maps, size, least), "phrase-candidates"))
+        if size < LONGEST:
+            maps = [*maps, bit_map(parts[-1], size)]
     safe = parts[0]
     for part in parts[1:]:
-        safe = safe.union(part)
-    safe = stored(safe, "phrase-candidates")
+        safe = safe.unionByName(part, allowMissingColumns=True)
+    # the ids stay as they are once the table is written
+    safe = stored(safe.select(F.monotonically_increasing_id().alias("id"), *PHRASE), "phrases")
     blocks = 1 + safe.count() // BLOCK_PHRASES
-    ids = ["lang", "h1", "h2", "h3"]
-    dealt = F.pmod(F.xxhash64(*ids), F.lit(blocks))
-    counted = []
-    for block in range(blocks):
-        table = safe.filter(dealt == block).select(*ids).toArrow()
-        if table.num_rows:
-            counts, free = count_block(docs, seed, table)
-            counted.append(stored(counts, "phrase-counts"))
+    counts = None
+    for first in range(0, blocks, TRIES):
+        made = []
+        for block in range(first, min(first + TRIES, blocks)):
+            own = safe.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
+            if own.num_rows:
+                made.append(make_block(own))
+        if made:
+            found, free = count_blocks(docs, seed, made)
+            found = stored(found, "phrase-counts")
             free()
-    if not counted:
-        return safe.withColumn("f", F.lit(None).cast("long")), totals
-    counts = counted[0]
-    for more in counted[1:]:
-        counts = counts.union(more)
-    a, b = safe.alias("a"), counts.alias("b")
-    same = F.lit(True)
-    for name in ids:
-        same = same & F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}"))
-    known = a.join(b, same).select("a.*", "b.f").filter(F.col("f") >= least)
-    return stored(known, "phrases"), totals
-
-
-def _word_keys(words: DataFrame) -> DataFrame:
-    """The bit map keys of (lang, h) rows, by the hash that the tasks use."""
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            h = batch.column(1).to_numpy().view(np.uint64)
-            rows = np.arange(len(h))
-            words = Words(h, h, h, h, rows, rows, rows)
-            yield pa.RecordBatch.from_arrays([_signed(joined(_lang_hashes(langs, words), h))], names=["key"])
-
-    return words.select("lang", "h").mapInArrow(keys, "key long")
+            counts = found if counts is None else counts.union(found)
+    if counts is None:
+        return safe.drop("id").withColumn("f", F.lit(None).cast("long")), frequent, totals
+    known = safe.join(counts, "id").filter(F.col("f") >= least).drop("id")
+    return stored(known, "phrase-counts"), frequent, totals
 
 
 # --- scores
@@ -489,28 +506,36 @@ def collocations(
     absorb_percent: int = ABSORB_PERCENT,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first phrases of 2 to 3 words."""
-    known, totals = count_phrases(docs, least)
-
-    def part(size: int, names: list[str], count: str) -> DataFrame:
-        ids = [F.col(f"h{i + 1}").alias(name) for i, name in enumerate(names)]
-        return known.filter(F.col("size") == size).select("lang", *ids, F.col("f").alias(count))
-
-    columns = ["lang", "phrase", "h1", "h2", "h3", F.col("f").alias("a")]
-    pairs = known.filter("size = 2").select(*columns)
-    triples = known.filter("size = 3").select(*columns)
-    pairs = pairs.join(part(1, ["h1"], "l"), ["lang", "h1"]).join(part(1, ["h2"], "r"), ["lang", "h2"])
-    pairs = pairs.withColumn("score", _score(F.col("a"), F.col("l"), F.col("r")))
-    longer = triples.select(
-        "lang", "a", F.explode(F.array(F.struct("h1", "h2"), F.struct(F.col("h2").alias("h1"), F.col("h3").alias("h2")))).alias("p")
-    ).groupBy("lang", "p.h1", "p.h2").agg(F.max("a").alias("within"))
+    known, words, totals = count_phrases(docs, least)
+    single = known.filter("h2 IS NULL").join(words, ["lang", "h1"])
+    double = known.filter("h2 IS NOT NULL AND h3 IS NULL")
+
+    def word(at: int, count: str) -> DataFrame:
+        return single.select("lang", F.col("h1").alias(f"h{at}"), F.col("f").alias(count), F.col("word").alias(f"w{at}"))
+
+    def pair(a: int, b: int, count: str) -> DataFrame:
+        return double.select("lang", F.col("h1").alias(f"h{a}"), F.col("h2").alias(f"h{b}"), F.col("f").alias(count))
+
+    pairs = double.select("lang", "h1", "h2", F.col("f").alias("a"))
+    triples = known.filter("h3 IS NOT NULL").select("lang", "h1", "h2", "h3", F.col("f").alias("a"))
+    inside = F.array(F.struct("h1", "h2"), F.struct(F.col("h2").alias("h1"), F.col("h3").alias("h2")))
+    longer = triples.select("lang", "a", F.explode(inside).alias("p"))
+    longer = longer.groupBy("lang", "p.h1", "p.h2").agg(F.max("a").alias("within"))
     pairs = pairs.join(longer, ["lang", "h1", "h2"], "left").filter(
         F.coalesce(F.col("within") * 100 < F.col("a") * absorb_percent, F.lit(True))
     )
+    pairs = pairs.join(word(1, "l"), ["lang", "h1"]).join(word(2, "r"), ["lang", "h2"])
+    pairs = pairs.select(
+        "lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", "l", "r",
+        _score(F.col("a"), F.col("l"), F.col("r")).alias("score"),
+    )
     cuts = (
-        triples.join(part(1, ["h1"], "l1"), ["lang", "h1"])
-        .join(part(2, ["h2", "h3"], "r1"), ["lang", "h2", "h3"])
-        .join(part(2, ["h1", "h2"], "l2"), ["lang", "h1", "h2"])
-        .join(part(1, ["h3"], "r2"), ["lang", "h3"])
+        triples.join(pair(1, 2, "l2"), ["lang", "h1", "h2"])
+        .join(pair(2, 3, "r1"), ["lang", "h2", "h3"])
+        .join(word(1, "l1"), ["lang", "h1"])
+        .join(word(2, "f2"), ["lang", "h2"])
+        .join(word(3, "r2"), ["lang", "h3"])
+        .withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3"))
     )
     # the smallest struct: the lowest score, of equal ones the earlier cut
     cut = F.least(
@@ -525,7 +550,7 @@ def collocations(
         ]
     )
     triples = cuts.withColumn("cut", cut).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    scored = pairs.select("lang", "phrase", "a", "l", "r", "score").union(triples)
+    scored = pairs.union(triples)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     best = _top(scored, ["lang"], order, top)
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -6,12 +6,12 @@ distinct fingerprints are compared.
 Pigeonring (Qin and Xiao, 2018) with ``SEGMENTS`` segments and a budget of ``DISTANCE`` bits: on the
 ring of segments there is a start from which every chain of l segments differs in at most
 l * DISTANCE / SEGMENTS bits. With 5 segments and 2 bits the first two segments are equal, which gives 26 bits or
-25 to meet on; the longer chains prune the pairs that met before the full distance is taken. Where more than
-``HOT`` different fingerprints meet on one key, the other segments are cut up anew by the same rule, so
-that such a group is compared by 41 bits or so; no pair within the distance is lost.
+25 to meet on; the other bits are cut up anew by the same rule, so that fingerprints meet on 41 bits or so. The longer
+chains prune the pairs that met before the full distance is taken. No pair within the distance is lost.
 
 Defined results: a null text has no words; fewer than three words are one shingle; no words give
-fingerprint 0, linked like any other. Rows with equal ids are rows of their own; null ids do not
+fingerprint 0, linked like any other. Long texts are read whole, their shingles in blocks. Copies share a
+fingerprint and so a component; ties are none, as links are yes or no. Rows with equal ids are rows of their own; null ids do not
 count for ``component_id``, which is null if a component has no other. An empty table gives no rows.
 Other columns are ignored, or kept by ``keep_one``.
 """
@@ -35,7 +35,6 @@ DISTANCE = 2
 SEGMENTS = 5
 SHINGLE = 3
 SEED = 42
-HOT = 2000
 BLOCK = 1 << 16
 
 
@@ -136,44 +135,27 @@ def _met(left: DataFrame, on: list[str], checks: Column) -> DataFrame:
     return a.join(b, on).filter((F.col("a") < F.col("b")) & checks & near).select("a", "b")
 
 
-def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
-    """All pairs a < b of the distinct ``fp`` that differ in at most ``DISTANCE`` bits."""
-    every = list(range(BITS))
-    keys = _keys(every)
-    fp = F.col("fp")
-    meets = F.array(
-        *[F.struct(F.lit(i).alias("ring"), fp.bitwiseAND(F.lit(_mask(b))).alias("key")) for i, b in keys]
-    )
-    rows = fps.select("fp", F.explode(meets).alias("m")).select("fp", "m.ring", "m.key")
-    crowded = stored(
-        rows.groupBy("ring", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).drop("n"),
-        "crowded-keys",
-    )
-    on = ["ring", "key"]
-
-    def chains(col_a: Column, col_b: Column, ring: Column) -> Column:
-        value = F.lit(False)
-        for i, _ in keys:
-            value = F.when(ring == i, _within(col_a, col_b, every, i)).otherwise(value)
-        return value
+def links(fps: DataFrame) -> DataFrame:
+    """All pairs a < b of the distinct ``fp`` that differ in at most ``DISTANCE`` bits.
 
+    A fingerprint is one row for each start on the ring and, within it, each start on the ring of the bits
+    that the first one leaves open.
+    """
+    every = list(range(BITS))
+    fp, meets, checks = F.col("fp"), [], []
+    for start, known in _keys(every):
+        rest = [b for b in every if b not in set(known)]
+        for _, more in _keys(rest):
+            key = fp.bitwiseAND(F.lit(_mask(known + more)))
+            meets.append(F.struct(F.lit(len(meets)).alias("ring"), key.alias("key")))
+            checks.append(start)
+    rows = fps.select("fp", F.explode(F.array(*meets)).alias("m")).select("fp", "m.ring", "m.key")
     a, b, ring = F.col("a"), F.col("b"), F.col("ring")
-    plain = _met(rows.join(crowded, on, "left_anti"), on, chains(a, b, ring))
-    # in crowded keys the bits that are not known to be equal are cut up by the same rule
-    second = F.lit(None)
-    for i, known in keys:
-        rest = [x for x in every if x not in set(known)]
-        again = F.array(
-            *[
-                F.struct(F.lit(j).alias("ring2"), fp.bitwiseAND(F.lit(_mask(bits))).alias("key2"))
-                for j, bits in _keys(rest)
-            ]
-        )
-        second = F.when(ring == i, again).otherwise(second)
-    packed = rows.join(crowded, on, "left_semi").withColumn("m", F.explode(second))
-    packed = packed.select("fp", "ring", "key", "m.ring2", "m.key2")
-    crowd = _met(packed, [*on, "ring2", "key2"], chains(a, b, ring))
-    return plain.union(crowd).distinct()
+    chains = F.lit(False)
+    for start in range(SEGMENTS):
+        own = [i for i, s in enumerate(checks) if s == start]
+        chains = F.when(ring.isin(own), _within(a, b, every, start)).otherwise(chains)
+    return _met(rows, ["ring", "key"], chains).distinct()
 
 
 def fingerprint_components(rows: DataFrame, order: Column) -> DataFrame:

@@ -184,7 +184,8 @@ def test_words_of_blocks_of_any_size(size, monkeypatch):
     got = Counter()
     for _, words in phrases.text_blocks(iter([batch.slice(1), batch.slice(0, 1)]), phrases.Hasher(3)):
         for k in (1, 2, 3):
-            got.update(tuple(words.text(i + j) for j in range(k)) for i in words.starts_of(k).tolist())
+            at = words.starts_of(k)
+            got.update(zip(*[words.texts(at + j).to_pylist() for j in range(k)]))
     want = Counter()
     for text in texts:
         for piece in re.split("[.,;:!?\n-\r]", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")):
