@@ -13,6 +13,7 @@ from keytally.operators.summaries import (
     heads_of,
     local_summaries,
     merge_lower,
+    merge_tree,
     merge_upper,
     sharded_summaries,
     total_of,
@@ -57,9 +58,9 @@ def frequent_elements_merged(summary: DataFrame, phi: float) -> DataFrame:
     return at_least(merge_upper(summary), F.lit(phi) * total_of(summary, "n"))
 
 
-def space_saving_merge(summary: DataFrame, m: int) -> DataFrame:
-    """The m largest counters of the merged summaries."""
-    return merge_upper(summary).orderBy(F.desc("est"), "key").limit(m)
+def space_saving_merge(summary: DataFrame, m: int, fan_in: int = 16) -> DataFrame:
+    """(key, est, lower, upper): one summary of m counters, merged level by level; see ``merge_tree``."""
+    return bounds(merge_tree(summary, "space_saving", m, fan_in)).drop("shard")
 
 
 def include_pending(
@@ -152,26 +153,10 @@ def frequent_items_sketch(stream: DataFrame, lg_size: int, tasks: int | None = N
     return local_summaries(stream, "items", item_capacity(lg_size), tasks=tasks)
 
 
-def frequent_items_merge(sketch: DataFrame, lg_size: int) -> DataFrame:
-    """Partition sketches, of any sizes, as one sketch of 2^lg_size slots: counters and offsets
-    add up, then the counters are lowered until they fit."""
-    m = item_capacity(lg_size)
-    sums = counters_of(sketch).groupBy("key").agg(F.sum("cnt").alias("cnt"))
-    floor = total_of(sketch, "floor") + cut_value(sums, m, "cnt")
-    zero = F.lit(0).cast("long")
-    items = cut_to(sums, m).select(
-        zero.alias("shard"), "key", "cnt", zero.alias("err"), floor.alias("floor"), zero.alias("n")
-    )
-    key_type = sketch.schema["key"].dataType
-    head = heads_of(sketch).agg(F.coalesce(F.sum("n"), zero).alias("n")).select(
-        zero.alias("shard"),
-        F.lit(None).cast(key_type).alias("key"),
-        zero.alias("cnt"),
-        zero.alias("err"),
-        floor.alias("floor"),
-        "n",
-    )
-    return items.unionByName(head)
+def frequent_items_merge(sketch: DataFrame, lg_size: int, fan_in: int = 16) -> DataFrame:
+    """Partition sketches, of any sizes, as one sketch of 2^lg_size slots, merged level by level: counters and
+    offsets add up, then the counters are lowered until they fit."""
+    return merge_tree(sketch, "items", item_capacity(lg_size), fan_in)
 
 
 def item_rows(sketch: DataFrame) -> DataFrame:

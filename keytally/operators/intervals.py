@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,6 +137,117 @@ def interval_sum_eh3(intervals: DataFrame, bits: int, i0: int, i1: int) -> DataF
     return _sum_of_blocks(intervals, bits, value)
 
 
+@dataclass(frozen=True)
+class _FreeForm:
+    """The quadratic form of a block's free bits in a basis that takes it apart.
+
+    ``pairs`` are (e, q(e), f, q(f)): two vectors that meet each other only; ``lone`` are (r, q(r)): vectors that meet
+    none. Vectors are masks of bits, q is the form without its linear terms.
+    """
+
+    pairs: list[tuple[int, int, int, int]]
+    lone: list[tuple[int, int]]
+
+
+def _parity(bits: int) -> int:
+    return bits.bit_count() & 1
+
+
+def _free_form(seeds: list[int], level: int) -> _FreeForm:
+    """The form over the ``level`` lowest bits, by the symplectic Gram-Schmidt process over GF(2)."""
+
+    def q(v: int) -> int:
+        on = [i for i in range(level) if v >> i & 1]
+        return _parity(sum(_parity(seeds[i] & v & -(1 << (i + 1))) << n for n, i in enumerate(on)))
+
+    def meet(u: int, v: int) -> int:
+        return q(u ^ v) ^ q(u) ^ q(v)
+
+    left, pairs, lone = [1 << i for i in range(level)], [], []
+    while left:
+        e = left.pop()
+        at = next((n for n, v in enumerate(left) if meet(e, v)), None)
+        if at is None:
+            lone.append((e, q(e)))
+            continue
+        f = left.pop(at)
+        # what meets one of the two is moved by the other until it meets neither
+        left = [v ^ (e if meet(v, f) else 0) ^ (f if meet(v, e) else 0) for v in left]
+        pairs.append((e, q(e), f, q(f)))
+    return _FreeForm(pairs, lone)
+
+
+def interval_sum_rm7(intervals: DataFrame, bits: int, i0: int, seeds: list[int]) -> DataFrame:
+    """interval_sum of rm7 from its dyadic blocks, at a cost by bits and not by width.
+
+    Within a block the high bits are fixed, so the form is the quadratic part of the free bits, the same for all blocks
+    of a level, plus linear terms. In the basis of ``_free_form`` the sum over the block is a product:
+    2 or -2 per pair (-2 where both vectors have an odd value) and 2 per lone vector, or 0 if one of these has an
+    odd value.
+    """
+    forms = [_free_form(seeds, level) for level in range(bits + 1)]
+
+    def structs(rows: list[tuple[int, ...]], names: tuple[str, ...]) -> str:
+        kind = "array<struct<" + ",".join(f"{n}:bigint" for n in names) + ">>"
+        body = ", ".join(
+            "named_struct(" + ", ".join(f"'{n}', {v}L" for n, v in zip(names, row)) + ")" for row in rows
+        )
+        return f"cast(array({body}) AS {kind})"
+
+    pair_names, lone_names = ("e", "qe", "f", "qf"), ("r", "qr")
+    pairs = "array(" + ", ".join(structs(f.pairs, pair_names) for f in forms) + ")"
+    lone = "array(" + ", ".join(structs(f.lone, lone_names) for f in forms) + ")"
+    table = F.expr("array(" + ", ".join(f"{v}L" for v in seeds) + ")")
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def shifted(x: Column, by: Column) -> Column:
+        return F.call_function("shiftleft", x, by)
+
+    def odd(x: Column) -> Column:
+        return F.bit_count(x).cast("long").bitwiseAND(1)
+
+    high, level = F.col("high"), F.col("level")
+    # bit i of the linear terms: the seed's own bit i and its products with the fixed bits
+    linear = F.aggregate(
+        F.sequence(F.lit(0), F.lit(bits - 1)),
+        zero,
+        lambda total, i: total.bitwiseOR(
+            F.when(i < level, shifted(odd(F.element_at(table, i + 1).bitwiseAND(high.bitwiseOR(shifted(one, i)))), i)).otherwise(zero)
+        ),
+    )
+    fixed = F.aggregate(
+        F.sequence(F.lit(0), F.lit(bits)),
+        F.lit(i0).cast("long"),
+        lambda total, i: total
+        + F.call_function("shiftright", high, i).bitwiseAND(1)
+        * odd(F.element_at(table, i + 1).bitwiseAND(high).bitwiseAND(-shifted(one, i))),
+    )
+    blocks = dyadic_cover(_distinct(intervals), bits).select(
+        "lo", "hi", "level", _block_start().alias("high")
+    )
+    parts = blocks.select(
+        "lo", "hi", "level", linear.alias("linear"), fixed.alias("fixed"),
+        F.element_at(F.expr(pairs), level + 1).alias("pairs"),
+        F.element_at(F.expr(lone), level + 1).alias("lone"),
+    )
+    terms = F.col("linear")
+    minus = F.aggregate(
+        "pairs",
+        F.col("fixed"),
+        lambda total, p: total
+        + (odd(terms.bitwiseAND(p.e)) + p.qe).bitwiseAND(1)
+        * (odd(terms.bitwiseAND(p.f)) + p.qf).bitwiseAND(1),
+    )
+    cancels = F.exists("lone", lambda r: (odd(terms.bitwiseAND(r.r)) + r.qr).bitwiseAND(1) == 1)
+    size = shifted(one, F.size("pairs") + F.size("lone"))
+    # an odd form is +1
+    value = F.when(cancels, zero).otherwise(size * (minus.bitwiseAND(1) * 2 - 1))
+    sums = parts.groupBy("lo", "hi").agg(F.sum(value).alias("total"))
+    return _distinct(intervals).join(sums, ["lo", "hi"], "left").select(
+        "lo", "hi", F.coalesce("total", F.lit(0)).alias("total")
+    )
+
+
 def dyadic_interval_sum(
     intervals: DataFrame, bits: int, xi: Callable[[Column], Column]
 ) -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
-from keytally.functions.hashing import key_code
+from keytally.functions.hashing import MASK31, key_code
 from keytally.functions.seeds import SeedTable
 from keytally.operators.exact import _product, exact_histogram, exact_join_size
-from keytally.operators.linear import _ids, count_min_build, linear_sketch, sign_column
+from keytally.operators.linear import _ids, count_min_build, linear_sketch
+from keytally.sinks.sketch_store import stored
 
 
 # --- combiners -------------------------------------------------------------------------
@@ -29,35 +34,114 @@ def minimum(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.min(value).alias("estimate"))
 
 
+PARTS = 1024
+
+
+def _part_of(value: Column, low: Column, high: Column, whole: bool) -> Column:
+    """The number of the part, of ``PARTS`` equal ones of [low, high], that a value falls into."""
+    if whole:
+        wide = lambda c: c.cast("decimal(38,0)")
+        size = F.call_function("div", wide(high) - wide(low), F.lit(PARTS).cast("decimal(38,0)")) + 1
+        return F.call_function("div", wide(value) - wide(low), size.cast("decimal(38,0)")).cast("long")
+    # halved, so that no difference of two doubles is infinite
+    share = (value / 2 - low / 2) / F.greatest(high / 2 - low / 2, F.lit(5e-324))
+    return F.least(F.floor(share * PARTS), F.lit(PARTS - 1))
+
+
+def _same(by: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])
+
+
 def kth_smallest(df: DataFrame, value: str, k: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """The k-th smallest value per group; a task keeps only k rows of a group."""
-    if not by:
-        first = df.select(value).orderBy(value).limit(k)
-        return first.agg(
-            F.when(F.count(F.lit(1)) == k, F.max(value)).alias("estimate")
-        ).where(F.col("estimate").isNotNull())
-    order = Window.partitionBy(*by).orderBy(value)
-    ranked = df.select(*by, value).withColumn("_n", F.row_number().over(order))
-    return ranked.where(F.col("_n") <= k).where(F.col("_n") == k).select(
-        *by, F.col(value).alias("estimate")
+    """The k-th smallest value per group, for any k, without sorting the values.
+
+    Each pass counts the values between the bounds found so far in ``PARTS`` equal parts, and narrows the bounds to the
+    part that has the k-th one, as far as its own least and largest value; when these are equal, they are the
+    answer. A pass shuffles at most ``PARTS`` counts per task and group. Values are numbers; nulls and NaN do not
+    count, and a group of fewer than k gives no row.
+    """
+    if k < 1:
+        raise ValueError("k counts from 1")
+    kind = df.schema[value].dataType
+    whole = isinstance(kind, IntegralType) or (isinstance(kind, DecimalType) and kind.scale == 0)
+    number = F.col(value) if whole else F.col(value).cast("double")
+    rows = df.select(*by, number.alias("_v")).where(F.col("_v").isNotNull())
+    if not whole:
+        rows = rows.where(~F.isnan("_v") & (F.abs("_v") < F.lit(float("inf"))))
+    groups = [*by, "_all"]
+    rows = rows.withColumn("_all", F.lit(0))
+    state = rows.groupBy(*groups).agg(
+        F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count(F.lit(1)).alias("_n")
+    )
+    state = stored(
+        state.where(F.col("_n") >= k).select(*groups, "_low", "_high", F.lit(k).cast("long").alias("_k")), "kth"
     )
+    while not state.where("_low < _high").isEmpty():
+        open_groups = state.where("_low < _high")
+        met = rows.alias("a").join(open_groups.alias("b"), _same(tuple(groups)))
+        inside = met.where("a._v BETWEEN b._low AND b._high").select(
+            "a.*", "b._k", _part_of(F.col("_v"), F.col("_low"), F.col("_high"), whole).alias("_part")
+        )
+        counts = inside.groupBy(*groups, "_k", "_part").agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+        )
+        order = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+        upto = counts.withColumn("_upto", F.sum("_n").over(order))
+        before = F.col("_upto") - F.col("_n")
+        narrowed = upto.where((before < F.col("_k")) & (F.col("_k") <= F.col("_upto"))).select(
+            *groups, "_low", "_high", (F.col("_k") - before).alias("_k")
+        )
+        state = stored(state.where("_low = _high").unionByName(narrowed), "kth")
+    return state.select(*by, F.col("_low").cast(kind).alias("estimate"))
 
 
 # --- sketches --------------------------------------------------------------------------
 
 
+def _hash31(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``hash31`` of numbers below 2^31, seeds down and codes across."""
+    r = a * x + b
+    return ((r >> 31) + r) & MASK31
+
+
 def agms_build(stream: DataFrame, seeds: SeedTable, code: Column | None = None) -> DataFrame:
     """One counter per (row, col): the sum of signed weights.
 
-    Every counter sees every key, so the keys are counted first and then meet the seeds.
+    Every counter sees every key. A task sums the weights per key a block at a time, works out the signs of all
+    counters for a block of keys at once and adds them up; it sends on one row per counter, whatever the stream holds.
     """
     ids = (*_ids(seeds), "col")
-    stream = exact_histogram(stream).withColumnRenamed("cnt", "weight")
-    x = key_code(stream, code).alias("_x")
-    wide = seeds.attach(
-        stream.select("weight", x), only=(*ids, "sa", "sb", "sc", "sd")
-    )
-    return wide.groupBy(*ids).agg(F.sum(sign_column() * F.col("weight")).alias("v"))
+    at = [seeds.columns.index(c) for c in ids]
+    signs = [seeds.columns.index(c) for c in ("sa", "sb", "sc", "sd")]
+    unique = list(dict.fromkeys(tuple(r[i] for i in (*at, *signs)) for r in seeds.rows))
+    names = np.array([r[: len(ids)] for r in unique], np.int64)
+    a, b, c, d = (np.array([r[len(ids) + i] for r in unique], np.int64)[:, None] for i in range(4))
+    schema = ", ".join(f"{c} int" for c in ids) + ", v long"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, seen = [0] * len(unique), False
+        for batch in batches:
+            seen = seen or batch.num_rows > 0
+            sums = pa.Table.from_batches([batch]).group_by("x").aggregate([("weight", "sum")])
+            codes, weights = sums["x"].to_numpy(), sums["weight_sum"].to_numpy()
+            # a block's sum must not pass 64 bits; larger weights go in two halves
+            high, low = weights >> 31, weights & MASK31
+            for start in range(0, len(codes), 4096):
+                x = codes[start : start + 4096]
+                # the polynomial of ``fourwise``, all counters at once
+                h = _hash31(_hash31(_hash31(a, b, x), c, x), d, x)
+                sign = (h & 1) * 2 - 1
+                part = slice(start, start + 4096)
+                upper, lower = sign @ high[part], sign @ low[part]
+                for i, (u, w) in enumerate(zip(upper.tolist(), lower.tolist())):
+                    totals[i] += (u << 31) + w
+        if seen:
+            columns = [pa.array(names[:, i], pa.int32()) for i in range(len(ids))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64())], names=[*ids, "v"])
+
+    coded = stream.select(key_code(stream, code).alias("x"), F.col("weight").cast("long").alias("weight"))
+    known = coded.where("x IS NOT NULL AND weight IS NOT NULL")
+    return known.mapInArrow(add, schema).groupBy(*ids).agg(F.sum("v").alias("v"))
 
 
 def fast_agms_build(

@@ -132,23 +132,47 @@ def batched_point_queries(
     return count_min_query(sketch, probes, seeds, buckets)
 
 
+def _totals_before(totals: DataFrame, ids: list[str], chunk: int, last: int) -> DataFrame:
+    """(ids, _chunk, _offset): the sum of ``_total`` over a cell's lower chunks, of which ``last`` is the highest.
+
+    Chunks are cut into chunks of their own until one of these has them all, so that no window sees more
+    than ``chunk`` rows.
+    """
+    up = F.floor(F.col("_chunk") / F.lit(chunk)).cast("long")
+    rows = totals.withColumn("_up", up)
+    before = (
+        Window.partitionBy(*ids, "_up").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    inside = rows.withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+    if last < chunk:
+        return inside.select(*ids, "_chunk", "_offset")
+    above = totals.groupBy(*ids, up.alias("_chunk")).agg(F.sum("_total").alias("_total"))
+    offsets = _totals_before(above, ids, chunk, last // chunk).select(
+        *ids, F.col("_chunk").alias("_up"), F.col("_offset").alias("_above")
+    )
+    return inside.join(offsets, [*ids, "_up"]).select(
+        *ids, "_chunk", (F.col("_offset") + F.col("_above")).alias("_offset")
+    )
+
+
 def update_and_query(
     stream: DataFrame, seeds: SeedTable, buckets: int, order: str, chunk: int = 4096
 ) -> DataFrame:
     """The estimate of each event's key just after the event was added.
 
-    ``order`` is a unique integer. Running sums are cut into chunks of the order, so the
-    events of a hot cell spread over many windows and only chunk totals are summed across.
+    ``order`` is a unique integer from 0 on. Running sums are cut into chunks of the order, the chunks' totals into
+    chunks of chunks and so on, so the events of a hot cell spread over many windows, of which none
+    sees more than ``chunk`` rows. How many levels that takes is told by the highest position.
     """
+    if chunk < 2:
+        raise ValueError("a chunk needs at least two positions")
     ids = [*_ids(seeds), "bucket"]
+    highest = stream.agg(F.max(order).alias("last")).first().last or 0
     rows = hash_rows(stream, seeds, buckets).withColumn(
-        "_chunk", F.floor(F.col(order) / F.lit(chunk))
+        "_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("long")
     )
     totals = rows.groupBy(*ids, "_chunk").agg(F.sum("weight").alias("_total"))
-    before = Window.partitionBy(*ids).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *ids, "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
-    )
+    offsets = _totals_before(totals, ids, chunk, highest // chunk)
     inside = (
         Window.partitionBy(*ids, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     )

@@ -455,6 +455,23 @@ reg.add(
     f"ORDER BY cnt) AS n FROM {_PER}) WHERE n = 3",
 )
 
+
+
+@reg.query(
+    "kth_smallest_median",
+    "SELECT 'all' AS scope, l_extendedprice AS estimate FROM (SELECT *, row_number() OVER (ORDER BY l_extendedprice) "
+    "AS n, COUNT(*) OVER () // 2 AS half FROM lineitem) WHERE n = half UNION ALL SELECT l_returnflag, l_extendedprice "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS n FROM lineitem) "
+    "WHERE n = 1500",
+)
+def _kth_median(s, d):
+    """The middle price of all lines, and the 1 500-th of each flag."""
+    prices = table(s, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    half = j.kth_smallest(prices, "l_extendedprice", prices.count() // 2)
+    each = j.kth_smallest(prices, "l_extendedprice", 1500, ("l_returnflag",))
+    return half.select(F.lit("all").alias("scope"), "estimate").union(each)
+
+
 _R = "run, \"row\""
 _RF = [q.sketch(x, RUN_SEEDS, JOIN_BUCKETS, signed=True, ids=_R) for x in (CUST, CUST2)]
 _RC = [q.sketch(x, RUN_SEEDS, JOIN_BUCKETS, ids=_R) for x in (CUST, CUST2)]

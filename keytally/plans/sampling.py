@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from keytally.functions import hashing as h
@@ -257,11 +259,26 @@ _rm7 = q.sign(
 )
 
 
-@reg.query("interval_sum_rm7", _each.format(xi=_rm7))
-def _rm7_sum(s, d):
-    seeds = F.array(*[F.lit(v).cast("long") for v in RM7])
-    xi = lambda key: h.rm7(I0, seeds, key)
-    return iv.interval_sum_by_prefix(intervals(s, d), iv.touched_values(intervals(s, d), xi), KEY_BITS)
+reg.add(
+    "interval_sum_rm7",
+    lambda s, d: iv.interval_sum_rm7(intervals(s, d), KEY_BITS, I0, list(RM7)),
+    _each.format(xi=_rm7),
+)
+#: Wide intervals: from 0 up to a place near 2^29 at which the table's own intervals lie.
+FAR = 1 << 29
+
+
+@reg.query("interval_sum_rm7_wide", _each.format(xi=re.sub(r"\bj\b", f"(j + {FAR})", _rm7)))
+def _rm7_wide(s, d):
+    """Each interval, moved up by 2^29, as the difference of two intervals of that width."""
+    own = intervals(s, d).distinct().where("hi >= lo")
+    ends = own.select((F.col("hi") + FAR).alias("hi")).union(own.select(F.col("lo") + FAR - 1)).distinct()
+    wide = iv.interval_sum_rm7(ends.select(F.lit(0).cast("long").alias("lo"), "hi"), 30, I0, list(RM7))
+    high = wide.select((F.col("hi") - FAR).alias("hi"), F.col("total").alias("upto"))
+    low = wide.select((F.col("hi") - FAR + 1).alias("lo"), F.col("total").alias("before"))
+    return own.join(high, "hi").join(low, "lo").select(
+        "lo", "hi", (F.col("upto") - F.col("before")).alias("total")
+    )
 
 
 def _cover_sql(bits: int, source: str, extra: str = "") -> str:

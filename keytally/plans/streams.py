@@ -6,6 +6,8 @@ every query runs over several micro-batches and the whole table.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
@@ -14,13 +16,19 @@ from keytally.functions.seeds import seed_table
 from keytally.operators import exact
 from keytally.operators import frequent as f
 from keytally.operators import majority
+from keytally.operators.summaries import heads_of
 from keytally.plans import sqltext as q
 from keytally.plans.frequent import COUNTERS, NO_FAULTS, bound_faults, covered, truth_sql
 from keytally.plans.registry import Registry
 from keytally.session import work_path
+from keytally.sinks.sketch_store import stored
 from keytally.sources.key_streams import key_stream, live_key_stream, table, words_of
+from keytally.sources.live_text import list_files, register
+from keytally.sources.text_streams import write_key_stream_text
 from keytally.streaming import counters as sc
 from keytally.streaming import linear as sl
+from keytally.streaming import marks
+from keytally.streaming.runner import progress_table
 
 reg = Registry()
 
@@ -87,11 +95,12 @@ def _stream_bounds(s, d):
 
 @reg.query(
     "stream_space_saving_exact_case",
-    "SELECT user_id AS key, COUNT(*) AS est, COUNT(*) AS lower, COUNT(*) AS upper FROM events GROUP BY 1",
+    "SELECT event_type AS key, COUNT(*) AS est, COUNT(*) AS lower, COUNT(*) AS upper FROM events GROUP BY 1",
 )
 def _stream_exact(s, d):
+    """Few keys at any size, so the counters have room for all of them."""
     _, now = _live_summary(
-        s, d, live_events(s, d, "user_id"), owner_by_hash("key", SHARDS), LongType()
+        s, d, live_events(s, d, "event_type"), owner_by_hash("key", SHARDS), StringType()
     )
     return f.bounds(now).drop("shard")
 
@@ -130,6 +139,185 @@ def _flush(s, d):
     return seen.select("batch", "visible", (total - F.col("visible")).alias("waiting"))
 
 
+# --- questions between rows ------------------------------------------------------------------
+
+RATE, OWNERS, BIG = 1000, 3, 0.2
+_MARKS = f"(SELECT unnest(range(1, n // {10**6 // RATE} + 1)) AS mark FROM (SELECT COUNT(*) AS n FROM events))"
+
+
+def _in_order(s, d, name: str, order: str, parts: int = 3):
+    """A table as files that arrive one after the other, by their rows' positions."""
+    rows, path = table(s, d, name), work_path(s, f"{name}-in-order")
+    last = rows.agg(F.max(order).alias("last")).first().last
+    size = -(-(last + 1) // parts)
+    for i in range(parts):
+        part = rows.where(F.col(order).between(i * size, (i + 1) * size - 1))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path, rows.schema
+
+
+def _marked(s, d, key: str, m: int, phi: float) -> str:
+    path, schema = _in_order(s, d, "events", "event_id")
+    rows = s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    one = F.lit(1).cast("long").alias("weight")
+    stream = rows.select(F.col(key).alias("key"), one, F.col("event_id").alias("at"))
+    folder = work_path(s, "marks")
+    owner = owner_by_hash("key", OWNERS)
+    marks.run_marks(stream, m, phi, "at", RATE, owner, OWNERS, folder, OWNERS)
+    return folder
+
+
+@reg.query(
+    "stream_phi_queries",
+    f"SELECT mark, event_type AS key, COUNT(*) AS est, mark * {10**6 // RATE} AS n, TRUE AS timed FROM {_MARKS} JOIN "
+    f"events ON event_id < mark * {10**6 // RATE} GROUP BY mark, event_type HAVING COUNT(*) >= "
+    f"{BIG}::DOUBLE * mark * {10**6 // RATE}",
+)
+def _phi_queries(s, d):
+    """A question per thousand rows: each is answered as of its row, with the time that took."""
+    folder = _marked(s, d, "event_type", COUNTERS, BIG)
+    rows = marks.frequent_at_marks(s, folder, StringType(), BIG, OWNERS)
+    return rows.select("mark", "key", "est", "n", (F.col("latency_us") > 0).alias("timed"))
+
+
+@reg.query(
+    "stream_phi_query_bounds",
+    f"SELECT mark, {OWNERS}::BIGINT AS owners, mark * {10**6 // RATE} AS n, 0::BIGINT AS faults, TRUE AS answered "
+    f"FROM {_MARKS}",
+)
+def _phi_bounds(s, d):
+    """With fewer counters than users: at every mark the bounds hold for the rows up to it, and none that
+    reaches the share is missed."""
+    phi, every = 0.01, 10**6 // RATE
+    folder = _marked(s, d, "user_id", 40, phi)
+    found = marks.frequent_at_marks(s, folder, LongType(), phi, OWNERS)
+    seen = marks.marks_seen(s, folder, LongType())
+    events = table(s, d, "events").groupBy(
+        F.floor(F.col("event_id") / every).cast("long").alias("step"), F.col("user_id").alias("key")
+    ).agg(F.count(F.lit(1)).alias("cnt"))
+    truth = seen.select("mark").join(events, F.col("step") < F.col("mark")).groupBy("mark", "key").agg(
+        F.sum("cnt").alias("cnt")
+    )
+    met = truth.join(found.drop("n"), ["mark", "key"], "full").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+    missed = F.col("est").isNull() & (F.col("cnt") >= F.lit(phi) * every * F.col("mark"))
+    wrong = missed | (F.col("lower") > F.col("cnt")) | (F.col("upper") < F.col("cnt"))
+    faults = met.groupBy("mark").agg(F.count_if(wrong).alias("faults"))
+    return seen.join(faults, "mark").select(
+        "mark", "owners", "n", "faults", (F.col("latency_us") > 0).alias("answered")
+    )
+
+
+@reg.query(
+    "stream_operation_totals",
+    f"SELECT COUNT(*) AS inserts, COUNT(*) // {10**6 // RATE} AS queries, 100 * (COUNT(*) // {10**6 // RATE})::DOUBLE / "
+    f"(COUNT(*) + COUNT(*) // {10**6 // RATE}) AS query_percent FROM events",
+)
+def _stream_totals(s, d):
+    """Rows and questions of a stream, from the events that the stream itself reports."""
+    path, schema = _in_order(s, d, "events", "event_id")
+    rows = s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    one = F.lit(1).cast("long").alias("weight")
+    stream = rows.select(F.col("event_type").alias("key"), one, F.col("event_id").alias("at"))
+    owner = owner_by_hash("key", OWNERS)
+    progress = marks.run_marks(stream, 64, BIG, "at", RATE, owner, OWNERS, work_path(s, "totals"), OWNERS)
+    totals = progress_table(s, progress).agg(
+        F.sum("operations").alias("inserts"), F.sum("queries").alias("queries")
+    )
+    share = F.lit(100) * F.col("queries").cast("double") / (F.col("inserts") + F.col("queries"))
+    return totals.withColumn("query_percent", share)
+
+
+# --- integers as a live source, and owners that change ------------------------------------------
+
+_USERS_TEXT = "SELECT user_id AS key, COUNT(*) AS cnt FROM events GROUP BY 1"
+
+
+def _user_text(s, d) -> str:
+    """The users of the events as text: the first half, by position, in one folder and the rest in the next."""
+    path = work_path(s, "users-text")
+    half = table(s, d, "events").agg((F.max("event_id") / 2).alias("half")).scalar()
+    step = (F.col("event_id") > half).cast("int").alias("step")
+    write_key_stream_text(key_stream(s, d, "events", "user_id", extra=(step,)), path, ("step",))
+    return path
+
+
+@reg.query(
+    "key_text_source",
+    f"SELECT 'batch' AS read_as, * FROM ({_USERS_TEXT}) UNION ALL SELECT 'stream', * FROM ({_USERS_TEXT})",
+)
+def _key_text(s, d):
+    """Read by byte ranges as a batch, and as a stream in small micro-batches that is stopped and started again."""
+    register(s)
+    path, folder = _user_text(s, d), work_path(s, "users-live")
+    batch = exact.exact_histogram(s.read.format("key_text").option("splitBytes", 4096).load(path))
+    # seven times at the least the stream has to stop and wait
+    most = max(1, sum(size for _, size in list_files(path)) // 7)
+    live = s.readStream.format("key_text").option("splitBytes", 4096).option("triggerBytes", most)
+    for _ in range(2):
+        sl.run_histogram(live.load(path), folder, SHARDS, drain=True)
+    stream = sl.stream_histogram(s, folder, LongType())
+    return batch.select(F.lit("batch").alias("read_as"), "key", "cnt").union(
+        stream.select(F.lit("stream").alias("read_as"), "key", "cnt")
+    )
+
+
+@reg.query(
+    "stream_owner_change",
+    "SELECT 0::BIGINT AS faults, 0::BIGINT AS missed, COUNT(*) AS weight, 7::BIGINT AS owners FROM events",
+)
+def _owner_change(s, d):
+    """A stream stops with four owners and goes on, from where it was read to, with seven; all bounds hold."""
+    register(s)
+    path, first, second = _user_text(s, d), work_path(s, "four"), work_path(s, "seven")
+    live = s.readStream.format("key_text").option("splitBytes", 1 << 20)
+    progress = sc.run_space_saving(
+        live.load(f"{path}/step=0"), 40, owner_by_hash("key", 4), first, partitions=4, drain=True
+    )
+    end = json.loads(progress[-1].sources[0].endOffset)
+    # offsets name files below the folder that is read
+    start = json.dumps({"file": f"step=0/{end['file']}", "at": end["at"]})
+    owner = owner_by_hash("key", 7)
+    warm = sc.dealt_anew(stored(sc.state_of(s, first), "state"), owner, 7)
+    sc.run_space_saving(
+        live.option("start", start).load(path), 40, owner, second, warm=warm, partitions=7, drain=True
+    )
+    now = stored(sc.snapshot(s, second, sc.summary_schema(LongType())), "seven-owners")
+    truth = exact.exact_histogram(key_stream(s, d, "events", "user_id"))
+    met = truth.join(f.bounds(now), "key", "full")
+    wrong = (F.col("lower") > F.col("cnt")) | (F.col("upper") < F.col("cnt")) | F.col("cnt").isNull()
+    floor = heads_of(now).agg(F.max("floor").alias("floor")).scalar()
+    heads = heads_of(now).agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("owners"))
+    faults = met.agg(
+        F.count_if(F.coalesce(wrong, F.lit(False))).alias("faults"),
+        F.count_if(F.col("est").isNull() & (F.col("cnt") > floor)).alias("missed"),
+    )
+    return faults.select(
+        "faults",
+        "missed",
+        heads.select("weight").scalar().alias("weight"),
+        heads.select("owners").scalar().alias("owners"),
+    )
+
+
+# --- increments over a stream --------------------------------------------------------------------
+
+
+@reg.query(
+    "stream_delta_flush",
+    "SELECT event_type AS key, COUNT(*) AS est, (SELECT COUNT(*) FROM events) AS n, TRUE AS held_back FROM events GROUP BY 1",
+)
+def _delta_flush(s, d):
+    """With a share of half, much is held back; after the flush the merged counts are exact."""
+    folder, shard = work_path(s, "flushed"), owner_by_hash("key", SHARDS)
+    live = live_events(s, d, "event_type")
+    sc.run_deltas(live, COUNTERS, 0.5, shard, folder, SHARDS, shards=SHARDS)
+    before = stored(sc.merged_deltas(s, folder, StringType()), "held-back")
+    sc.run_deltas(live, COUNTERS, 0.5, shard, folder, SHARDS, shards=SHARDS, flush=True)
+    after = sc.merged_deltas(s, folder, StringType())
+    sent = before.agg(F.coalesce(F.sum("est"), F.lit(0)).alias("sent")).scalar()
+    return after.withColumn("held_back", sent < F.col("n"))
+
+
 @reg.query("stream_delta_merge", truth_sql(q.TOKENS, PHI))
 def _stream_deltas(s, d):
     folder = work_path(s, "stream-deltas")
@@ -148,6 +336,7 @@ def _stream_deltas(s, d):
             (F.col("est") + F.lit(slack) * F.col("n")).alias("upper"),
         ),
         PHI,
+        slack + PHI / 10,
     )
 
 
@@ -181,13 +370,13 @@ def _stream_votes(s, d):
 
 @reg.query(
     "warm_start",
-    "SELECT user_id AS key, 2 * COUNT(*) AS est, 2 * COUNT(*) AS lower, 2 * COUNT(*) AS upper FROM events GROUP BY 1",
+    "SELECT event_type AS key, 2 * COUNT(*) AS est, 2 * COUNT(*) AS lower, 2 * COUNT(*) AS upper FROM events GROUP BY 1",
 )
 def _warm(s, d):
     """A summary of the whole table to start from, then the table once more as a stream."""
     owner = owner_by_hash("key", SHARDS)
     first = f.space_saving_sharded(
-        key_stream(s, d, "events", "user_id"), COUNTERS, SHARDS, owner
+        key_stream(s, d, "events", "event_type"), COUNTERS, SHARDS, owner
     )
-    _, now = _live_summary(s, d, live_events(s, d, "user_id"), owner, LongType(), warm=first)
+    _, now = _live_summary(s, d, live_events(s, d, "event_type"), owner, StringType(), warm=first)
     return f.bounds(now).drop("shard")

@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from keytally.operators import frequent
 from keytally.operators.kernels import DeltaSender, SpaceSaving, key_array
-from keytally.operators.summaries import COUNTER_COLUMNS, cut_to, pending_deltas
+from keytally.operators.summaries import COUNTER_COLUMNS, counters_of, cut_to, heads_of, pending_deltas
 from keytally.sinks.sketch_store import stored
 from keytally.streaming.runner import batch_writer, batches, newest, one_batch, run
 
@@ -71,8 +71,7 @@ class SummaryProcessor(StatefulProcessor):
         yield _snapshot(key[0], summary)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        heads = initialState[initialState["key"].isna()]
-        rows = initialState[initialState["key"].notna()]
+        heads, rows = initialState[initialState["head"]], initialState[~initialState["head"]]
         # Several summaries of an owner: those that do not track a key may have missed their floor.
         floor = int(heads["floor"].sum())
         sums = rows.groupby("key", sort=False, as_index=False)[["cnt", "err", "floor"]].sum()
@@ -116,7 +115,10 @@ def stream_space_saving(
     deltas = pending_deltas(stream, owner).groupBy("owner")
     start = None
     if warm is not None:
-        start = warm.withColumn("owner", F.col("shard")).groupBy("owner")
+        # a null key would make pandas turn whole numbers into floating ones
+        key = F.coalesce("key", F.lit(0).cast(key_type))
+        start = warm.withColumn("owner", F.col("shard")).withColumn("head", F.col("key").isNull())
+        start = start.withColumn("key", key).groupBy("owner")
     return deltas.transformWithStateInPandas(
         statefulProcessor=SummaryProcessor(m, key_type),
         outputStructType=summary_schema(key_type),
@@ -135,10 +137,11 @@ def run_space_saving(
     phi: float | None = None,
     every: int = 1,
     partitions: int | None = None,
+    drain: bool = False,
 ) -> list:
     """Keeps a whole snapshot per micro-batch under ``folder``: the owners that changed, and the
     others as they were. With ``phi``, also answers the frequent-elements question after every
-    ``every``-th micro-batch."""
+    ``every``-th micro-batch; questions between rows are in ``marks``."""
     schema = summary_schema(stream.schema["key"].dataType)
     if warm is not None:
         # the state and the first snapshot have to start from the same counters
@@ -161,12 +164,60 @@ def run_space_saving(
             batch_writer(f"{folder}/answers")(answer, batch_id)
 
     summaries = stream_space_saving(stream, m, owner, warm)
-    return run(summaries, each, f"{folder}/checkpoint", "update", partitions)
+    return run(summaries, each, f"{folder}/checkpoint", "update", partitions, drain)
 
 
 def snapshot(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
     """The newest snapshot: the counters of all owners and the weights they had seen by then."""
-    return newest(batches(spark, f"{folder}/snapshots", schema))
+    return newest(spark, f"{folder}/snapshots", schema)
+
+
+def state_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The summary table of a stopped stream's owners, read from the state in its checkpoint."""
+    state = (
+        spark.read.format("statestore")
+        .option("stateVarName", "summary")
+        .load(f"{folder}/checkpoint")
+        .select(F.col("key.owner").alias("shard"), "value.*")
+    )
+    zero = F.lit(0).cast("long")
+    counters = state.select(
+        "shard", "floor", F.explode(F.arrays_zip("keys", "cnt", "err")).alias("c")
+    ).select("shard", F.col("c.keys").alias("key"), "c.cnt", "c.err", "floor", zero.alias("n"))
+    none = F.lit(None).cast(counters.schema["key"].dataType).alias("key")
+    heads = state.select("shard", none, zero.alias("cnt"), zero.alias("err"), "floor", "n")
+    return counters.unionByName(heads)
+
+
+def dealt_anew(summary: DataFrame, owner: Column, owners: int) -> DataFrame:
+    """The summary table of owner shards with disjoint keys, dealt to other owners.
+
+    A key that no one tracked may come to any owner, so each starts from the largest floor. The weight
+    seen is split as the counters are; what they do not account for stays with owner 0.
+    """
+    zero = F.lit(0).cast("long")
+    floor = heads_of(summary).agg(F.coalesce(F.max("floor"), zero).alias("floor")).scalar()
+    rows = counters_of(summary).select(
+        owner.cast("long").alias("shard"), "key", "cnt", "err", floor.alias("floor"), zero.alias("n")
+    )
+    seen = heads_of(summary).agg(F.coalesce(F.sum("n"), zero).alias("n")).scalar()
+    counted = counters_of(summary).agg(F.coalesce(F.sum("cnt"), zero).alias("n")).scalar()
+    spark = summary.sparkSession
+    sums = rows.groupBy("shard").agg(F.sum("cnt").alias("n"))
+    own = F.coalesce("n", zero) + F.when(F.col("id") == 0, seen - counted).otherwise(zero)
+    heads = (
+        spark.range(owners)
+        .join(sums, F.col("id") == F.col("shard"), "left")
+        .select(
+            F.col("id").alias("shard"),
+            F.lit(None).cast(summary.schema["key"].dataType).alias("key"),
+            zero.alias("cnt"),
+            zero.alias("err"),
+            floor.alias("floor"),
+            own.alias("n"),
+        )
+    )
+    return rows.unionByName(heads)
 
 
 def answers(spark: SparkSession, folder: str, key_type) -> DataFrame:
@@ -186,7 +237,8 @@ def visible_weight(spark: SparkSession, folder: str, schema: StructType) -> Data
 
 
 class DeltaProcessor(StatefulProcessor):
-    """One weighted-frequent summary per shard that sends on increments as they grow."""
+    """One weighted-frequent summary per shard that sends on increments as they grow. A row marked as
+    ``last`` is no increment: all that is still unsent is sent then."""
 
     def __init__(self, m: int, beta: float, key_type) -> None:
         self.m = m
@@ -197,14 +249,19 @@ class DeltaProcessor(StatefulProcessor):
         self.state = handle.getValueState("sender", _state_schema(self.key_type, ("unsent",)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        sender = DeltaSender(self.m, self.beta)
+        sender, ended = DeltaSender(self.m, self.beta), False
         if self.state.exists():
             keys, cnt, err, unsent, n, floor = self.state.get()
             sender.load(_keys(keys, self.key_type), cnt, err, int(n), int(floor))
             sender.unsent = np.array(unsent, dtype=np.int64)
         for frame in rows:
-            sums = frame.groupby("key", sort=False, as_index=False)["weight"].sum()
-            sender.add(key_array(sums["key"]), sums["weight"].to_numpy("int64"))
+            ended = ended or bool(frame["last"].any())
+            inserts = frame[~frame["last"]]
+            if len(inserts):
+                sums = inserts.groupby("key", sort=False, as_index=False)["weight"].sum()
+                sender.add(key_array(sums["key"]), sums["weight"].to_numpy("int64"))
+        if ended:
+            sender.flush()
         self.state.update((*sender.rows(), sender.unsent.tolist(), sender.n, sender.floor))
         keys, amounts = sender.take()
         size = len(keys) + 1
@@ -222,6 +279,7 @@ class DeltaProcessor(StatefulProcessor):
 
 
 SEEN = "shard long, n long"
+ENDS = "at timestamp"
 
 
 def _delta_schema(key_type) -> StructType:
@@ -231,10 +289,20 @@ def _delta_schema(key_type) -> StructType:
     )
 
 
-def stream_deltas(stream: DataFrame, m: int, beta: float, shard: Column) -> DataFrame:
-    """(shard, key, delta, n) rows as they are sent on; head rows carry the weight seen so far."""
+def stream_deltas(
+    stream: DataFrame, m: int, beta: float, shard: Column, ends: DataFrame | None = None
+) -> DataFrame:
+    """(shard, key, delta, n) rows as they are sent on; head rows carry the weight seen so far.
+
+    ``ends`` is a stream with a row (owner) for every shard that is to send what it still holds.
+    """
     key_type = stream.schema["key"].dataType
-    return pending_deltas(stream, shard).groupBy("owner").transformWithStateInPandas(
+    rows = pending_deltas(stream, shard).withColumn("last", F.lit(False))
+    if ends is not None:
+        # a null key would make pandas turn whole numbers into floating ones
+        zero = [F.lit(0).cast(key_type).alias("key"), F.lit(0).cast("long").alias("weight")]
+        rows = rows.unionByName(ends.select("owner", *zero, F.lit(True).alias("last")))
+    return rows.groupBy("owner").transformWithStateInPandas(
         statefulProcessor=DeltaProcessor(m, beta, key_type),
         outputStructType=_delta_schema(key_type),
         outputMode="Update",
@@ -242,6 +310,19 @@ def stream_deltas(stream: DataFrame, m: int, beta: float, shard: Column) -> Data
     )
 
 
+def request_flush(spark: SparkSession, folder: str) -> None:
+    """Asks the delta stream of ``folder``, running or not, to send on all that its shards hold."""
+    row = spark.range(1).select(F.current_timestamp().alias("at"))
+    row.write.mode("append").parquet(f"{folder}/ends")
+
+
+def _ends(spark: SparkSession, folder: str, shards: int) -> DataFrame:
+    """A stream of flush requests, a row for each shard."""
+    spark.createDataFrame([], ENDS).write.mode("append").parquet(f"{folder}/ends")
+    numbers = F.array(*[F.lit(i).cast("long") for i in range(shards)])
+    return spark.readStream.schema(ENDS).parquet(f"{folder}/ends").select(F.explode(numbers).alias("owner"))
+
+
 def run_deltas(
     stream: DataFrame,
     m: int,
@@ -249,15 +330,23 @@ def run_deltas(
     shard: Column,
     folder: str,
     partitions: int | None = None,
+    shards: int | None = None,
+    flush: bool = False,
 ) -> list:
     """Sends increments on and merges them, micro-batch by micro-batch, into a second-level
-    summary of m counters under ``folder``."""
+    summary of m counters under ``folder``.
+
+    With the number of ``shards``, the stream takes flush requests; ``flush`` makes one once all that is there
+    has been read, and waits until it is served. The stream may go on after that.
+    """
     key_type = stream.schema["key"].dataType
     merged_schema = StructType([StructField("key", key_type), StructField("cnt", LongType())])
+    if flush and shards is None:
+        raise ValueError("a flush goes to every shard, so their number has to be given")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch_writer(f"{folder}/deltas")(batch, batch_id)
+        batch_writer(f"{folder}/deltas", keep=2)(batch, batch_id)
         sent = one_batch(spark, f"{folder}/deltas", _delta_schema(key_type), batch_id)
         sums = sent.where("key IS NOT NULL").groupBy("key").agg(F.sum("delta").alias("cnt"))
         seen = sent.where("key IS NULL").groupBy("shard").agg(F.max("n").alias("n"))
@@ -266,16 +355,21 @@ def run_deltas(
             sums = sums.unionByName(before).groupBy("key").agg(F.sum("cnt").alias("cnt"))
             old = one_batch(spark, f"{folder}/seen", SEEN, batch_id - 1)
             seen = seen.unionByName(old).groupBy("shard").agg(F.max("n").alias("n"))
-        batch_writer(f"{folder}/merged")(cut_to(sums, m), batch_id)
-        batch_writer(f"{folder}/seen")(seen, batch_id)
+        batch_writer(f"{folder}/merged", keep=2)(cut_to(sums, m), batch_id)
+        batch_writer(f"{folder}/seen", keep=2)(seen, batch_id)
 
-    sent = stream_deltas(stream, m, beta, shard)
-    return run(sent, each, f"{folder}/checkpoint", "update", partitions)
+    ends = None if shards is None else _ends(stream.sparkSession, folder, shards)
+    sent = stream_deltas(stream, m, beta, shard, ends)
+    progress = run(sent, each, f"{folder}/checkpoint", "update", partitions)
+    if flush:
+        request_flush(stream.sparkSession, folder)
+        progress += run(sent, each, f"{folder}/checkpoint", "update", partitions)
+    return progress
 
 
 def merged_deltas(spark: SparkSession, folder: str, key_type) -> DataFrame:
     """(key, est, n): the newest second-level summary and the weight the shards had seen."""
     schema = StructType([StructField("key", key_type), StructField("cnt", LongType())])
-    rows = newest(batches(spark, f"{folder}/merged", schema))
-    seen = newest(batches(spark, f"{folder}/seen", SEEN)).agg(F.sum("n").alias("n")).scalar()
+    rows = newest(spark, f"{folder}/merged", schema)
+    seen = newest(spark, f"{folder}/seen", SEEN).agg(F.sum("n").alias("n")).scalar()
     return rows.select("key", F.col("cnt").alias("est"), seen.alias("n"))

@@ -26,13 +26,13 @@ def run_linear_sketch(
     """Count-Min or, signed, Fast-AGMS: a streaming grouped sum whose state is the cells. There
     are at most rows x buckets of them, so every micro-batch writes them all."""
     cells = linear_sketch(stream, seeds, buckets, signed, code=code)
-    write = batch_writer(f"{folder}/cells")
+    write = batch_writer(f"{folder}/cells", keep=2)
     return run(cells, write, f"{folder}/checkpoint", "complete", partitions)
 
 
 def stream_cells(spark: SparkSession, folder: str) -> DataFrame:
     """The sketch as of now."""
-    return newest(batches(spark, f"{folder}/cells", CELLS))
+    return newest(spark, f"{folder}/cells", CELLS)
 
 
 def run_majority_sketch(
@@ -46,7 +46,7 @@ def run_majority_sketch(
         if batch_id > 0:
             before = one_batch(batch.sparkSession, f"{folder}/votes", schema, batch_id - 1)
             now = majority_merge(now.unionByName(before)).select("row", "bucket", "cand", "cnt")
-        batch_writer(f"{folder}/votes")(now, batch_id)
+        batch_writer(f"{folder}/votes", keep=2)(now, batch_id)
 
     return run(stream.select("key", "weight"), each, f"{folder}/checkpoint")
 
@@ -59,14 +59,16 @@ def _votes_schema(key_type: DataType) -> StructType:
 
 def stream_votes(spark: SparkSession, folder: str, key_type: DataType) -> DataFrame:
     """The newest majority sketch."""
-    return newest(batches(spark, f"{folder}/votes", _votes_schema(key_type)))
+    return newest(spark, f"{folder}/votes", _votes_schema(key_type))
 
 
-def run_histogram(stream: DataFrame, folder: str, partitions: int | None = None) -> list:
+def run_histogram(
+    stream: DataFrame, folder: str, partitions: int | None = None, drain: bool = False
+) -> list:
     """Exact counts of a stream; state grows with the distinct keys."""
     counts = stream.groupBy("key").agg(F.sum("weight").alias("cnt"))
     write = batch_writer(f"{folder}/counts")
-    return run(counts, write, f"{folder}/checkpoint", "update", partitions)
+    return run(counts, write, f"{folder}/checkpoint", "update", partitions, drain)
 
 
 def stream_histogram(spark: SparkSession, folder: str, key_type: DataType) -> DataFrame:
