@@ -33,6 +33,14 @@ FAN_IN = 16
 def compacted(
     batches: Iterator[pa.RecordBatch], ids: list[str], carried: tuple[str, ...] = ()
 ) -> Iterator[pd.DataFrame]:
+    """The tables of ``compacted_tables`` as pandas has them; ids without nulls only, which it would change."""
+    for table in compacted_tables(batches, ids, carried):
+        yield table.to_pandas()
+
+
+def compacted_tables(
+    batches: Iterator[pa.RecordBatch], ids: list[str], carried: tuple[str, ...] = ()
+) -> Iterator[pa.Table]:
     """The weights of equal ids summed up, for as many rows as have MAX_DISTINCT distinct ids.
 
     Rows are folded into the sums every BATCH_ROWS rows (or as many as there are sums, to fold
@@ -51,12 +59,12 @@ def compacted(
             sums = _summed(sums, held, ids, carried)
             held, rows, size = [], 0, 0
             if sums.num_rows >= MAX_DISTINCT:
-                yield sums.to_pandas()
+                yield sums
                 sums = None
     if rows:
         sums = _summed(sums, held, ids, carried)
     if sums is not None:
-        yield sums.to_pandas()
+        yield sums
 
 
 def _summed(
@@ -303,8 +311,8 @@ def local_summaries(
 
 def _compact_only(ids: list[str], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in compacted(batches, ids):
-            yield pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)
+        for table in compacted_tables(batches, ids):
+            yield from table.select(schema.names).cast(schema).to_batches()
 
     return run
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from keytally.operators.kernels import key_array
-from keytally.operators.summaries import compacted
+from keytally.operators.summaries import compacted_tables
 from keytally.streaming.counters import SummaryProcessor
 from keytally.streaming.runner import QUERIES, batch_writer, batches, run
 
@@ -71,8 +71,8 @@ def _summed(rows: DataFrame) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for frame in compacted(batches, ["owner", "step", "key", "asked"]):
-            yield pa.RecordBatch.from_pandas(frame, schema=arrow, preserve_index=False)
+        for table in compacted_tables(batches, ["owner", "step", "key", "asked"]):
+            yield from table.select(arrow.names).cast(arrow).to_batches()
 
     return rows.mapInArrow(add, schema)
 

@@ -1,5 +1,6 @@
 """Streams give what a batch gives, also after a restart."""
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -8,7 +9,7 @@ from keytally.functions.seeds import seed_table
 from keytally.operators import exact, frequent, linear
 from keytally.session import work_path
 from keytally.sources.key_streams import key_stream, live_key_stream
-from keytally.streaming import counters, linear as stream_linear
+from keytally.streaming import counters, linear as stream_linear, marks
 
 SCHEMA = "key long, weight long"
 SEEDS = seed_table(rows=2, seed=3)
@@ -94,3 +95,105 @@ def test_progress_as_throughput(spark):
     assert rows.agg(F.sum("operations")).head()[0] == 300 and rows.count() >= 3
     assert throughput(rows).head().m_operations > 0
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def ordered(spark, path):
+    rows = spark.readStream.schema("key long, weight long, at long").option("maxFilesPerTrigger", 1)
+    return rows.parquet(path)
+
+
+def test_marks_are_answered_as_of_their_row(spark):
+    """Over several micro-batches, a restart, rows without a key and keys past 2^53."""
+    path, folder = (work_path(spark, n) for n in ("in", "marks"))
+    big = (1 << 60) + 1
+    keys = [big if i % 3 else (None if i % 5 == 0 else i % 7) for i in range(230)]
+    owner = owner_by_hash("key", 3)
+    for start, end in ((0, 90), (90, 100), (100, 230)):
+        rows = [(keys[i], 2, i) for i in range(start, end)]
+        spark.createDataFrame(rows, "key long, weight long, at long").coalesce(1).write.mode("append").parquet(path)
+        progress = marks.run_marks(ordered(spark, path), 50, 0.3, "at", 40_000, owner, 3, folder, 3)
+    found = marks.frequent_at_marks(spark, folder, LongType(), 0.3, 3).collect()
+    every = marks.rows_per_mark(40_000)
+    assert every == 25
+    want = {}
+    for mark in range(1, 230 // every + 1):
+        seen = [k for k in keys[: mark * every] if k is not None]
+        n = 2 * len(seen)
+        want |= {(mark, k): (2 * seen.count(k), n) for k in set(seen) if 2 * seen.count(k) >= 0.3 * n}
+    assert {(r.mark, r.key): (r.est, r.n) for r in found} == want
+    assert all(r.latency_us > 0 for r in found)
+    assert marks.average_latency(spark, folder, LongType()).first().queries == 230 // every
+    with pytest.raises(ValueError):
+        marks.rows_per_mark(0)
+
+
+def test_flush_sends_all_and_the_stream_goes_on(spark):
+    path, folder = (work_path(spark, n) for n in ("in", "deltas"))
+    shard = owner_by_hash("key", 3)
+    big = (1 << 60) + 1
+    add_file(spark, path, [big] * 40 + [1] * 9 + [2])
+    counters.run_deltas(live(spark, path), 20, 0.9, shard, folder, 3, shards=3, flush=True)
+    got = {r.key: r.est for r in counters.merged_deltas(spark, folder, LongType()).collect()}
+    assert got == {big: 40, 1: 9, 2: 1}
+    add_file(spark, path, [1, 2, 2, 3])
+    counters.run_deltas(live(spark, path), 20, 0.9, shard, folder, 3, shards=3)
+    held = {r.key: r.est for r in counters.merged_deltas(spark, folder, LongType()).collect()}
+    assert held != {big: 40, 1: 10, 2: 3, 3: 1}
+    counters.run_deltas(live(spark, path), 20, 0.9, shard, folder, 3, shards=3, flush=True)
+    got = {r.key: r.est for r in counters.merged_deltas(spark, folder, LongType()).collect()}
+    assert got == {big: 40, 1: 10, 2: 3, 3: 1}
+    with pytest.raises(ValueError):
+        counters.run_deltas(live(spark, path), 20, 0.9, shard, folder, 3, flush=True)
+
+
+@pytest.mark.parametrize("owners", [2, 7])
+def test_owners_dealt_anew_keep_their_bounds(spark, small, owners):
+    """To more owners, and to fewer, which have to drop counters."""
+    path, first, second = (work_path(spark, n) for n in ("in", "old", "new"))
+    batch = key_stream(spark, small, "lineitem", "l_partkey")
+    batch.repartition(3).write.parquet(path)
+    counters.run_space_saving(live(spark, path), 25, owner_by_hash("key", 4), first, partitions=4)
+    state = counters.state_of(spark, first)
+    schema = counters.summary_schema(LongType())
+    same = state.select(schema.fieldNames()).exceptAll(counters.snapshot(spark, first, schema))
+    assert same.count() == 0
+    owner = owner_by_hash("key", owners)
+    warm = counters.dealt_anew(state, owner, owners)
+    assert warm.agg(F.sum("n")).first()[0] == batch.count()
+    counters.run_space_saving(live(spark, path), 25, owner, second, warm=warm, partitions=owners)
+    now = counters.snapshot(spark, second, schema)
+    assert now.where("key IS NULL").agg(F.sum("n")).first()[0] == 2 * batch.count()
+    truth = exact.exact_histogram(batch).withColumn("cnt", 2 * F.col("cnt"))
+    both = truth.join(frequent.bounds(now), "key", "full")
+    assert both.where("cnt IS NULL OR lower > cnt OR upper < cnt").count() == 0
+    floor = now.where("key IS NULL").agg(F.max("floor")).first()[0]
+    assert both.where(F.col("est").isNull() & (F.col("cnt") > floor)).count() == 0
+
+
+def test_progress_of_every_micro_batch(spark):
+    """More micro-batches than Spark itself remembers."""
+    from keytally.streaming.runner import progress_table
+
+    spark_keeps = int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100"))
+    assert spark_keeps == 100
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    try:
+        path, folder = (work_path(spark, n) for n in ("in", "out"))
+        for i in range(12):
+            add_file(spark, path, [i])
+        progress = stream_linear.run_linear_sketch(live(spark, path), SEEDS, 16, folder, partitions=1)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    rows = progress_table(spark, progress).collect()
+    assert len(rows) == 12 and sum(r.operations for r in rows) == 12 and all(r.queries == 0 for r in rows)
+
+
+def test_old_snapshots_are_removed(spark):
+    from keytally.sinks.folders import names
+
+    path, folder = (work_path(spark, n) for n in ("in", "out"))
+    for i in range(4):
+        add_file(spark, path, [i])
+    stream_linear.run_linear_sketch(live(spark, path), SEEDS, 16, folder, partitions=1)
+    assert [n for n in names(spark, f"{folder}/cells") if n[0] not in "._"] == ["batch=2", "batch=3"]
+    assert stream_linear.stream_cells(spark, folder).agg(F.sum("v")).first()[0] == 8
