@@ -3,11 +3,13 @@
 Every line with a word becomes a row of bins (length, symbols, capitals, digits, ending, repetition,
 navigation words); Viterbi decoding marks it as content or boilerplate; a document is kept if at least
 ``CONTENT_SHARE`` of the characters of such lines are content. The model is trained on the lines of
-a bounded sample of labelled documents, a line taking the label of its document: at most
-``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS`` characters. Without labels the first weights
-hold.
+a bounded sample of labelled documents: at most ``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS`` characters. A line
+takes the label of its document, and as whole documents of one label would only teach the chain to stay, as many
+documents are made up of runs of lines from a good and a bad one in turn, which show it where to switch and leave
+each line to its own features. Without labels the first weights hold.
 
-Defined results: a null or empty text has no words and fails the base rules; repeated rows are rows of their
+Defined results: a null or empty text has no words and fails the base rules; a text of any length is judged whole, and
+ties of two labellings go to content; repeated rows are rows of their
 own; a document labelled twice is trained on twice; labels of null are left out; an empty table gives
 no rows. Other columns are ignored, or kept by ``keep_good``.
 """
@@ -28,6 +30,7 @@ CONTENT_SHARE = 0.5
 SAMPLE_DOCS = 2000
 SAMPLE_CHARS = 20_000
 REPEAT_WINDOW = 5
+LONGEST_RUN = 6
 LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 
@@ -142,6 +145,25 @@ def base_counts(text: str | None) -> tuple[int, int, int, int]:
     return len(words), chars, symbols, repeated_words(words)
 
 
+def mixed(sequences: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sequences made up of runs of 1 to ``LONGEST_RUN`` lines of good and of bad ones in turn."""
+    kinds = [np.concatenate([b for b, y in sequences if y[0] == label] or [[]]) for label in (0, 1)]
+    if not all(map(len, kinds)):
+        return []
+    random, out, at = np.random.default_rng(1), [], [0, 0]
+    for i in range(len(sequences)):
+        bins, labels = [], []
+        for run in range(random.integers(2, 6)):
+            label = (i + run) % 2
+            size = int(random.integers(1, LONGEST_RUN + 1))
+            lines = kinds[label][np.arange(at[label], at[label] + size) % len(kinds[label])]
+            at[label] += size
+            bins.append(lines)
+            labels.append(np.full(size, label))
+        out.append((np.concatenate(bins), np.concatenate(labels)))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> LineModel:
     """The model trained on the sample of labelled documents."""
     known = labels.filter("quality in (0, 1)").select("doc_id", "quality")
@@ -171,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> LineModel:
         bins = np.frombuffer(bytes(row.bins), np.uint8).reshape(-1, features).astype(np.int64)
         if len(bins):
             sequences.append((bins, np.full(len(bins), row.quality)))
-    return train(first_model(), sequences)
+    return train(first_model(), sequences + mixed(sequences))
 
 
 def with_verdicts(docs: DataFrame, model: LineModel, text: str = "text") -> DataFrame:
