@@ -4,7 +4,9 @@ Terms are words and stems that documents labelled toxic have far more often than
 text is matched against the trie of terms with a few edits; a hit counts as quoted if quotation marks
 enclose it within ``QUOTE_SPAN`` words or a reporting word stands shortly before it. A logistic
 regression weighs exact, misspelled, stem and quoted hits, hits close together, and hits near a word that
-addresses the reader.
+addresses the reader. Labelled texts seldom show misspellings and quotations, so each text of the sample is also
+learned from in made forms: a toxic one with its terms misspelled stays toxic, with its terms in quotation marks it
+is not, and neither is a clean one into which a quoted term is put.
 
 Only rows whose CRC-32 of the id (as text) is not divisible by ``FOLDS`` are learned from: a sample of about
 ``SAMPLE_DOCS`` of them at most, one per group of like texts (equal smallest hash of three words), of at most ``SAMPLE_CHARS``
@@ -12,12 +14,14 @@ characters. Labels, languages, sources and ids take no part in a score.
 
 Defined results: a null or empty text has no hits and gets the score of a text without any; a null id
 is in no fold of its own (not held out) and is not learned from; repeated rows are rows of their own; without labels of both
-kinds every score is 0; an empty table gives no rows. Other columns are ignored.
+kinds every score is 0; of terms at equal distance the lexicon's first is the hit; texts of any length are scored whole; an
+empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +41,6 @@ LEAST_SHARE, LEAST_DOCS = 0.01, 5
 #: How much likelier it is in them, as a logarithm.
 LEAST_ODDS = 3.0
 LONGEST_TERM, SHORTEST_TERM = 16, 4
-MOST_TERMS = 5000
 #: A prefix gives way to a longer one that has so much of its documents.
 SAME_TERM = 0.9
 WINDOW, QUOTE_SPAN, REPORT_SPAN, ADDRESS_SPAN = 25, 12, 4, 5
@@ -109,22 +112,21 @@ def learn_terms(sample: DataFrame) -> list[tuple[str, float, bool]]:
         .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum(own).alias("own"))
         .withColumn("odds", odds)
         .filter((F.col("bad") >= least) & (F.col("odds") >= LEAST_ODDS))
-        .orderBy(F.desc("bad"), "term")
-        .limit(MOST_TERMS)
-        .collect()
+        .collect()  # each in LEAST_SHARE of the toxic sample, which bounds them by its texts' words
     )
     found = {r.term: r for r in rows}
-    terms = []
+    longest: dict[str, int] = {}  # the most documents of a term one letter longer
+    for term, row in found.items():
+        longest[term[:-1]] = max(longest.get(term[:-1], 0), row.bad)
+    terms, stems = [], set()
     for term, row in sorted(found.items()):
-        longer = [t for t in found if len(t) == len(term) + 1 and t.startswith(term)]
-        if any(found[t].bad >= SAME_TERM * row.bad for t in longer):
+        if longest.get(term, 0) >= SAME_TERM * row.bad:
             continue
         whole = row.own >= SAME_TERM * row.bad
-        covered = any(
-            term.startswith(t) and t != term and stem for t, _, stem in terms
-        )
-        if not covered:
+        if not any(term[:n] in stems for n in range(SHORTEST_TERM, len(term))):
             terms.append((term, float(row.odds), not whole))
+            if not whole:
+                stems.add(term)
     return terms
 
 
@@ -193,6 +195,30 @@ class Scorer:
         dense = len(open_at) / len(words) * 100
         return [float(np.log1p(x)) for x in (*counts, dense, addressed)]
 
+    def made_forms(self, text: str | None, toxic: int) -> list[tuple[str, int]]:
+        """Made texts and their labels: terms misspelled, terms quoted, or a quoted term put in."""
+        words = (text or "").lower().split()
+        if not words:
+            return []
+        if not toxic:
+            place = zlib.crc32(text.encode())
+            term = self.terms[place % len(self.terms)][0]
+            at = place % (len(words) + 1)
+            return [(" ".join([*words[:at], f'"{term}"', *words[at:]]), 0)]
+        hits = [at for at, _ in self._hits(words) if not self.quoted(words, at)]
+        if not hits:
+            return []
+        wrong, said = list(words), list(words)
+        for at in hits:
+            word = words[at]
+            # a letter is left out, or one is doubled
+            middle = len(word) // 2
+            cut = word[:middle] + (word[middle + 1 :] if at % 2 else word[middle] + word[middle:])
+            wrong[at] = cut
+            said[at] = f'"{_EDGE.sub("", word)}"'
+        out = [(" ".join(said), 0)]
+        return [(" ".join(wrong), 1), *out] if self._hits(wrong) else out
+
     def scores(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.zeros(len(features))
@@ -226,9 +252,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
-            rows = [scorer.features(t) for t in part.column(0).to_pylist()]
+            given = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+            given += [made for text, toxic in given for made in scorer.made_forms(text, toxic)]
+            rows = [scorer.features(text) for text, _ in given]
+            labels = pa.array([toxic for _, toxic in given], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.list_(pa.float64())), part.column(1)], names=["x", "toxic"]
+                [pa.array(rows, pa.list_(pa.float64())), labels], names=["x", "toxic"]
             )
 
     rows = sample.mapInArrow(measure, "x array<double>, toxic int").collect()
