@@ -5,18 +5,20 @@ stand as a break between stretches. A task indexes its documents shard by shard
 numbered words or one document), searches all windows of the benchmark backwards at once, locates their
 occurrences and merges them into spans per document.
 
-The benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES`` of text, a pass over the
-documents for each, so that neither the driver nor a task ever holds more than one block; spans and
-items of the passes are merged.
+The benchmark goes to the tasks in blocks of about ``BLOCK_BYTES`` of text, a pass over the
+documents for each, so that neither the driver nor a task ever holds more than one block (some 150 MB on the driver and
+30 MB for a task); spans and items of the passes are merged. ``remove_contamination`` cuts the spans out of the texts,
+``drop_contaminated`` leaves out whole documents.
 
 Defined results: a null text has no words and no hits; an item of fewer words than a window is one window,
 one without words is none; items that share a window are all found by it; a null item id counts
-as ``null``; repeated rows are rows of their own; without items nothing is hit. Other columns are ignored,
+as ``null``; a very long document is an index of its own; equal phrases share their hits; repeated rows are rows of their own; without items nothing is hit. Other columns are ignored,
 or kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,7 @@ from keytally.sinks.sketch_store import stored
 
 WINDOW = 10
 SHARD_WORDS = 1 << 19
-BLOCK_BYTES = 32 << 20
-FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+BLOCK_BYTES = 2 << 20
 #: Bytes that are words go over in lower case, all others become spaces.
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -213,6 +214,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         F.size("found.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
+        spans.alias("spans"),
     )
 
 
@@ -222,6 +224,39 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -
     return found.filter(F.size(F.col(found.columns[-1]).spans) == 0).select(*docs.columns)
 
 
+#: The words of a text that is not in lower case yet.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def without_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """A text without the words of some merged spans of word places, and without what lies between them."""
+    places = [m.span() for m in _WORD.finditer(text)]
+    out, at = [], 0
+    for start, end in spans:
+        out.append(text[at : places[start][0]])
+        at = places[end - 1][1]
+    return "".join([*out, text[at:]])
+
+
+def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """All rows, with the hit spans cut out of their texts; the other columns stay as they are."""
+    found = find_overlaps(docs, items, window=window)
+    names, schema = docs.columns, docs.schema
+    text_at, found_at = names.index("text"), len(names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            texts = part.column(text_at).to_pylist()
+            for i, row in enumerate(part.column(found_at).to_pylist()):
+                if row["spans"]:
+                    texts[i] = without_words(texts[i], [(s["start"], s["end"]) for s in row["spans"]])
+            columns = list(part.columns)[:found_at]
+            columns[text_at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return found.mapInArrow(cut, schema)
+
+
 OVERLAP_SQL = f"""
 WITH item_words AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
