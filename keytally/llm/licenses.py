@@ -3,8 +3,7 @@
 A text is cut into fragments at line ends and after ``. ! ? ; :`` before white space; fragments are
 lower-cased and all but a-z and 0-9 becomes single spaces. Neighbours together, up to the words of the longest
 known sentence, are looked up among these, so that lines wrapped at any width are found too; only fragments
-that a known sentence begins with are joined. ``license_sql`` joins ``MOST_FRAGMENTS`` at most, so the two
-differ on a sentence of more. The ids, in text order,
+that a known sentence begins with are joined. The ids, in text order,
 are matched against the rules: a rule is an ordered list of ids with any number of other ids between
 them. The first rules are the more specific ones: a licence that another found one implies is not
 reported.
@@ -13,7 +12,8 @@ All of it is row-local column arithmetic without a shuffle. Only texts with one
 every known sentence holds a cue, which is checked when the tables are built.
 
 Defined results: a null or empty text, or one without a known sentence, has no licence (empty
-string) and 0 sentences; a sentence that occurs twice counts twice; rows are kept one for one. Other
+string) and 0 sentences; a sentence that occurs twice counts twice; of sentences that begin at one place the shorter comes
+first; texts of any length are read whole; rows are kept one for one. Other
 columns are ignored.
 """
 
@@ -24,8 +24,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_FRAGMENTS = 6
-
 # Sentences of well-known licence texts and notices, normalised, with their ids.
 SENTENCES = {
     "released under the mit license": 1,
@@ -56,12 +54,29 @@ SENTENCES = {
     "published by the free software foundation either version 3 of the license or at your option "
     "any later version": 23,
     "either version 2 of the license or at your option any later version": 24,
+    "this program is free software you can redistribute it and or modify it under the terms of the "
+    "gnu general public license as published by the free software foundation either version 2 of "
+    "the license or at your option any later version": 25,
+    "you can redistribute it and or modify it under the terms of the gnu general public license as "
+    "published by the free software foundation either version 2 of the license or at your option "
+    "any later version": 26,
+    "you can redistribute it and or modify it under the terms of the gnu general public license "
+    "version 2 as published by the free software foundation": 27,
+    "this work is licensed under the gnu general public license version 2": 28,
     "licensed under cc by nc 4 0": 30,
     "this work is licensed under a creative commons attribution noncommercial 4 0 international "
     "license": 31,
     "licensed under cc by 4 0": 32,
     "this work is licensed under a creative commons attribution 4 0 international license": 33,
     "licensed under cc by sa 4 0": 34,
+    "this work is licensed under a creative commons attribution sharealike 4 0 international "
+    "license": 35,
+    "licensed under cc by nd 4 0": 36,
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international "
+    "license": 37,
+    "licensed under cc by nc sa 4 0": 38,
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 "
+    "international license": 39,
     "redistribution and use in source and binary forms with or without modification are permitted "
     "provided that the following conditions are met": 40,
     "redistributions of source code must retain the above copyright notice this list of conditions "
@@ -72,7 +87,46 @@ SENTENCES = {
     "neither the name of the copyright holder nor the names of its contributors may be used to "
     "endorse or promote products derived from this software without specific prior written "
     "permission": 43,
+    "this software is provided by the copyright holders and contributors as is and any express or "
+    "implied warranties including but not limited to the implied warranties of merchantability and "
+    "fitness for a particular purpose are disclaimed": 44,
     "all rights reserved": 50,
+    "this library is free software": 60,
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public "
+    "license as published by the free software foundation either version 2 1 of the license or at "
+    "your option any later version": 61,
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public "
+    "license as published by the free software foundation either version 3 of the license or at "
+    "your option any later version": 62,
+    "you can redistribute it and or modify it under the terms of the gnu affero general public "
+    "license as published by the free software foundation either version 3 of the license or at "
+    "your option any later version": 63,
+    "this source code form is subject to the terms of the mozilla public license v 2 0": 64,
+    "permission to use copy modify and or distribute this software for any purpose with or without "
+    "fee is hereby granted provided that the above copyright notice and this permission notice "
+    "appear in all copies": 65,
+    "this is free and unencumbered software released into the public domain": 66,
+    "licensed under cc0 1 0": 67,
+    "distributed under the boost software license version 1 0": 68,
+    "this program and the accompanying materials are made available under the terms of the eclipse "
+    "public license 2 0 which is available at": 69,
+    "this software is provided as is without any express or implied warranty": 70,
+    "permission is granted to anyone to use this software for any purpose including commercial "
+    "applications and to alter it and redistribute it freely subject to the following restrictions": 71,
+    "spdx license identifier mit": 80,
+    "spdx license identifier apache 2 0": 81,
+    "spdx license identifier gpl 2 0 only": 82,
+    "spdx license identifier gpl 2 0 or later": 83,
+    "spdx license identifier gpl 3 0 only": 84,
+    "spdx license identifier gpl 3 0 or later": 85,
+    "spdx license identifier bsd 2 clause": 86,
+    "spdx license identifier bsd 3 clause": 87,
+    "spdx license identifier mpl 2 0": 88,
+    "spdx license identifier lgpl 2 1 or later": 89,
+    "spdx license identifier agpl 3 0 or later": 90,
+    "spdx license identifier isc": 91,
+    "spdx license identifier unlicense": 92,
+    "spdx license identifier cc0 1 0": 93,
 }
 #: Licence, family and the ids of its sentences in order.
 RULES = [
@@ -95,11 +149,45 @@ RULES = [
     ("CC-BY-4.0", "permissive", [32]),
     ("CC-BY-4.0", "permissive", [33]),
     ("CC-BY-SA-4.0", "copyleft", [34]),
+    ("GPL-2.0", "copyleft", [25]),
+    ("GPL-2.0", "copyleft", [22, 26]),
+    ("GPL-2.0", "copyleft", [22, 24]),
+    ("GPL-2.0", "copyleft", [27]),
+    ("GPL-2.0", "copyleft", [28]),
+    ("CC-BY-SA-4.0", "copyleft", [35]),
+    ("CC-BY-ND-4.0", "noderivatives", [36]),
+    ("CC-BY-ND-4.0", "noderivatives", [37]),
+    ("CC-BY-NC-SA-4.0", "noncommercial", [38]),
+    ("CC-BY-NC-SA-4.0", "noncommercial", [39]),
+    ("BSD-3-Clause", "permissive", [87]),
+    ("BSD-2-Clause", "permissive", [86]),
+    ("LGPL-2.1", "copyleft", [60, 61]),
+    ("LGPL-2.1", "copyleft", [89]),
+    ("LGPL-3.0", "copyleft", [60, 62]),
+    ("AGPL-3.0", "copyleft", [22, 63]),
+    ("AGPL-3.0", "copyleft", [90]),
+    ("MPL-2.0", "copyleft", [64]),
+    ("MPL-2.0", "copyleft", [88]),
+    ("ISC", "permissive", [65]),
+    ("ISC", "permissive", [91]),
+    ("Unlicense", "permissive", [66]),
+    ("Unlicense", "permissive", [92]),
+    ("CC0-1.0", "permissive", [67]),
+    ("CC0-1.0", "permissive", [93]),
+    ("BSL-1.0", "permissive", [68]),
+    ("EPL-2.0", "copyleft", [69]),
+    ("Zlib", "permissive", [70, 71]),
+    ("MIT", "permissive", [80]),
+    ("Apache-2.0", "permissive", [81]),
+    ("GPL-2.0", "copyleft", [82]),
+    ("GPL-2.0", "copyleft", [83]),
+    ("GPL-3.0", "copyleft", [84]),
+    ("GPL-3.0", "copyleft", [85]),
     ("reserved", "reserved", [50]),
 ]
 #: A licence that makes another one redundant in a report.
 IMPLIES = {"BSD-3-Clause": "BSD-2-Clause"}
-CUES = ["licen", "permission", "redistribut", "free software", "rights reserved", "without warranty"]
+CUES = ["licen", "permission", "redistribut", "free software", "rights reserved", "without warranty", "public domain", "implied warrant"]
 
 #: A fragment has a word at least, so no known sentence has more fragments.
 MOST_WORDS = max(len(sentence.split()) for sentence in SENTENCES)
@@ -217,14 +305,17 @@ WITH cut AS (
 ), places AS (
   SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
   FROM (SELECT DISTINCT doc_id, parts FROM cut)
-), spans AS (
-  SELECT doc_id, i, k, array_to_string(list_slice(parts, i, i + k - 1), ' ') AS sentence
-  FROM places, range(1, {MOST_FRAGMENTS} + 1) AS r(k) WHERE i + k - 1 <= len(parts)
 ), known AS (
   SELECT unnest(map_keys(m)) AS sentence, unnest(map_values(m)) AS number
   FROM (SELECT MAP {{{pairs}}} AS m)
+), begun AS (
+  SELECT doc_id, i, parts, sentence, number, len(string_split(sentence, ' ')) AS words
+  FROM places JOIN known ON starts_with(sentence || ' ', parts[i] || ' ')
+), spans AS (
+  SELECT doc_id, i, number, unnest(range(1, words + 1)) AS k, sentence, parts FROM begun
 ), ids AS (
-  SELECT doc_id, list(number ORDER BY i, k) AS ids FROM spans JOIN known USING (sentence)
+  SELECT doc_id, list(number ORDER BY i, k) AS ids FROM spans
+  WHERE i + k - 1 <= len(parts) AND array_to_string(list_slice(parts, i, i + k - 1), ' ') = sentence
   GROUP BY doc_id
 ), sequences AS (
   SELECT doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_sentences,
