@@ -16,7 +16,7 @@ FAN = 1 << DIGIT_BITS
 #: From this many children on a node has its own slots.
 CROWDED = 16
 #: Share of the common area that is filled.
-LOAD = 0.4
+LOAD = 0.6
 
 
 @dataclass
