@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import textwrap
 import zlib
 
@@ -164,6 +165,13 @@ def test_licences(make_docs, no_docs):
         "the mit license of another kind": "", "Licensed under CC BY-NC 4.0. MIT License.": "MIT,CC-BY-NC-4.0",
         ". ".join(["x"] * 3000) + ".\nAll rights reserved.": "reserved",
     }
+    gpl = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General " \
+        "Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your " \
+        "option) any later version."
+    texts[gpl] = "GPL-2.0"
+    texts[gpl.replace("version 2", "version 3")] = "GPL-3.0"
+    texts[gpl.replace("program", "library").replace("General", "Lesser General").replace("version 2", "version 2.1")] = "LGPL-2.1"
+    texts["// SPDX-License-Identifier: GPL-2.0-or-later"] = "GPL-2.0"
     three = ". ".join(s for s, n in licenses.SENTENCES.items() if n in (40, 41, 42, 43)) + "."
     texts[three] = "BSD-3-Clause"
     texts[three.rsplit(". ", 1)[0] + "."] = "BSD-2-Clause"
@@ -268,16 +276,53 @@ def test_contamination(spark, make_docs, block_bytes, monkeypatch):
     want = brute.overlaps(list(enumerate(texts)), items)
     assert sorted(got) == sorted(w[:4] for w in want)
     if block_bytes > 60:
-        assert rows_of(decontaminate.contamination(docs, table)) == want
+        assert rows_of(decontaminate.contamination(docs, table).drop("spans")) == want
         kept = decontaminate.drop_contaminated(docs, table)
         assert kept.columns == docs.columns
         assert {x.doc_id for x in kept.collect()} == {w[0] for w in want if not w[5]}
 
 
+def plain_cut(text, items, window=10):
+    """A text without the characters from the first to the last word of each run of hit words."""
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    places = [m.span() for m in re.finditer(pattern, brute.lower_ascii(text))]
+    w = [brute.lower_ascii(text[a:b]) for a, b in places]
+    hit = [False] * len(w)
+    for _, phrase in items:
+        p = re.findall(pattern, brute.lower_ascii(phrase))
+        size = min(window, len(p))
+        for a in range(len(p) - size + 1 if p else 0):
+            for at in range(len(w) - size + 1):
+                if w[at : at + size] == p[a : a + size]:
+                    hit[at : at + size] = [True] * size
+    out, at = "", 0
+    for i, own in enumerate(hit):
+        if own and (i == 0 or not hit[i - 1]):
+            out += text[at : places[i][0]]
+        if own:
+            at = places[i][1]
+    return out + text[at:]
+
+
+def test_contaminated_spans_are_cut_out(spark, make_docs):
+    passage = long_text(50, 25)
+    items = [(1, passage), (10, "tiny Item"), (3, None), (None, long_text(51, 12))]
+    texts = [*odd_texts(), f"x {passage} y", f"({passage}!){passage}.", "a TINY item, tiny-item tiny",
+             "é tiny item", long_text(51, 12)]
+    docs, table = make_docs(texts), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.remove_contamination(docs, table)
+    assert got.columns == docs.columns and got.drop("text").exceptAll(docs.drop("text")).count() == 0
+    clean = {x.doc_id: x.text for x in got.collect()}
+    assert clean == {i: t if t is None else plain_cut(t, items) for i, t in enumerate(texts)}
+    assert decontaminate.contamination(got, table).filter("contaminated").count() == 0
+    spans = {x.doc_id: x.spans for x in decontaminate.contamination(docs, table).collect()}
+    assert [tuple(s) for s in spans[len(odd_texts()) + 2]] == [(1, 5)]
+
+
 def test_contamination_of_empty_tables(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     docs, rows = odd_docs
-    assert rows_of(decontaminate.contamination(docs, none)) == brute.overlaps(rows, [])
+    assert rows_of(decontaminate.contamination(docs, none).drop("spans")) == brute.overlaps(rows, [])
     assert decontaminate.contamination(no_docs, none).count() == 0
 
 
@@ -442,6 +487,81 @@ def test_terms_far_from_the_mention_are_changed(make_docs):
     assert {far[a:b].lower() for a, b in spans} == {"zanzibar"} and row.n_terms == len(spans) == 3
 
 
+def test_only_words_near_the_mention_of_one_text_are_terms(make_docs):
+    """A rare word far from it is no evidence; of an entity of two texts, words anywhere are."""
+    common = [f"plain words of number {long_text(i, 10)}" for i in range(60)]
+    gap = "plain words of number " * 30
+    once = f"Farawayword {gap} nearbyword zed@home.org {gap}"
+    twice = [f"Bothword {gap} 198.51.100.7 {gap} plain{i}" for i in range(2)]
+    docs = make_docs([*common, once, once, *twice])
+    flagged = pii.disclosing_terms(docs, pii.find_base(docs, ["doc_id"])).collect()
+    found = {}
+    for x in flagged:
+        found.setdefault(x.entity, set()).add(x.term)
+    assert "nearbyword" in found["email:zed@home.org"] and "farawayword" not in found["email:zed@home.org"]
+    assert "bothword" in found["ip:198.51.100.7"]
+
+
+def plain_terms(rows):
+    """(text, term) of the terms to change, from texts as they are, word by word."""
+    import math
+
+    texts = sorted({t or "" for _, t in rows})
+    words = {t: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)} for t in texts}
+    n, whole, near, entities = len(texts), {}, {}, {}
+    for t in texts:
+        spans = [(a, b, k, t[a:b]) for a, _, b, k in brute.personal(t)]
+        mails = [(a, b) for a, b, k, _ in spans if k == "email"]
+        for m in re.finditer(r"[^\W\d_]+", t):
+            touches = any(a <= m.end() and m.start() <= b for a, b in mails)
+            if len(m.group()) >= 3 and not touches:
+                w = m.group().lower()
+                whole.setdefault(t, set()).add(w)
+                if any(m.start() - b <= pii.REACH and a - m.end() <= pii.REACH for a, b, _, _ in spans):
+                    near.setdefault(t, set()).add(w)
+        for _, _, k, v in spans:
+            name = re.sub("[^0-9]", "", v) if k in ("card", "phone") else v.lower()
+            entities.setdefault((k, name), set()).add(t)
+    out = set()
+    for own in entities.values():
+        n_e = len(own)
+        together = {}
+        for t in own:
+            for w in (whole if n_e > 1 else near).get(t, ()):
+                together[w] = together.get(w, 0) + 1
+        for w, n_te in together.items():
+            n_t = sum(w in words[t] for t in texts)
+            if n > n_e and math.log2(n_te * n / (n_t * n_e)) / math.log2(n / n_e) >= pii.GENERALISE:
+                out |= {(t, w) for t in own if w in whole.get(t, ())}
+    return out
+
+
+def test_terms_equal_plain_counts(make_docs):
+    r = random.Random(12)
+    vocabulary = "river stone lamp Walks quiet über été naïve night Garden".split() + [f"rare{c}x" for c in "abcdefgh"]
+    marks = ["zed@home.org", "198.51.100.7", "+41 22 767 61 11", "amy@work.net", "4111 1111 1111 1111"]
+    texts = [None, ""]
+    for i in range(60):
+        w = [r.choice(vocabulary[:10]) for _ in range(30)] + [r.choice(vocabulary) for _ in range(2)]
+        r.shuffle(w)
+        if i % 3 == 0:  # an entity of its own, or one that goes with a word
+            at = r.randrange(len(w))
+            own = i // 3 % len(marks)
+            w[at:at] = [f"u{i}@home.org", f"solo{'abcdefghijklmnopqrstuvwxyz'[i % 26]}"] if i % 2 else [marks[own]]
+            w.insert(0, f"goes{'abcde'[own]}" if i % 2 == 0 else "x")
+        texts.append(" ".join(w))
+    texts += [texts[5], texts[8]]
+    rows = list(enumerate(texts))
+    got = set()
+    for x in pii.find_personal_data(make_docs(rows)).collect():
+        for s in x.spans.split(",") if x.spans else []:
+            kind, a, b = s.split(":")
+            if kind == "term":
+                got.add((texts[x.doc_id], texts[x.doc_id][int(a) : int(b)].lower()))
+    want = plain_terms(rows)
+    assert got == want and want
+
+
 def test_running_sums_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(pii, "BLOCK", 4)
     table = spark.range(1).select(F.sequence(F.lit(1).cast("long"), F.lit(30).cast("long")).alias("a"))

@@ -96,6 +96,101 @@ def test_quality_learns_the_junk(corpus):
     assert not any(kept[i] for i in range(0, 300, 5))
 
 
+def test_mixed_documents_are_labelled_line_by_line(corpus):
+    """Half clean, half junk: neither all content nor all boilerplate, and most lines right."""
+    docs, labels, texts = corpus
+    model = quality.fit(docs, labels)
+    shares, right = [], []
+    for i in range(1, 200, 5):
+        good, bad = texts[i].split("\n"), texts[i - 1].split("\n")
+        for lines, truth in ((good + bad, [1] * len(good) + [0] * len(bad)), (bad + good, [0] * len(bad) + [1] * len(good))):
+            bins, sizes, _ = quality.lines_of("\n".join(lines))
+            got = model.decode(model.scores(np.array(bins)).tolist())
+            shares.append(sum(s for s, c in zip(sizes, got) if c) / sum(sizes))
+            right += [c == bool(t) for c, t in zip(got, truth)]
+    assert np.mean([0 < s < 1 for s in shares]) > 0.9 and np.mean(right) > 0.9
+    assert quality.mixed([(np.zeros((2, 3), int), np.ones(2, int))]) == []
+
+
+def test_kept_is_the_verdict_of_the_best_labelling(spark, corpus, make_docs):
+    """The share of content, from all labellings of the lines, and the base rules."""
+    docs, labels, texts = corpus
+    model = quality.fit(docs, labels)
+    mixed = ["\n".join(texts[i].split("\n")[:4] + texts[i + 4].split("\n")[:4]) for i in range(1, 60, 5)]
+    cases = [None, "", "a b c", "\n\n", *texts[:20], *mixed, mixed[0], "same words here\n" * 9]
+    found = {x.doc_id: x for x in quality.judge_documents(make_docs(cases), labels.filter("false")).collect()}
+    first = quality.first_model()
+    from . import brute
+
+    for verdicts, own in ((found, first), (None, model)):
+        if verdicts is None:
+            rows = quality.with_verdicts(make_docs(cases).select("doc_id", "text"), model).select("doc_id", "quality.*")
+            verdicts = {x.doc_id: x for x in rows.collect()}
+        for i, text in enumerate(cases):
+            bins, sizes, _ = quality.lines_of(text)
+            scores = own.scores(np.array(bins, int).reshape(len(bins), -1)).tolist() if bins else []
+
+            def value(y, scores=scores, own=own):
+                return sum(own.moves[a, b] for a, b in zip(y, y[1:])) + sum(s for s, x in zip(scores, y) if x)
+
+            every = list(itertools.product((1, 0), repeat=len(bins)))
+            best = max(every, key=value) if bins else ()
+            share = sum(s for s, y in zip(sizes, best) if y) / max(1, sum(sizes))
+            failed = brute.quality_base(text)[5]
+            assert verdicts[i].content_share == pytest.approx(share)
+            assert verdicts[i].kept == (not failed and share >= quality.CONTENT_SHARE)
+
+
+def test_misspelled_is_abuse_and_quoted_is_not(corpus):
+    docs, labels, texts = corpus
+    scorer = toxicity.fit(docs, labels)
+    weights = dict(zip(toxicity.FEATURES, scorer.weights[1:]))
+    assert weights["misspelled"] > 0 and weights["exact"] > 0 > weights["quoted"]
+    wrong, quoted = [], []
+    for text in texts[:120:6]:
+        forms = scorer.made_forms(text, 1)
+        wrong += [t for t, y in forms if y]
+        quoted += [t for t, y in forms if not y]
+    assert len(quoted) == 20 and len(wrong) > 10
+    for made, abusive in ((wrong, True), (quoted, False)):
+        scores = scorer.scores(np.array([scorer.features(t) for t in made]))
+        assert np.mean((scores >= 0.5) == abusive) > 0.9
+    assert scorer.made_forms(None, 1) == [] == scorer.made_forms("", 0) == scorer.made_forms("plain words", 1)
+    assert [y for _, y in scorer.made_forms("plain words", 0)] == [0]
+
+
+def test_a_score_follows_from_its_features(corpus):
+    """Counts of hits, by plain edit distance, put into the logistic function."""
+    docs, labels, texts = corpus
+    scorer = toxicity.fit(docs, labels)
+    for text in ["you slimebal are gruntface", 'he wrote "gruntface" once', "nitwitted " * 3 + "and words", "plain", None]:
+        words = [w.strip('",.') for w in (text or "").lower().split()]
+        raw = (text or "").lower().split()
+        counts = dict.fromkeys(toxicity.FEATURES, 0.0)
+        open_at = []
+        for at, word in enumerate(words):
+            near = [(edit_distance(word, t), i) for i, (t, _, stem) in enumerate(scorer.terms)
+                    if not stem and edit_distance(word, t) <= lexicon.edits_for(t)]
+            near += [(0, i) for i, (t, _, stem) in enumerate(scorer.terms) if stem and word.startswith(t)]
+            if not near:
+                continue
+            edits, term = min(near)
+            if '"' in raw[at] or {"wrote", "said"} & set(words[max(0, at - 4) : at]):
+                counts["quoted"] += 1
+                continue
+            open_at.append(at)
+            stem = scorer.terms[term][2]
+            counts["exact"] += edits == 0 and not stem
+            counts["misspelled"] += edits > 0
+            counts["stem"] += stem
+            counts["addressed"] += "you" in words[max(0, at - 5) : at + 6]
+        counts["close"] = len(open_at)
+        counts["dense"] = 100 * len(open_at) / max(1, len(words))
+        x = np.log1p([counts[name] for name in toxicity.FEATURES])
+        want = 1 / (1 + np.exp(-(scorer.weights[0] + x @ scorer.weights[1:])))
+        assert scorer.scores(np.array([scorer.features(text)]))[0] == pytest.approx(want)
+
+
 def test_toxicity_learns_terms_and_forgives_spelling(corpus, make_docs, no_docs, spark):
     docs, labels, _ = corpus
     scorer = toxicity.fit(docs, labels)
