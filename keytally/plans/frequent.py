@@ -16,7 +16,7 @@ from keytally.functions.sizes import counters_for
 from keytally.functions.seeds import seed_table
 from keytally.operators import exact, majority
 from keytally.operators import frequent as f
-from keytally.operators.summaries import heads_of, merge_lower, merge_upper, pending_deltas
+from keytally.operators.summaries import heads_of, merge_lower, merge_upper, owners_for, pending_deltas
 from keytally.plans import sqltext as q
 from keytally.plans.registry import Registry
 from keytally.sinks.sketch_store import stored
@@ -88,18 +88,21 @@ EVENT_COUNTS = (
 TOKEN_OWNER = "(('0x' || substr(md5(key), 1, 7))::BIGINT & 511) % 4"
 
 
-def token_owner():
-    return owner_of(key_to_int("key"), SHARDS)
+def token_owner(shards: int = SHARDS):
+    return owner_of(key_to_int("key"), shards)
 
 
 def event_types(s, d):
     return key_stream(s, d, "events", "event_type")
 
 
-def sharded(s, d):
-    """Shared by several queries: the tokens' summaries, stored."""
+def sharded(s, d, shards=None):
+    """Shared by several queries: the tokens' summaries, stored, by as many owners as the scan asks for or by
+    ``shards`` that the SQL deals words to as well."""
+    words = token_stream(s, d)
+    owner = token_owner(shards) if shards else owner_by_hash("key", owners_for(words))
     return stored(
-        f.space_saving_sharded(token_stream(s, d), COUNTERS, SHARDS, token_owner()), "sharded"
+        f.space_saving_sharded(words, COUNTERS, shards or owners_for(words), owner), "sharded"
     )
 
 
@@ -157,7 +160,10 @@ def split_tokens(s, d):
 @reg.query("include_pending_counts", TRUTH)
 def _pending(s, d):
     arrived, pending = split_tokens(s, d)
-    summary = stored(f.space_saving_sharded(arrived, COUNTERS, SHARDS, token_owner()), "arrived")
+    owners = owners_for(arrived)
+    summary = stored(
+        f.space_saving_sharded(arrived, COUNTERS, owners, owner_by_hash("key", owners)), "arrived"
+    )
     # A key may be frequent only with what is pending, so every key is kept.
     floor = heads_of(summary).agg(F.max("floor").alias("floor")).scalar()
     known = f.bounds(summary)
@@ -218,7 +224,7 @@ def _tree(s, d):
 )
 def _bytes(s, d):
     """The sharded summaries as bytes and back: nothing is lost, nothing is added."""
-    summary = sharded(s, d)
+    summary = sharded(s, d, SHARDS)
     packed = stored(to_bytes(summary), "packed")
     again = from_bytes(packed, StringType())
     columns = summary.columns
@@ -235,7 +241,8 @@ def _bytes(s, d):
 )
 def _point(s, d):
     tokens = token_stream(s, d)
-    answers = f.point_estimate(sharded(s, d), exact.exact_histogram(tokens), token_owner())
+    owner = owner_by_hash("key", owners_for(tokens))
+    answers = f.point_estimate(sharded(s, d), exact.exact_histogram(tokens), owner)
     est, error, cnt = F.col("est"), F.col("error"), F.col("cnt")
     holds = F.when(est == 0, cnt <= error).otherwise((est - error <= cnt) & (cnt <= est))
     return answers.select("key", holds.alias("holds"))
@@ -243,7 +250,7 @@ def _point(s, d):
 
 reg.add(
     "summary_weight_check",
-    lambda s, d: f.summary_weight_check(sharded(s, d)),
+    lambda s, d: f.summary_weight_check(sharded(s, d, SHARDS)),
     f"SELECT {TOKEN_OWNER} AS shard, SUM(weight)::BIGINT AS counters, SUM(weight)::BIGINT AS n "
     f"FROM {q.TOKENS} GROUP BY 1",
 )

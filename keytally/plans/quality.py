@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keytally.functions.hashing import owner_of
+from keytally.functions.hashing import owner_by_hash
 from keytally.functions.seeds import seed_table
 from keytally.operators import exact, linear
 from keytally.operators import frequent as f
@@ -55,9 +55,13 @@ ESTIMATED = (
 
 
 def counted(s, d):
-    """Keys reported by summaries with room for every supplier: exact counts."""
+    """Keys reported by summaries with room for every supplier, of which there are as many as that takes: exact counts."""
     room = 1 << 16
-    summary = stored(f.space_saving_sharded(supp(s, d), room, 4, owner_of("key", 4)), "supp")
+    suppliers = supp(s, d).select(F.approx_count_distinct("key").alias("n")).first().n
+    owners = max(4, 4 * suppliers // room)
+    summary = stored(
+        f.space_saving_sharded(supp(s, d), room, owners, owner_by_hash("key", owners)), "supp"
+    )
     return f.frequent_elements_global(summary, PHI)
 
 

@@ -171,7 +171,8 @@ def shuffled_stream(freq: DataFrame, seed: int = 1) -> DataFrame:
 
 
 #: Tries of the rejection method per row. A try fails with a probability well below one half, the
-#: same for any n, so that none of so many succeeds for less than one row in 10^12.
+#: same for any n, so that none of so many succeeds for less than one row in 10^12. Such a row takes the
+#: number of one more try as it is.
 ZIPF_TRIES = 40
 
 
@@ -196,12 +197,14 @@ def zipf_draws(rows: DataFrame, row_id: str, n, theta: float, seed: int = 1) ->
     low, high = area(F.lit(1.5)) - 1, area(size + 0.5)
     near = 2 - edge(area(F.lit(2.5)) - step(F.lit(2.0)))
 
-    def attempt(taken: Column, seeds: Column) -> Column:
-        numbers = tuple(seeds[f"s{i}"] for i in range(5))
+    def point(numbers: tuple) -> tuple[Column, Column, Column]:
         u = (row_hash(row_id, numbers) + F.lit(0.5)) / F.lit(float(HASH_RANGE))
         height = high + u * (low - high)
         x = edge(height)
-        k = F.least(F.greatest(F.floor(x + 0.5).cast("double"), F.lit(1.0)), size)
+        return F.least(F.greatest(F.floor(x + 0.5).cast("double"), F.lit(1.0)), size), x, height
+
+    def attempt(taken: Column, seeds: Column) -> Column:
+        k, x, height = point(tuple(seeds[f"s{i}"] for i in range(5)))
         under = (k - x <= near) | (height >= area(k + 0.5) - step(k))
         return F.when(taken.isNotNull(), taken).when(under, k)
 
@@ -213,7 +216,8 @@ def zipf_draws(rows: DataFrame, row_id: str, n, theta: float, seed: int = 1) ->
             for t in range(ZIPF_TRIES)
         ]
     )
-    drawn = F.aggregate(tries, F.lit(None).cast("double"), attempt)
+    rest = point(tuple(F.lit(v).cast("long") for v in draw_seeds(5, seed + ZIPF_TRIES)))[0]
+    drawn = F.coalesce(F.aggregate(tries, F.lit(None).cast("double"), attempt), rest)
     sized = rows.withColumn("_size", _num(n).cast("double"))
     return sized.select(*rows.columns, drawn.cast("long").alias("draw"))
 
