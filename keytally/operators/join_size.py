@@ -15,7 +15,7 @@ from keytally.functions.hashing import MASK31, key_code
 from keytally.functions.seeds import SeedTable
 from keytally.operators.exact import _product, exact_histogram, exact_join_size
 from keytally.operators.linear import _ids, count_min_build, linear_sketch
-from keytally.sinks.sketch_store import stored
+from keytally.sinks.sketch_store import discard, stored
 
 
 # --- combiners -------------------------------------------------------------------------
@@ -87,11 +87,12 @@ def kth_smallest(df: DataFrame, value: str, k: int, by: tuple[str, ...] = ()) ->
         )
         order = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
         upto = counts.withColumn("_upto", F.sum("_n").over(order))
-        before = F.col("_upto") - F.col("_n")
-        narrowed = upto.where((before < F.col("_k")) & (F.col("_k") <= F.col("_upto"))).select(
-            *groups, "_low", "_high", (F.col("_k") - before).alias("_k")
+        less = F.col("_upto") - F.col("_n")
+        narrowed = upto.where((less < F.col("_k")) & (F.col("_k") <= F.col("_upto"))).select(
+            *groups, "_low", "_high", (F.col("_k") - less).alias("_k")
         )
-        state = stored(state.where("_low = _high").unionByName(narrowed), "kth")
+        before, state = state, stored(state.where("_low = _high").unionByName(narrowed), "kth")
+        discard(before)
     return state.select(*by, F.col("_low").cast(kind).alias("estimate"))
 
 

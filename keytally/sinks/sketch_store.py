@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytally.session import work_path
+from keytally.sinks.folders import remove
 
 FORMAT_VERSION = 1
 
@@ -20,7 +21,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.stored_at = path
+    return kept
+
+
+def discard(kept: DataFrame) -> None:
+    """Removes a table that ``stored`` wrote, once nothing will read it again."""
+    remove(kept.sparkSession, kept.stored_at)
 
 
 def save_sketch(sketch: DataFrame, path: str, kind: str, **params) -> None:

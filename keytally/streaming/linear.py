@@ -8,7 +8,7 @@ from pyspark.sql.types import DataType, LongType, StructField, StructType
 
 from keytally.functions.seeds import SeedTable
 from keytally.operators.linear import linear_sketch
-from keytally.operators.majority import majority_build, majority_merge
+from keytally.operators.majority import majority_local, majority_merge
 from keytally.streaming.runner import batch_writer, batches, newest, one_batch, run
 
 CELLS = "row int, bucket long, v long"
@@ -38,15 +38,17 @@ def stream_cells(spark: SparkSession, folder: str) -> DataFrame:
 def run_majority_sketch(
     stream: DataFrame, seeds: SeedTable, buckets: int, folder: str, code: Column | None = None
 ) -> list:
-    """A majority sketch of each micro-batch, merged into the one before it."""
+    """The votes cast within the tasks of each micro-batch, merged into the sketch before it: only cells are
+    shuffled, however many keys a micro-batch has."""
     schema = _votes_schema(stream.schema["key"].dataType)
+    columns = ["row", "bucket", "cand", "cnt"]
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        now = majority_build(batch, seeds, buckets, code=code).select("row", "bucket", "cand", "cnt")
+        now = majority_local(batch, seeds, buckets, code).select(columns)
         if batch_id > 0:
             before = one_batch(batch.sparkSession, f"{folder}/votes", schema, batch_id - 1)
-            now = majority_merge(now.unionByName(before)).select("row", "bucket", "cand", "cnt")
-        batch_writer(f"{folder}/votes", keep=2)(now, batch_id)
+            now = now.unionByName(before)
+        batch_writer(f"{folder}/votes", keep=2)(majority_merge(now).select(columns), batch_id)
 
     return run(stream.select("key", "weight"), each, f"{folder}/checkpoint")
 
