@@ -195,7 +195,9 @@ def _phi_bounds(s, d):
     events = table(s, d, "events").groupBy(
         F.floor(F.col("event_id") / every).cast("long").alias("step"), F.col("user_id").alias("key")
     ).agg(F.count(F.lit(1)).alias("cnt"))
-    truth = seen.select("mark").join(events, F.col("step") < F.col("mark")).groupBy("mark", "key").agg(
+    last = seen.agg(F.max("mark").alias("last")).scalar()
+    later = F.when(F.col("step") < last, F.sequence(F.col("step") + 1, last))
+    truth = events.select("key", "cnt", F.explode(later).alias("mark")).groupBy("mark", "key").agg(
         F.sum("cnt").alias("cnt")
     )
     met = truth.join(found.drop("n"), ["mark", "key"], "full").withColumn("cnt", F.coalesce("cnt", F.lit(0)))

@@ -218,20 +218,15 @@ def test_rows_without_a_key_are_left_out(spark):
     assert rows.where("key IS NULL").agg(F.sum("n")).head()[0] == 4
 
 
-def test_many_groups_are_handed_out_in_pieces(make_stream, monkeypatch):
-    import keytally.operators.summaries as s
-
-    rows = s._runner  # the limit is read when the task runs, in a forked worker
-    assert rows is not None
-    monkeypatch.setattr(s, "MAX_COUNTERS_IN_TASK", 10)
-    monkeypatch.setattr(s, "BATCH_ROWS", 100)
-    monkeypatch.setattr(s, "MAX_DISTINCT", 50)
+def test_a_group_that_spans_blocks_is_one_summary(monkeypatch):
+    """Rows come by group; blocks of 70 rows cut groups of 200 rows anywhere."""
     import pyarrow as pa
 
-    from keytally.operators.kernels import SpaceSaving
+    import keytally.operators.summaries as s
 
+    monkeypatch.setattr(s, "BATCH_ROWS", 70)
     schema = pa.schema([("g", pa.int64())] + [(c, pa.int64()) for c in ("shard", "key", "cnt", "err", "floor", "n")])
-    run = s._runner(lambda: SpaceSaving(5), ["g"], None, schema)
+    run = s._grouped_runner("space_saving", 5, ["g"], schema)
 
     class Task:
         def partitionId(self):
@@ -239,13 +234,15 @@ def test_many_groups_are_handed_out_in_pieces(make_stream, monkeypatch):
 
     monkeypatch.setattr(s.TaskContext, "get", staticmethod(lambda: Task()))
     batches = [
-        pa.RecordBatch.from_pydict({"g": [i % 4] * 100, "key": list(range(100)), "weight": [1] * 100})
-        for i in range(8)
+        pa.RecordBatch.from_pydict({"g": [i // 8] * 25, "key": list(range(25)), "weight": [1] * 25})
+        for i in range(32)
     ]
     out = pa.Table.from_batches(list(run(iter(batches)))).to_pandas()
     heads = out[out["key"].isna()]
-    assert len(heads) > 4 and heads["n"].sum() == 800
-    assert set(heads["g"]) == {0, 1, 2, 3}
+    assert list(heads["g"]) == [0, 1, 2, 3] and list(heads["n"]) == [200] * 4
+    rows = out[out["key"].notna()]
+    assert (rows.groupby("g").size() == 5).all() and set(out["shard"]) == {3}
+    assert ((rows["cnt"] - rows["err"] <= 8) & (8 <= rows["cnt"])).all()
 
 
 def test_point_estimate(spark, make_stream):
