@@ -41,8 +41,8 @@ TOP = 2000
 ABSORB_PERCENT = 50
 MILLION = 1_000_000
 
-BLOCK_BYTES = 1 << 20
-FLUSH_ROWS = 1 << 20
+BLOCK_BYTES = 1 << 18
+FLUSH_ROWS = 1 << 18
 MAP_BITS = 26
 BLOCK_PHRASES = 1 << 20
 TRIES = 2
@@ -270,7 +270,7 @@ def count_words(docs: DataFrame, seed: int) -> DataFrame:
             columns = [met.column(lang[first]), _signed(words.hash[first]), words.texts(first).cast(pa.string()), pa.array(n)]
             waiting.append(pa.table(columns, names=[*names, "f"]))
             rows += len(first)
-            if rows >= FLUSH_ROWS // 4:
+            if rows >= FLUSH_ROWS:
                 yield from flush(waiting)
                 waiting, rows = [], 0
         if rows:
@@ -393,7 +393,7 @@ class Block:
         at = words.starts_of(1)
         at = at[(lang[at] > 0) & (code[at] > 0)]
         on, state = self.automaton.step(np.zeros(len(at), np.int32), lang[at])
-        at = at[on]
+        at, accepted = at[on], []
         for word in range(LONGEST):
             if word:
                 goes_on = words.follows[at]
@@ -403,7 +403,8 @@ class Block:
             on, state = self.automaton.step(state, code[at])
             at = at[on]
             ends = self.automaton.phrase[state]
-            found += np.bincount(ends[ends >= 0], minlength=len(found))
+            accepted.append(ends[ends >= 0])
+        found += np.bincount(np.concatenate(accepted), minlength=len(found))
 
 
 def make_block(rows: pa.Table) -> Block:
