@@ -192,20 +192,16 @@ def _phi_bounds(s, d):
     folder = _marked(s, d, "user_id", 40, phi)
     found = marks.frequent_at_marks(s, folder, LongType(), phi, OWNERS)
     seen = marks.marks_seen(s, folder, LongType())
-    events = table(s, d, "events").groupBy(
+    counts = table(s, d, "events").groupBy(
         F.floor(F.col("event_id") / every).cast("long").alias("step"), F.col("user_id").alias("key")
     ).agg(F.count(F.lit(1)).alias("cnt"))
-    last = seen.agg(F.max("mark").alias("last")).scalar()
-    later = F.when(F.col("step") < last, F.sequence(F.col("step") + 1, last))
-    truth = events.select("key", "cnt", F.explode(later).alias("mark")).groupBy("mark", "key").agg(
-        F.sum("cnt").alias("cnt")
-    )
-    met = truth.join(found.drop("n"), ["mark", "key"], "full").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
-    missed = F.col("est").isNull() & (F.col("cnt") >= F.lit(phi) * every * F.col("mark"))
-    wrong = missed | (F.col("lower") > F.col("cnt")) | (F.col("upper") < F.col("cnt"))
-    faults = met.groupBy("mark").agg(F.count_if(wrong).alias("faults"))
-    return seen.join(faults, "mark").select(
-        "mark", "owners", "n", "faults", (F.col("latency_us") > 0).alias("answered")
+    faults = marks.faults_at_marks(counts, found, seen, phi, every)
+    return seen.join(faults, "mark", "left").select(
+        "mark",
+        "owners",
+        "n",
+        F.coalesce("faults", F.lit(0).cast("long")).alias("faults"),
+        (F.col("latency_us") > 0).alias("answered"),
     )
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -179,3 +179,47 @@ def average_latency(spark: SparkSession, folder: str, key_type) -> DataFrame:
     return marks_seen(spark, folder, key_type).agg(
         F.count(F.lit(1)).alias("queries"), F.avg("latency_us").alias("latency_us")
     )
+
+
+def counts_up_to(counts: DataFrame, found: DataFrame, last: Column) -> DataFrame:
+    """(key, mark, until, cnt, est, lower, upper): the weight of a key at the marks from ``mark`` to ``until``.
+
+    ``counts`` has (step, key, cnt), ``found`` the answers, which also begin such a run, so an answer's row has the true
+    weight at its mark. There are as many rows as in both tables: a weight that stays is not repeated per mark.
+    """
+    none = [F.lit(None).cast("long").alias(c) for c in ("est", "lower", "upper")]
+    grown = counts.where(F.col("step") < last).select((F.col("step") + 1).alias("mark"), "key", "cnt", *none)
+    asked = found.select("mark", "key", F.lit(0).cast("long").alias("cnt"), "est", "lower", "upper")
+    along = Window.partitionBy("key").orderBy("mark")
+    return grown.unionByName(asked).select(
+        "key",
+        "mark",
+        (F.coalesce(F.lead("mark").over(along), last + 1) - 1).alias("until"),
+        F.sum("cnt").over(along).alias("cnt"),
+        *("est", "lower", "upper"),
+    )
+
+
+def frequent_up_to(runs: DataFrame, phi: float, every: int) -> DataFrame:
+    """(mark, key) of the keys of ``counts_up_to`` that have the share ``phi`` of the rows up to a mark: no more than
+    1 / phi of them per mark. A run of equal weight reaches the share up to some mark of its own."""
+    reached = F.ceil(F.col("cnt") / F.lit(phi * every)).cast("long")
+    end = F.least("until", reached)
+    marks = F.when(end >= F.col("mark"), F.sequence("mark", end))
+    rows = runs.select("key", "cnt", F.explode(marks).alias("mark"))
+    return rows.where(F.col("cnt") >= F.lit(phi) * every * F.col("mark")).select("mark", "key")
+
+
+def faults_at_marks(
+    counts: DataFrame, found: DataFrame, seen: DataFrame, phi: float, every: int
+) -> DataFrame:
+    """(mark, faults) where there are any: the answers at a mark whose bounds do not hold for the rows up to it, and
+    the keys that reach the share without an answer.
+
+    The rows worked on grow with the rows of the stream and with marks / phi, not with keys x marks.
+    """
+    last = seen.agg(F.max("mark").alias("last")).scalar()
+    runs = counts_up_to(counts, found, last)
+    wrong = runs.where((F.col("lower") > F.col("cnt")) | (F.col("upper") < F.col("cnt"))).select("mark")
+    missed = frequent_up_to(runs, phi, every).join(found.select("mark", "key"), ["mark", "key"], "left_anti")
+    return wrong.union(missed.select("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("faults"))

@@ -197,3 +197,28 @@ def test_old_snapshots_are_removed(spark):
     stream_linear.run_linear_sketch(live(spark, path), SEEDS, 16, folder, partitions=1)
     assert [n for n in names(spark, f"{folder}/cells") if n[0] not in "._"] == ["batch=2", "batch=3"]
     assert stream_linear.stream_cells(spark, folder).agg(F.sum("v")).first()[0] == 8
+
+
+def test_faults_at_marks_without_a_row_per_key_and_mark(spark):
+    """Against all keys at all marks; one answer is wrong, one is missing, and a null key counts as missed."""
+    keys = [None if i % 4 == 0 else (i % 3 if i % 2 else 100 + i) for i in range(400)]
+    every, phi = 10, 0.15
+    rows = [(i // every, k) for i, k in enumerate(keys)]
+    counts = spark.createDataFrame(rows, "step long, key long").groupBy("step", "key").agg(F.count("*").alias("cnt"))
+    seen = spark.createDataFrame([(m,) for m in range(1, 41)], "mark long")
+    truth, answers = {}, []
+    for mark in range(1, 41):
+        before = keys[: mark * every]
+        truth[mark] = {k for k in set(before) if before.count(k) >= phi * every * mark}
+        answers += [(mark, k, n, n, n) for k in truth[mark] - {None} for n in [before.count(k)]]
+    dropped, broken = answers[5], answers[9]
+    given = [a for a in answers if a not in (dropped, broken)] + [(*broken[:2], 0, 0, 0), (40, 999, 1, 1, 1)]
+    found = spark.createDataFrame(given, "mark long, key long, est long, lower long, upper long")
+    want = {mark: int(None in truth[mark]) for mark in truth}
+    for mark in (dropped[0], broken[0], 40):
+        want[mark] += 1
+    got = marks.faults_at_marks(counts, found, seen, phi, every).collect()
+    assert {r.mark: r.faults for r in got} == {m: n for m, n in want.items() if n}
+    runs = marks.counts_up_to(counts, found, F.lit(40))
+    assert runs.count() == counts.count() + len(given)
+    assert marks.frequent_up_to(runs, phi, every).count() == sum(map(len, truth.values()))
