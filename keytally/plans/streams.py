@@ -38,6 +38,8 @@ PHI = 0.01
 SEEDS = seed_table(rows=4, seed=43)
 BUCKETS = 64
 BETA = PHI / 10
+#: Keys whose counters an owner keeps, where every key has one.
+KEYS_PER_OWNER = 1 << 15
 
 
 def _laid_out(s, d, name: str, row_id: str):
@@ -73,9 +75,9 @@ def _live(s, d):
     return sl.stream_histogram(s, folder, LongType())
 
 
-def _live_summary(s, d, stream, owner, key_type, **options):
+def _live_summary(s, d, stream, owner, key_type, m=COUNTERS, partitions=SHARDS, **options):
     folder = work_path(s, "stream")
-    sc.run_space_saving(stream, COUNTERS, owner, folder, partitions=SHARDS, **options)
+    sc.run_space_saving(stream, m, owner, folder, partitions=partitions, **options)
     return folder, sc.snapshot(s, folder, sc.summary_schema(key_type))
 
 
@@ -93,14 +95,21 @@ def _stream_bounds(s, d):
     return bound_faults(words(s, d), f.bounds(now))
 
 
+def _room_for_all(stream):
+    """(counters, owners) with room for every key of the stream."""
+    keys = stream.select("key").distinct().count()
+    return max(COUNTERS, keys), max(SHARDS, -(-keys // KEYS_PER_OWNER))
+
+
 @reg.query(
     "stream_space_saving_exact_case",
-    "SELECT event_type AS key, COUNT(*) AS est, COUNT(*) AS lower, COUNT(*) AS upper FROM events GROUP BY 1",
+    "SELECT user_id AS key, COUNT(*) AS est, COUNT(*) AS lower, COUNT(*) AS upper FROM events GROUP BY 1",
 )
 def _stream_exact(s, d):
-    """Few keys at any size, so the counters have room for all of them."""
+    """With room for all users, however many there are, every count is exact."""
+    m, owners = _room_for_all(key_stream(s, d, "events", "user_id"))
     _, now = _live_summary(
-        s, d, live_events(s, d, "event_type"), owner_by_hash("key", SHARDS), StringType()
+        s, d, live_events(s, d, "user_id"), owner_by_hash("key", owners), LongType(), m, owners
     )
     return f.bounds(now).drop("shard")
 
@@ -368,13 +377,14 @@ def _stream_votes(s, d):
 
 @reg.query(
     "warm_start",
-    "SELECT event_type AS key, 2 * COUNT(*) AS est, 2 * COUNT(*) AS lower, 2 * COUNT(*) AS upper FROM events GROUP BY 1",
+    "SELECT user_id AS key, 2 * COUNT(*) AS est, 2 * COUNT(*) AS lower, 2 * COUNT(*) AS upper FROM events GROUP BY 1",
 )
 def _warm(s, d):
     """A summary of the whole table to start from, then the table once more as a stream."""
-    owner = owner_by_hash("key", SHARDS)
-    first = f.space_saving_sharded(
-        key_stream(s, d, "events", "event_type"), COUNTERS, SHARDS, owner
-    )
-    _, now = _live_summary(s, d, live_events(s, d, "event_type"), owner, StringType(), warm=first)
+    users = key_stream(s, d, "events", "user_id")
+    m, owners = _room_for_all(users)
+    owner = owner_by_hash("key", owners)
+    first = f.space_saving_sharded(users, m, owners, owner)
+    live = live_events(s, d, "user_id")
+    _, now = _live_summary(s, d, live, owner, LongType(), m, owners, warm=first)
     return f.bounds(now).drop("shard")

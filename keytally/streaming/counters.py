@@ -51,6 +51,7 @@ class SummaryProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("summary", _state_schema(self.key_type))
+        self.started: tuple[int, list[pd.DataFrame]] | None = None
 
     def _load(self) -> SpaceSaving:
         summary = SpaceSaving(self.m)
@@ -63,6 +64,7 @@ class SummaryProcessor(StatefulProcessor):
         self.state.update((*s.rows(), s.n, s.floor))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.started = None
         summary = self._load()
         for frame in rows:
             sums = frame.groupby("key", sort=False, as_index=False)["weight"].sum()
@@ -71,7 +73,12 @@ class SummaryProcessor(StatefulProcessor):
         yield _snapshot(key[0], summary)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        heads, rows = initialState[initialState["head"]], initialState[~initialState["head"]]
+        # An owner's rows come in several frames, one after the other; the last time all are there.
+        if self.started is None or self.started[0] != key[0]:
+            self.started = (key[0], [])
+        self.started[1].append(initialState)
+        start = pd.concat(self.started[1])
+        heads, rows = start[start["head"]], start[~start["head"]]
         # Several summaries of an owner: those that do not track a key may have missed their floor.
         floor = int(heads["floor"].sum())
         sums = rows.groupby("key", sort=False, as_index=False)[["cnt", "err", "floor"]].sum()

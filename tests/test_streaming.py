@@ -222,3 +222,28 @@ def test_faults_at_marks_without_a_row_per_key_and_mark(spark):
     runs = marks.counts_up_to(counts, found, F.lit(40))
     assert runs.count() == counts.count() + len(given)
     assert marks.frequent_up_to(runs, phi, every).count() == sum(map(len, truth.values()))
+
+
+USERS = 50_000
+
+
+@pytest.fixture(scope="module")
+def many_users(spark):
+    """More users than four owners had counters for, and more per owner than an Arrow batch has rows."""
+    folder = work_path(spark, "users")
+    rows = spark.range(USERS + 500).select(
+        F.col("id").alias("event_id"), (F.col("id") % USERS).alias("user_id"), F.lit("view").alias("event_type")
+    )
+    rows.write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name, times", [("stream_space_saving_exact_case", 1), ("warm_start", 2)])
+def test_exact_streams_count_every_user(spark, many_users, name, times):
+    from keytally.plans.streams import reg
+
+    rows = reg.queries[name](spark, many_users)
+    assert rows.count() == USERS
+    cnt = times * F.when(F.col("key") < 500, 2).otherwise(1)
+    assert rows.where((F.col("est") != cnt) | (F.col("lower") != cnt) | (F.col("upper") != cnt)).count() == 0
+    assert "user_id AS key" in reg.sql[name]
