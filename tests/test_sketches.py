@@ -168,3 +168,25 @@ def test_scan_reads_only_the_key(spark, small):
     assert "ReadSchema: struct<l_partkey:bigint>" in plan
     assert plan.count("Exchange") == 1
     assert table(spark, small, "lineitem").count() > 0
+
+
+def test_estimates_of_parts_group_no_keys(spark):
+    """Per part the least cell of a key, if all are there, with no table of keys in a task; null is a part."""
+    stream = spark.createDataFrame(
+        [(k, 1 + k % 3, (0, 1, None)[k % 3]) for k in range(90)], "key long, weight long, part long"
+    )
+    probes = spark.range(120).select(F.col("id").alias("key"))
+    sketch = linear.count_min_build(stream, SEEDS, 16, by=("part",)).localCheckpoint()
+    cells = {(r.part, r.row, r.bucket): r.v for r in sketch.collect()}
+    want = set()
+    own = linear.hash_rows(probes, SEEDS, 16).collect()
+    for key in range(120):
+        at = [(r.row, r.bucket) for r in own if r.key == key]
+        for part in (0, 1, None):
+            found = [cells.get((part, *a)) for a in at]
+            if None not in found:
+                want.add((part, key, min(found)))
+    got = linear.estimates_per_part(sketch, probes, SEEDS, 16, "part")
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 100
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
