@@ -17,6 +17,9 @@ from keytally.operators.exact import prefix_sums
 from keytally.operators.sampling import HASH_RANGE, row_index, uniform
 
 CHUNK = 1_000_000
+#: Rows of a shuffled stream that a task sorts in memory, and the chunks they are dealt out in.
+SORTED_ROWS = 1 << 21
+SORTED_CHUNK = SORTED_ROWS >> 4
 
 
 def _num(value: Column | float | int) -> Column:
@@ -102,16 +105,16 @@ def decorrelate(freq: DataFrame, dom, p: float, seed: int = 1) -> DataFrame:
     return freq if abs(p) == 1 else _rename_keys(freq, permutation(freq, 1 - abs(p), seed))
 
 
-def expand(freq: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def expand(freq: DataFrame, chunk: int = CHUNK, tasks: int | None = None) -> DataFrame:
     """cnt copies of every row but for the cnt column. Large counts are cut into chunks that are
-    dealt out to all tasks, so a key with a third of the stream is not one task's work."""
+    dealt out to all tasks (to so many, where given), so a key with a third of the stream is not one task's work."""
     rest = [c for c in freq.columns if c != "cnt"]
     last = F.floor((F.col("cnt") - 1) / F.lit(chunk))
     chunks = (
         freq.where(F.col("cnt") > 0)
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_chunk"))
         .withColumn("_size", F.least(F.lit(chunk), F.col("cnt") - F.col("_chunk") * chunk))
-        .repartition(*rest, "_chunk")
+        .repartition(*([] if tasks is None else [tasks]), *rest, "_chunk")
     )
     return chunks.select(*rest, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_size"))).alias("_")).drop("_")
 
@@ -165,8 +168,13 @@ def grid_frequencies(domain: DataFrame, sizes: DataFrame, skews: tuple[float, ..
 
 
 def shuffled_stream(freq: DataFrame, seed: int = 1) -> DataFrame:
-    """The expanded stream with a random ``order`` column; sort by it to store it shuffled."""
-    rows = expand(freq)
+    """The expanded stream with a random ``order`` column; sort by it to store it shuffled.
+
+    It is dealt to tasks by the rows they will hold, not by the short table they come from, so that each can sort
+    its own without spilling.
+    """
+    total = freq.agg(F.sum("cnt").alias("n")).first().n or 0
+    rows = expand(freq, SORTED_CHUNK, 1 + total // SORTED_ROWS)
     return rows.withColumn("order", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
 
 

@@ -67,6 +67,15 @@ def test_expand_splits_hot_keys(spark):
     assert {(r.key, r["count"]) for r in got.collect()} == {(1, 2500), (2, 1), (4, 1000)}
 
 
+def test_shuffled_streams_are_dealt_by_their_rows(spark):
+    """A short table that stands for many rows is not one task's work."""
+    freq = spark.createDataFrame([(k, 100_000) for k in range(60)], "key long, cnt long")
+    got = synthetic.shuffled_stream(freq).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in got) == 6_000_000 and len(got) == 3
+    empty = synthetic.shuffled_stream(freq.where("key < 0"))
+    assert empty.count() == 0
+
+
 def test_shuffles_keep_the_counts(spark):
     freq = synthetic.freq_zipf(spark.range(500), 500, 5000, 1.0)
     want = sorted(r.cnt for r in freq.collect())
