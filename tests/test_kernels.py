@@ -174,3 +174,18 @@ def test_votes(rows, buckets, batch):
         for key, v in f.items():
             if key % buckets == b and 2 * v > total[b]:
                 assert votes.cand[b] == key and score >= 2 * v - total[b]
+
+
+def test_sums_in_a_task_stay_small():
+    """However many distinct keys a task sees, it holds a bounded number of them."""
+    import pyarrow as pa
+
+    from keytally.operators.summaries import compacted
+
+    def batches():
+        for i in range(60):
+            keys = [f"word{k}" for k in range(10_000 * i, 10_000 * (i + 1))]
+            yield pa.record_batch({"key": pa.array(keys), "weight": pa.array([1] * len(keys))})
+
+    sizes = [len(frame) for frame in compacted(batches(), ["key"])]
+    assert sum(sizes) == 600_000 and max(sizes) < 1 << 18
