@@ -23,12 +23,13 @@ the score go by count and then by phrase; equal ids and other columns are ignore
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -409,12 +410,13 @@ class Block:
 
 def make_block(rows: pa.Table) -> Block:
     """The block of (id, lang, h1, h2, h3) rows."""
-    langs = {lang: i + 1 for i, lang in enumerate(sorted(set(rows.column("lang").to_pylist())))}
+    met = rows.column("lang").combine_chunks().dictionary_encode()
+    langs = {lang: i + 1 for i, lang in enumerate(sorted(met.dictionary.to_pylist()))}
     hashes = [rows.column(f"h{i}").combine_chunks() for i in (1, 2, 3)]
     there = [h.is_valid().to_numpy(zero_copy_only=False) for h in hashes]
     values = [pc.fill_null(h, 0).to_numpy().view(np.uint64) for h in hashes]
     vocabulary = np.unique(np.concatenate([v[t] for v, t in zip(values, there)]))
-    codes = [np.array([langs[x] for x in rows.column("lang").to_pylist()], np.int64)]
+    codes = [np.array([langs[x] for x in met.dictionary.to_pylist()], np.int64)[met.indices.to_numpy()]]
     codes += [np.where(t, np.searchsorted(vocabulary, v) + 1, 0) for v, t in zip(values, there)]
     order = np.lexsort(codes[::-1])
     symbols = trie.digits_for(max(len(vocabulary), len(langs)))
@@ -422,23 +424,30 @@ def make_block(rows: pa.Table) -> Block:
     return Block(made, langs, Vocabulary(vocabulary), rows.column("id").to_numpy()[order])
 
 
-def count_blocks(docs: DataFrame, seed: int, blocks: list[Block]) -> tuple[DataFrame, Callable[[], None]]:
-    """(id, f) of the phrases of some blocks, by one pass over all texts; and what frees their broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(blocks)
+def shared_block(safe: DataFrame, blocks: int, block: int) -> Broadcast | None:
+    """The broadcast trie of one of ``blocks`` parts of the phrases. The driver keeps neither the part nor the trie,
+    so it holds one of them at a time, however many are broadcast."""
+    own = safe.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
+    return safe.sparkSession.sparkContext.broadcast(make_block(own)) if own.num_rows else None
+
+
+def count_blocks(docs: DataFrame, seed: int, shared: list[Broadcast]) -> DataFrame:
+    """(id, f) of the phrases of some broadcast blocks, by one pass over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [np.zeros(len(block.ids), np.int64) for block in shared.value]
+        blocks = [block.value for block in shared]
+        found = [np.zeros(len(block.ids), np.int64) for block in blocks]
         for rows, words in text_blocks(batches, Hasher(seed)):
-            for block, own in zip(shared.value, found):
+            for block, own in zip(blocks, found):
                 block.count(rows, words, own)
-        for block, own in zip(shared.value, found):
+        for block, own in zip(blocks, found):
             there = np.flatnonzero(own)
             for part in np.array_split(there, 1 + len(there) // 65536):
                 columns = [pa.array(block.ids[part]), pa.array(own[part])]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "f"])
 
     rows = docs.mapInArrow(count, "id long, f long")
-    return rows.groupBy("id").agg(F.sum("f").alias("f")), shared.unpersist
+    return rows.groupBy("id").agg(F.sum("f").alias("f"))
 
 
 PHRASE = ["lang", "h1", "h2", "h3"]
@@ -463,15 +472,12 @@ def count_phrases(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame,
     blocks = 1 + safe.count() // BLOCK_PHRASES
     counts = None
     for first in range(0, blocks, TRIES):
-        made = []
-        for block in range(first, min(first + TRIES, blocks)):
-            own = safe.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
-            if own.num_rows:
-                made.append(make_block(own))
-        if made:
-            found, free = count_blocks(docs, seed, made)
-            found = stored(found, "phrase-counts")
-            free()
+        parts_here = range(first, min(first + TRIES, blocks))
+        shared = [b for b in (shared_block(safe, blocks, block) for block in parts_here) if b is not None]
+        if shared:
+            found = stored(count_blocks(docs, seed, shared), "phrase-counts")
+            for block in shared:
+                block.destroy()
             counts = found if counts is None else counts.union(found)
     if counts is None:
         return safe.drop("id").withColumn("f", F.lit(None).cast("long")), frequent, totals

@@ -60,12 +60,12 @@ def _nodes(codes: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.
         alive = length >= depth
         new = alive & (same < depth)
         here = made - 1 + np.cumsum(new)
-        parents.append(above[new])
+        parents.append(above[new].astype(np.int32))
         symbols_in.append(digits[new, depth - 1])
         above = np.where(alive, here, above)
         end = np.where(length == depth, here, end)
         made += int(new.sum())
-    return np.concatenate(parents), np.concatenate(symbols_in).astype(np.int64), end
+    return np.concatenate(parents), np.concatenate(symbols_in), end
 
 
 def _place(count: np.ndarray, start: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, int]:
@@ -90,7 +90,7 @@ def _place(count: np.ndarray, start: np.ndarray, digit: np.ndarray) -> tuple[np.
             used[slots[won]] = True
             base[left[won]] = low + at[won]
             left = left[~won]
-    return base, low + size + FAN
+    return base.astype(np.int32), low + size + FAN
 
 
 def build(codes: np.ndarray, symbols: int) -> Trie:
@@ -99,7 +99,7 @@ def build(codes: np.ndarray, symbols: int) -> Trie:
     first = np.flatnonzero(np.diff(parent, prepend=-1))
     count = np.diff(np.append(first, len(parent)))
     bases, slots = _place(count, first, digit)
-    place = np.zeros(len(parent) + 1, np.int64)  # slot of each node; the root is slot 0
+    place = np.zeros(len(parent) + 1, np.int32)  # slot of each node; the root is slot 0
     place[1:] = np.repeat(bases, count) + digit
     base, check = np.zeros(slots, np.int32), np.full(slots, -1, np.int32)
     base[place[parent[first]]] = bases

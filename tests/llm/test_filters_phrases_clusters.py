@@ -289,3 +289,24 @@ def test_no_vectors(spark):
     full = centroids.cluster_vectors(table, 2, 1, 1)
     none = centroids.cluster_vectors(table)
     assert none.count() == 0 and none.dtypes == full.dtypes
+
+
+def test_the_driver_holds_one_trie_at_a_time(spark, monkeypatch):
+    """Also where several are counted in one pass over the texts."""
+    import weakref
+
+    texts = [f"w{i} x{i % 7} y{i % 5}" for i in range(20) for _ in range(12)]
+    docs = spark.createDataFrame([(f"l{i % 2}", t) for i, t in enumerate(texts)], "lang string, text string")
+    want = rows_of(phrases.count_phrases(docs, 3)[0])
+    met, make = [], phrases.make_block
+
+    def watched(rows):
+        assert all(block() is None for block in met)
+        block = make(rows)
+        met.append(weakref.ref(block))
+        return block
+
+    monkeypatch.setattr(phrases, "BLOCK_PHRASES", 16)
+    monkeypatch.setattr(phrases, "make_block", watched)
+    got = rows_of(phrases.count_phrases(docs, 3)[0])
+    assert len(met) >= 4 and got == want
