@@ -24,13 +24,14 @@ the score go by count and then by phrase; equal ids and other columns are ignore
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keytally.llm import trie
@@ -43,6 +44,7 @@ ABSORB_PERCENT = 50
 MILLION = 1_000_000
 
 BLOCK_BYTES = 1 << 18
+BATCH_BYTES = 1 << 21
 FLUSH_ROWS = 1 << 18
 MAP_BITS = 26
 BLOCK_PHRASES = 1 << 20
@@ -248,6 +250,22 @@ def _safe_starts(words: Words, lang: np.ndarray, maps: list[np.ndarray], size: i
 # --- the passes
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Texts go to the tasks ``BATCH_BYTES`` at a time, or a row, and not 10 000 rows: a batch is held outside the heap
+    of an executor and again by the Python worker. A job takes the setting when it starts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def _signed(keys: np.ndarray) -> pa.Array:
     return pa.array(keys.view(np.int64))
 
@@ -380,21 +398,22 @@ class Vocabulary:
 
 @dataclass
 class Block:
-    """The trie of a block of phrases, what its numbers stand for, and the ids of its phrases in their order."""
+    """The trie of a block of phrases, what its numbers stand for, its state after each language's number, and the ids of
+    its phrases in their order."""
 
     automaton: trie.Trie
     langs: dict[str, int]
     vocabulary: Vocabulary
+    entry: np.ndarray
     ids: np.ndarray
 
-    def count(self, rows: list[str], words: Words, found: np.ndarray) -> None:
-        """Adds the occurrences in a text block to ``found``."""
+    def occurrences(self, rows: list[str], words: Words) -> np.ndarray:
+        """The places in ``ids`` of the phrases that occur in a text block, each as often as it does."""
         code = self.vocabulary.numbers(words.hash)
         lang = np.array([self.langs.get(r, 0) for r in rows], np.int64)[words.row]
         at = words.starts_of(1)
         at = at[(lang[at] > 0) & (code[at] > 0)]
-        on, state = self.automaton.step(np.zeros(len(at), np.int32), lang[at])
-        at, accepted = at[on], []
+        state, accepted = self.entry[lang[at]], []
         for word in range(LONGEST):
             if word:
                 goes_on = words.follows[at]
@@ -405,7 +424,7 @@ class Block:
             at = at[on]
             ends = self.automaton.phrase[state]
             accepted.append(ends[ends >= 0])
-        found += np.bincount(np.concatenate(accepted), minlength=len(found))
+        return np.concatenate(accepted)
 
 
 def make_block(rows: pa.Table) -> Block:
@@ -421,7 +440,10 @@ def make_block(rows: pa.Table) -> Block:
     order = np.lexsort(codes[::-1])
     symbols = trie.digits_for(max(len(vocabulary), len(langs)))
     made = trie.build(np.stack(codes, axis=1)[order], symbols)
-    return Block(made, langs, Vocabulary(vocabulary), rows.column("id").to_numpy()[order])
+    entry = np.zeros(len(langs) + 1, np.int32)
+    # every language has a phrase here, so all of them go on from the root
+    entry[1:] = made.step(entry[1:], np.arange(1, len(langs) + 1))[1]
+    return Block(made, langs, Vocabulary(vocabulary), entry, rows.column("id").to_numpy()[order])
 
 
 def shared_block(safe: DataFrame, blocks: int, block: int) -> Broadcast | None:
@@ -437,9 +459,19 @@ def count_blocks(docs: DataFrame, seed: int, shared: list[Broadcast]) -> DataFra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [block.value for block in shared]
         found = [np.zeros(len(block.ids), np.int64) for block in blocks]
+        waiting = [[] for _ in blocks]
+
+        def flush(least: int) -> None:
+            for own, met in zip(found, waiting):
+                if sum(map(len, met)) >= least:
+                    own += np.bincount(np.concatenate(met), minlength=len(own))
+                    met[:] = []
+
         for rows, words in text_blocks(batches, Hasher(seed)):
-            for block, own in zip(blocks, found):
-                block.count(rows, words, own)
+            for block, met in zip(blocks, waiting):
+                met.append(block.occurrences(rows, words))
+            flush(FLUSH_ROWS)
+        flush(1)
         for block, own in zip(blocks, found):
             there = np.flatnonzero(own)
             for part in np.array_split(there, 1 + len(there) // 65536):
@@ -456,6 +488,11 @@ PHRASE = ["lang", "h1", "h2", "h3"]
 def count_phrases(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, h1, h2, h3, f) of all phrases of 1 to 3 words that occur ``least`` times, (lang, h1, word), (lang, n)."""
     docs = docs.select("lang", "text")
+    with small_batches(docs.sparkSession):
+        return _count_phrases(docs, least)
+
+
+def _count_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     words, seed = _distinct_words(docs)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.filter(F.col("f") >= least).select("lang", F.col("h").alias("h1"), "word")

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,3 +311,30 @@ def test_the_driver_holds_one_trie_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(phrases, "make_block", watched)
     got = rows_of(phrases.count_phrases(docs, 3)[0])
     assert len(met) >= 4 and got == want
+
+
+def test_texts_reach_the_tasks_in_small_batches(spark, monkeypatch):
+    """In every pass over them; 10 000 rows of a batch would be held by the executor and by its Python worker."""
+    docs = spark.range(300).selectExpr("'en' AS lang", "repeat('ab cd ', 5000) AS text").coalesce(1)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, largest = spark.conf.get(setting), {}
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    def watch(name):
+        real = getattr(phrases, name)
+
+        def watched(docs, *rest):
+            largest[name] = docs.mapInArrow(sizes, "size long").agg(F.max("size")).first()[0]
+            return real(docs, *rest)
+
+        monkeypatch.setattr(phrases, name, watched)
+
+    for name in ("count_words", "find_candidates", "count_blocks"):
+        watch(name)
+    known = phrases.count_phrases(docs)[0]
+    assert {r.f for r in known.collect()} == {300 * 5000, 300 * 4999}
+    assert len(largest) == 3 and max(largest.values()) < 2 * (1 << 21)
+    assert spark.conf.get(setting) == before
