@@ -128,11 +128,14 @@ def _within(a: Column, b: Column, bits: list[int], start: int) -> Column:
 
 
 def _met(left: DataFrame, on: list[str], checks: Column) -> DataFrame:
-    """Pairs a < b of the rows that meet on ``on`` and pass the checks."""
+    """Pairs a < b of the rows that meet on ``on`` and pass the checks.
+
+    Never a broadcast join: Spark takes the size of exploded rows from the file below them, which is far too low.
+    """
     a = left.withColumnRenamed("fp", "a")
     b = left.withColumnRenamed("fp", "b")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    return a.join(b, on).filter((F.col("a") < F.col("b")) & checks & near).select("a", "b")
+    return a.join(b.hint("merge"), on).filter((F.col("a") < F.col("b")) & checks & near).select("a", "b")
 
 
 def links(fps: DataFrame) -> DataFrame:

@@ -226,6 +226,12 @@ def test_links_lose_no_pair(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_exploded_fingerprints_are_not_broadcast(spark, tmp_path):
+    spark.range(1000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    plan = simhash.links(spark.read.parquet(str(tmp_path / "fps")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, i) for i in range(101, 140)] + [(200, 201)]
     random.Random(1).shuffle(edges)
