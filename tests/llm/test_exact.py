@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bench import shuffled_records
 from keytally.llm import (
     components,
     decontaminate,
@@ -508,6 +509,21 @@ def test_only_words_near_the_mention_of_one_text_are_terms(make_docs):
     assert "bothword" in found["ip:198.51.100.7"]
 
 
+def test_few_rows_are_shuffled_for_the_terms(spark, make_docs):
+    """No row per word of all texts, and of an entity of many texts no pair of each text with each term of the others."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def own(i):
+        return " ".join(f"w{letters[i % 26]}{letters[i // 26]}{a}{b}" for a in "abcdef" for b in "abcde")
+
+    telling = [f"{own(i)} zed@home.org" for i in range(60)]
+    common = " ".join(f"plain{a}{b}" for a in letters[:10] for b in letters[:10])
+    docs = make_docs([*telling, *[f"{common} {i}" for i in range(400)]], partitions=2).select("doc_id", "text")
+    before = shuffled_records(spark)
+    assert pii.find_personal_data(docs).agg(F.sum("n_terms")).first()[0] == 60 * 30
+    assert shuffled_records(spark) - before < 30_000  # 400 * 100 and 60 * 60 * 30 if done by rows
+
+
 def plain_terms(rows):
     """(text, term) of the terms to change, from texts as they are, word by word."""
     import math
