@@ -8,13 +8,15 @@ passes over all texts whose partial counts Spark sums:
 2. For 2 and then 3 words: the phrases whose parts are frequent, seen often enough in counts that stop at the
    threshold, are the Apriori-safe candidates. Which parts are frequent is told by a bit map of ``MAP_BITS`` bits (8 MB)
    whatever the number of phrases; a wrong yes only lets more through.
-3. Blocks of about ``BLOCK_PHRASES`` candidates and frequent words, dealt by hash, become double-array tries. Up to
-   ``TRIES`` of them are broadcast and counted in one pass: all positions of a text block enter at their language's node
-   and go on word by word, all at once; where a state accepts, its phrase is counted by bincount, and the counts of
-   all tasks are summed. These are the counts given out.
+3. Blocks of about ``BLOCK_PHRASES`` candidates and frequent words, dealt by a hash of their first two words, become
+   double-array tries. Up to ``TRIES`` of them are broadcast and counted in one pass: all positions of a text block enter
+   at their language's node and go on word by word, all at once; where a state accepts, its phrase is counted by bincount,
+   and the counts of all tasks are summed. These are the counts given out.
 
 A trie has at most 12 nodes per phrase of its block, so what is broadcast and what the driver holds is bounded
-by ``BLOCK_PHRASES`` and ``TRIES``; more candidates mean more passes over the texts.
+by ``BLOCK_PHRASES`` and ``TRIES``. More candidates mean more broadcasts, but not more passes over the texts: if there are more than
+``TRIES`` blocks, one pass writes what enters the tries, the longest run of words from a position on that the bit maps let
+through and how often it occurs, dealt like the phrases, and each trie takes its own block of them.
 
 Defined results: a null text has no words, a null language is ``und``; texts of any length are read whole, in blocks that
 overlap by two words; a text without letters gives no rows; copies and repeated rows count as often as they occur; ties in
@@ -368,6 +370,50 @@ def find_candidates(docs: DataFrame, seed: int, maps: list[np.ndarray], size: in
     return sums.filter(F.col("n") >= least).drop("n")
 
 
+def find_windows(docs: DataFrame, seed: int, maps: list[np.ndarray]) -> DataFrame:
+    """(lang, h1, h2, h3, n), 0 behind the last word: all that is to enter the tries, with the number of positions it begins at.
+
+    Each frequent word by itself; and from each position the longest phrase in the ``maps``, if that has two words or more.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(maps)
+    ids = [f"h{i + 1}" for i in range(LONGEST)]
+
+    def flush(waiting: list[tuple], met: Languages) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(part) for part in zip(*waiting)]
+        rows = pa.table([pa.array(columns[0]), *map(_signed, columns[1:])], names=["lang", *ids])
+        sums = rows.group_by(["lang", *ids]).aggregate([([], "count_all")])
+        for part in sums.select(["lang", *ids, "count_all"]).to_batches(1 << 16):
+            lang = met.column(part.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([lang, *part.columns[1:]], names=["lang", *ids, "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, waiting, rows = Languages(), [], 0
+        for langs, words in text_blocks(batches, Hasher(seed)):
+            lang = met.of_rows(langs)[words.row]
+            own = met.hashes[lang]
+            longest = np.zeros(len(own), np.int8)
+            for size in range(1, LONGEST + 1):
+                at = words.starts_of(size)
+                at = at[longest[at] == size - 1]
+                longest[at[_in_map(shared.value[size - 1], _keys(words, own, size)[at])]] = size
+            for least in (1, 2):
+                at = np.flatnonzero(longest >= least)
+                hashes = [words.hash[at]]
+                for i in range(1, LONGEST):
+                    there = (longest[at] > i) & (least > 1)
+                    hashes.append(np.where(there, words.hash[np.minimum(at + i, len(own) - 1)], np.uint64(0)))
+                waiting.append((lang[at], *hashes))
+                rows += len(at)
+            if rows >= FLUSH_ROWS:
+                yield from flush(waiting, met)
+                waiting, rows = [], 0
+        if rows:
+            yield from flush(waiting, met)
+
+    schema = f"lang string, {', '.join(f'{h} long' for h in ids)}, n long"
+    return docs.mapInArrow(count, schema).groupBy("lang", *ids).agg(F.sum("n").alias("n"))
+
+
 class Vocabulary:
     """Numbers from 1 on for sorted hashes, looked up by their leading bits; 0 for others."""
 
@@ -426,6 +472,21 @@ class Block:
             accepted.append(ends[ends >= 0])
         return np.concatenate(accepted)
 
+    def add_windows(self, found: np.ndarray, rows: list[str], hashes: list[np.ndarray], n: np.ndarray) -> None:
+        """Adds, for each place in ``ids``, how often its phrase begins a window of (language, hashes, number). A word by
+        itself has windows of its own, so longer ones count for phrases of two words or more."""
+        lang = np.array([self.langs.get(r, 0) for r in rows], np.int64)
+        at = np.flatnonzero(lang)
+        state = self.entry[lang[at]]
+        for i, word in enumerate(hashes):
+            code = self.vocabulary.numbers(word[at])
+            known = code > 0
+            on, state = self.automaton.step(state[known], code[known])
+            at = at[known][on]
+            ends = self.automaton.phrase[state]
+            counts = (ends >= 0) if i else (ends >= 0) & (hashes[1][at] == 0)
+            np.add.at(found, ends[counts], n[at[counts]])
+
 
 def make_block(rows: pa.Table) -> Block:
     """The block of (id, lang, h1, h2, h3) rows."""
@@ -446,13 +507,26 @@ def make_block(rows: pa.Table) -> Block:
     return Block(made, langs, Vocabulary(vocabulary), entry, rows.column("id").to_numpy()[order])
 
 
-def shared_block(safe: DataFrame, blocks: int, block: int) -> Broadcast | None:
-    """The broadcast trie of one of ``blocks`` parts of the phrases. The driver keeps neither the part nor the trie,
+def dealt(rows: DataFrame, blocks: int, name: str) -> DataFrame:
+    """(lang, h1, h2, h3 ..) rows with their ``block``, stored by it. Rows that share the first two words share a block."""
+    block = F.pmod(F.xxhash64("lang", "h1", F.coalesce("h2", F.lit(0).cast("long"))), F.lit(blocks)).cast("int")
+    return stored(rows.withColumn("block", block).repartition(blocks, "block"), name, "block")
+
+
+def shared_block(safe: DataFrame, block: int) -> Broadcast | None:
+    """The broadcast trie of a block of the phrases. The driver keeps neither the block nor the trie,
     so it holds one of them at a time, however many are broadcast."""
-    own = safe.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
+    own = safe.filter(F.col("block") == block).drop("block").toArrow()
     return safe.sparkSession.sparkContext.broadcast(make_block(own)) if own.num_rows else None
 
 
+def _counts(block: Block, found: np.ndarray) -> Iterator[pa.RecordBatch]:
+    there = np.flatnonzero(found)
+    for part in np.array_split(there, 1 + len(there) // 65536):
+        columns = [pa.array(block.ids[part]), pa.array(found[part])]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "f"])
+
+
 def count_blocks(docs: DataFrame, seed: int, shared: list[Broadcast]) -> DataFrame:
     """(id, f) of the phrases of some broadcast blocks, by one pass over all texts."""
 
@@ -473,15 +547,31 @@ def count_blocks(docs: DataFrame, seed: int, shared: list[Broadcast]) -> DataFra
             flush(FLUSH_ROWS)
         flush(1)
         for block, own in zip(blocks, found):
-            there = np.flatnonzero(own)
-            for part in np.array_split(there, 1 + len(there) // 65536):
-                columns = [pa.array(block.ids[part]), pa.array(own[part])]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "f"])
+            yield from _counts(block, own)
 
     rows = docs.mapInArrow(count, "id long, f long")
     return rows.groupBy("id").agg(F.sum("f").alias("f"))
 
 
+def count_windows(windows: DataFrame, shared: dict[int, Broadcast]) -> DataFrame:
+    """(id, f) of the phrases of some broadcast blocks, by number, from the windows dealt to each of them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {}
+        for batch in batches:
+            for number in pc.unique(batch.column("block")).to_pylist():
+                own = batch.filter(pc.equal(batch.column("block"), number))
+                *hashes, n = [c.to_numpy() for c in own.columns[1:-1]]
+                block = shared[number].value
+                met = found.setdefault(number, np.zeros(len(block.ids), np.int64))
+                block.add_windows(met, own.column(0).to_pylist(), [h.view(np.uint64) for h in hashes], n)
+        for number, met in found.items():
+            yield from _counts(shared[number].value, met)
+
+    rows = windows.filter(F.col("block").isin(*shared)).mapInArrow(count, "id long, f long")
+    return rows.groupBy("id").agg(F.sum("f").alias("f"))
+
+
 PHRASE = ["lang", "h1", "h2", "h3"]
 
 
@@ -504,21 +594,30 @@ def _count_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, D
     safe = parts[0]
     for part in parts[1:]:
         safe = safe.unionByName(part, allowMissingColumns=True)
-    # the ids stay as they are once the table is written
-    safe = stored(safe.select(F.monotonically_increasing_id().alias("id"), *PHRASE), "phrases")
     blocks = 1 + safe.count() // BLOCK_PHRASES
+    # the ids stay as they are once the table is written
+    safe = dealt(safe.select(F.monotonically_increasing_id().alias("id"), *PHRASE), blocks, "phrases")
+    windows = None
+    if blocks > TRIES:
+        maps = [*maps, bit_map(parts[-1], LONGEST)]
+        windows = dealt(find_windows(docs, seed, maps), blocks, "phrase-windows")
     counts = None
     for first in range(0, blocks, TRIES):
         parts_here = range(first, min(first + TRIES, blocks))
-        shared = [b for b in (shared_block(safe, blocks, block) for block in parts_here) if b is not None]
-        if shared:
-            found = stored(count_blocks(docs, seed, shared), "phrase-counts")
-            for block in shared:
-                block.destroy()
-            counts = found if counts is None else counts.union(found)
+        shared = {block: made for block in parts_here if (made := shared_block(safe, block)) is not None}
+        if not shared:
+            continue
+        if windows is None:
+            found = count_blocks(docs, seed, list(shared.values()))
+        else:
+            found = count_windows(windows, shared)
+        found = stored(found, "phrase-counts")
+        for block in shared.values():
+            block.destroy()
+        counts = found if counts is None else counts.union(found)
     if counts is None:
-        return safe.drop("id").withColumn("f", F.lit(None).cast("long")), frequent, totals
-    known = safe.join(counts, "id").filter(F.col("f") >= least).drop("id")
+        return safe.drop("id", "block").withColumn("f", F.lit(None).cast("long")), frequent, totals
+    known = safe.join(counts, "id").filter(F.col("f") >= least).drop("id", "block")
     return stored(known, "phrase-counts"), frequent, totals
 
 

@@ -338,3 +338,21 @@ def test_texts_reach_the_tasks_in_small_batches(spark, monkeypatch):
     assert {r.f for r in known.collect()} == {300 * 5000, 300 * 4999}
     assert len(largest) == 3 and max(largest.values()) < 2 * (1 << 21)
     assert spark.conf.get(setting) == before
+
+
+def test_many_tries_read_the_texts_once(spark, monkeypatch):
+    """The passes over the texts do not grow with the number of candidates."""
+    texts = [f"w{i} x{i % 7} y{i % 5}, w{i}" for i in range(20) for _ in range(12)]
+    docs = spark.createDataFrame([(f"l{i % 2}", t) for i, t in enumerate(texts)], "lang string, text string")
+    want = rows_of(phrases.count_phrases(docs, 3)[0])
+    passes, real = [], type(docs).mapInArrow
+
+    def watched(self, *rest, **more):
+        if self.columns == ["lang", "text"]:
+            passes.append(self)
+        return real(self, *rest, **more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    monkeypatch.setattr(phrases, "BLOCK_PHRASES", 8)
+    got = rows_of(phrases.count_phrases(docs, 3)[0])
+    assert got == want and len(passes) == 4  # words, candidates of two and of three words, windows
