@@ -25,8 +25,9 @@ the score go by count and then by phrase; equal ids and other columns are ignore
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -517,7 +518,18 @@ def shared_block(safe: DataFrame, block: int) -> Broadcast | None:
     """The broadcast trie of a block of the phrases. The driver keeps neither the block nor the trie,
     so it holds one of them at a time, however many are broadcast."""
     own = safe.filter(F.col("block") == block).drop("block").toArrow()
-    return safe.sparkSession.sparkContext.broadcast(make_block(own)) if own.num_rows else None
+    made = safe.sparkSession.sparkContext.broadcast(make_block(own)) if own.num_rows else None
+    del own
+    _give_back()
+    return made
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system; Arrow and malloc would keep it."""
+    pa.default_memory_pool().release_unused()
+    # not every C library has it
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _counts(block: Block, found: np.ndarray) -> Iterator[pa.RecordBatch]:
