@@ -52,6 +52,7 @@ FLUSH_ROWS = 1 << 18
 MAP_BITS = 26
 BLOCK_PHRASES = 1 << 20
 TRIES = 2
+BLOCK_PARTS = 8
 SEEDS = 16
 #: Characters between words and characters that end a piece.
 SPACES, STOPS = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -511,7 +512,9 @@ def make_block(rows: pa.Table) -> Block:
 def dealt(rows: DataFrame, blocks: int, name: str) -> DataFrame:
     """(lang, h1, h2, h3 ..) rows with their ``block``, stored by it. Rows that share the first two words share a block."""
     block = F.pmod(F.xxhash64("lang", "h1", F.coalesce("h2", F.lit(0).cast("long"))), F.lit(blocks)).cast("int")
-    return stored(rows.withColumn("block", block).repartition(blocks, "block"), name, "block")
+    # several tasks write a block
+    salt = F.pmod(F.xxhash64(*PHRASE), F.lit(BLOCK_PARTS))
+    return stored(rows.withColumn("block", block).repartition(blocks * BLOCK_PARTS, "block", salt), name, "block")
 
 
 def shared_block(safe: DataFrame, block: int) -> Broadcast | None:
